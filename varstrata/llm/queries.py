@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from varstrata.llm import bpe, langid, licenses, packing, quality, sharding, urls
+from varstrata.llm import bpe, jaccard, langid, licenses, packing, quality, sharding, urls
 from varstrata.llm.common import table
 
 
@@ -42,5 +42,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", langid.held_out(told["doc_id"]).alias("held_out"), "lang_pred", "score")
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_sharding, op5_license_scans, op6_byte_bpe, op7_url_filters, op8_best_fit_packing, op9_language_id)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_sharding, op5_license_scans, op6_byte_bpe, op7_url_filters, op8_best_fit_packing, op9_language_id, op10_ngram_jaccard)}
