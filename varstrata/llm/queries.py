@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from varstrata.llm import bpe, jaccard, langid, licenses, packing, quality, sharding, urls
+from varstrata.llm import bpe, embeddings, jaccard, langid, licenses, packing, quality, sharding, urls
 from varstrata.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select(*cols)
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.vector_links(table(spark, sf_dir, "embeddings"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
@@ -47,4 +51,4 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_sharding, op5_license_scans, op6_byte_bpe, op7_url_filters, op8_best_fit_packing, op9_language_id, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_embedding_dedup, op3_sharding, op5_license_scans, op6_byte_bpe, op7_url_filters, op8_best_fit_packing, op9_language_id, op10_ngram_jaccard)}
