@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from varstrata.llm import bpe, embeddings, jaccard, langid, licenses, packing, quality, sharding, urls
+from varstrata.llm import bpe, embeddings, jaccard, langid, licenses, packing, pii, quality, sharding, urls
 from varstrata.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -51,4 +55,4 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_embedding_dedup, op3_sharding, op5_license_scans, op6_byte_bpe, op7_url_filters, op8_best_fit_packing, op9_language_id, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_embedding_dedup, op3_sharding, op4_pii, op5_license_scans, op6_byte_bpe, op7_url_filters, op8_best_fit_packing, op9_language_id, op10_ngram_jaccard)}
