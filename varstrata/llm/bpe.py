@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -21,8 +22,15 @@ from varstrata.llm.arrow import mapper, texts_of
 
 #: Words of up to this many bytes are encoded together.
 TOGETHER = 64
-#: Words that a worker remembers with their ids; beyond, it forgets them all and goes on.
-REMEMBERED = 800_000
+#: Stretches of text that a worker remembers with their ids.
+REMEMBERED = 1_000_000
+#: Bytes of a key in its table: the stretch, and a last byte for its length and whether a blank stands before it.
+WIDE = 24
+KEEP = np.where(np.arange(WIDE)[None] < np.arange(WIDE)[:, None], 0xFF, 0).astype(np.uint8).view(np.uint64)
+SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+#: ASCII white space (as str.isspace has it), letters, and marks that may follow a word; by byte.
+WHITE, LETTER, MARK = (np.array([f(i) for i in range(256)]) for f in (lambda i: i < 128 and chr(i).isspace(), lambda i: i < 128 and chr(i).isalpha(), lambda i: chr(i) in ".,;:!?"))
+ODD_WHITE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 NONE = np.iinfo(np.int64).max
 
 
@@ -157,46 +165,191 @@ class Merges:
         return self.flat[np.repeat(self.start[ids] - (end - n), n) + np.arange(end[-1])].tobytes()
 
 
+def rows_at(starts: np.ndarray, length: np.ndarray, size: int) -> np.ndarray:
+    """The indices starts[0], ..., starts[0] + length[0] - 1, starts[1], ...; size is their number."""
+    end = np.cumsum(length)
+    return np.repeat(starts - (end - length), length) + np.arange(size)
+
+
 class Words:
-    """Cuts texts into words and remembers the ids of words seen: in order of appearance, in flat arrays."""
+    """Cuts texts at single blanks and remembers the ids of the stretches between them, each with the blank before it.
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], list[list[int]]], spell: bool = False, most: int = REMEMBERED):
-        """spell: also keep each word's ids as decimal text, joined by spaces."""
-        self.cut, self.encode, self.spell, self.most = regex.compile(pattern).findall, encode, spell, most
-        self.forget()
+    The pattern's matches never reach over a single blank, so a stretch always has the same ids. Around other white
+    space that doesn't hold; texts with such places are encoded as a whole. A mark after a word is a stretch of its own,
+    since no match holds letters and marks. Stretches of up to WIDE - 1 bytes are found by their bytes in an open hash
+    table of three 64-bit numbers a row, for a whole batch at once; longer ones in a dictionary. When more than `most`
+    are known, those that were seen again since the last time are kept, so memory is bounded.
+    """
 
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
+    def __init__(self, encode: Callable[[list[str], list[str]], tuple[np.ndarray, np.ndarray]], spell: bool = False, most: int = REMEMBERED):
+        """encode: all ids of words (with a blank before each, which isn't given) and of texts that stand alone, and how
+        many ids each has. spell: also keep the ids of a stretch as decimal text."""
+        self.encode, self.spell, self.most = encode, spell, most
+        self.bits = max(4, (2 * most).bit_length())
+        self.start, self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.seen, self.keys = np.zeros(0, np.int32), np.zeros((0, 3), np.uint64)
         self.spelled: list[str] = []
-        self.flat, self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.table, self.at = np.zeros((1 << self.bits, 3), np.uint64), np.full(1 << self.bits, -1, np.int32)
+        self.long: dict[bytes, int] = {}
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        h = (keys * SPREAD).sum(1, dtype=np.uint64)
+        h = (h ^ (h >> np.uint64(32))) * SPREAD[0]
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 if it isn't known."""
+        slot, left, out = self._slots(keys), np.arange(len(keys)), np.full(len(keys), -1, np.int64)
+        while len(left):
+            got = self.at[slot]
+            here = (self.table[slot] == keys[left]).all(1) & (got >= 0)
+            out[left[here]] = got[here]
+            on = (got >= 0) & ~here
+            left, slot = left[on], slot[on] + 1 & (1 << self.bits) - 1
+        return out
 
-    def learn(self, words: list[str]) -> None:
-        got = self.encode(words)
-        n = np.array([len(x) for x in got], np.int64)
+    def _put(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        """Keys must differ from each other and from those known."""
+        slot, left = self._slots(keys), np.arange(len(keys))
+        while len(left):
+            first = np.zeros(len(left), bool)
+            first[np.unique(slot, return_index=True)[1]] = True
+            take = first & (self.at[slot] < 0)
+            self.at[slot[take]], self.table[slot[take]] = numbers[left[take]], keys[left[take]]
+            left, slot = left[~take], slot[~take] + 1 & (1 << self.bits) - 1
+
+    def _learn(self, names: list[bytes], keys: np.ndarray) -> np.ndarray:
+        """names: a mark (1: after a blank, 0: not) and the stretch; keys: of the first of them, the others are long."""
+        words, texts = ([k for k, x in enumerate(names) if x[0] == y] for y in (1, 0))
+        flat, n = self.encode([names[k][1:].decode() for k in words], [names[k][1:].decode() for k in texts])
+        base = len(self.start)
+        number = np.empty(len(names), np.int64)
+        number[words + texts] = base + np.arange(len(names))
         self.start = np.append(self.start, len(self.flat) + np.cumsum(n) - n)
-        self.length = np.append(self.length, n)
-        self.flat = np.append(self.flat, np.array([i for x in got for i in x], np.int64))
+        self.length, self.flat = np.append(self.length, n), np.append(self.flat, flat.astype(np.int32))
         if self.spell:
-            self.spelled += [" ".join(map(str, x)) for x in got]
-        self.known |= {w: len(self.known) + k for k, w in enumerate(words)}
-
-    def batch(self, texts: list[str]) -> list[list[str]]:
-        """The words of each text, all of them known afterwards."""
-        cut = [self.cut(t) for t in texts]
-        if len(self.known) > self.most:
-            self.forget()
-        new = dict.fromkeys(w for c in cut for w in c if w not in self.known)
-        if new:
-            self.learn(list(new))
-        return cut
-
-    def numbers(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-
-    def ids(self, numbers: np.ndarray) -> np.ndarray:
-        n = self.length[numbers]
-        end = np.cumsum(n)
-        return self.flat[np.repeat(self.start[numbers] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+            ids, ends = flat.tolist(), np.cumsum(n).tolist()
+            self.spelled += [" ".join(map(str, ids[i:j])) for i, j in zip([0, *ends], ends, strict=False)]
+        own = np.zeros((len(names), 3), np.uint64)
+        own[number[: len(keys)] - base] = keys
+        self.seen, self.keys = np.append(self.seen, np.zeros(len(names), np.int32)), np.append(self.keys, own, axis=0)
+        if len(self.start) > 1 << (self.bits - 1):
+            self.bits = (2 * len(self.start)).bit_length()
+            long = self.long
+            old = np.setdiff1d(np.arange(base), np.fromiter(long.values(), np.int64, len(long)))
+            self._clear()
+            self.long = long
+            self._put(self.keys[old], old)
+        self._put(keys, number[: len(keys)])
+        self.long.update(zip(names[len(keys) :], number[len(keys) :].tolist(), strict=True))
+        return number
+
+    def _shrink(self) -> None:
+        long = {k: name for name, k in self.long.items()}
+        keep = np.flatnonzero(self.seen > 1)
+        keep = keep[np.sort(np.argsort(-self.seen[keep], kind="stable")[: self.most // 2])]
+        n = self.length[keep]
+        self.flat = self.flat[rows_at(self.start[keep], n, int(n.sum()))]
+        self.start, self.length, self.keys, self.seen = np.cumsum(n) - n, n, self.keys[keep], np.zeros(len(keep), np.int32)
+        self.spelled = [self.spelled[k] for k in keep.tolist()] if self.spell else []
+        self._clear()
+        self.long = {long[k]: i for i, k in enumerate(keep.tolist()) if k in long}
+        short = np.setdiff1d(np.arange(len(keep)), np.fromiter(self.long.values(), np.int64, len(self.long)))
+        self._put(self.keys[short], short)
+
+    def batch(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
+        """The ids of each text, and their decimal text if they are spelled."""
+        if len(self.start) > self.most:
+            self._shrink()
+        raw = [t.encode("utf-8", "replace") for t in texts]
+        b = np.frombuffer(b" " + b" ".join(raw) + b" " + b"\0" * WIDE, np.uint8)
+        begin = np.cumsum([0, *(len(x) + 1 for x in raw)])  # of each text, at the blank before it
+        body = b[: begin[-1] + 1]
+        white, blank = WHITE[body], body == 32
+        apart = np.flatnonzero(white[:-1] & white[1:] & (blank[:-1] | blank[1:]))
+        whole = np.array([ODD_WHITE.search(t) is not None for t in texts], bool)
+        whole[np.searchsorted(begin, apart, side="right") - 1] = True
+        at = np.flatnonzero(blank)
+        owner = np.searchsorted(begin, at[:-1], side="right") - 1
+        ok = ~whole[owner]
+        start, size, owner = at[:-1][ok] + 1, (np.diff(at) - 1)[ok], owner[ok]
+        alone = start - 1 == begin[owner]  # a text's first stretch has no blank before it
+        last, prior, third = b[start + size - 1], b[np.maximum(start + size - 2, 0)], b[np.maximum(start + size - 3, 0)]
+        marked = (size > 1) & MARK[last] & (LETTER[prior] | (size > 2) & (third == 0xC3) & (prior != 0x97) & (prior != 0xB7) & (prior >= 0x80))
+        # Marks follow their words in the row of stretches.
+        times = 1 + marked
+        place = np.cumsum(times) - times
+        count = int(times.sum())
+        s, n, o, f = (np.empty(count, np.int64) for _ in range(4))
+        s[place], n[place], o[place], f[place] = start, size - marked, owner, ~alone
+        tail = place[marked] + 1
+        s[tail], n[tail], o[tail], f[tail] = start[marked] + size[marked] - 1, 1, owner[marked], 0
+        number = np.empty(count, np.int64)
+        wide = n >= WIDE
+        short = np.flatnonzero(~wide)
+        keys = np.lib.stride_tricks.as_strided(b, (len(b) - WIDE + 1, WIDE), (1, 1))[s[short]].view(np.uint64) & KEEP[n[short]]
+        keys[:, 2] |= (n[short] | f[short] << 7).astype(np.uint64) << np.uint64(56)
+        number[short] = found = self._find(keys)
+        missing = np.flatnonzero(found < 0)
+        names: dict[bytes, int] = {}
+        data = body.tobytes()
+        spell = lambda k: (b"\1" if f[k] else b"\0") + data[s[k] : s[k] + n[k]]
+        new = [names.setdefault(spell(k), i) for i, k in zip(missing.tolist(), short[missing].tolist(), strict=True)]
+        lasting = np.fromiter(names.values(), np.int64, len(names))
+        far = np.flatnonzero(wide).tolist()
+        rest = [spell(k) for k in far]
+        names_long = list(dict.fromkeys(x for x in rest if x not in self.long))
+        if names or names_long:
+            got = self._learn([*names, *names_long], keys[lasting])
+            to = np.zeros(len(keys), np.int64)
+            to[lasting] = got[: len(lasting)]
+            number[short[missing]] = to[new]
+        if far:
+            number[far] = [self.long[x] for x in rest]
+        self.seen += np.minimum(np.bincount(number, minlength=len(self.seen)), 1 << 20).astype(np.int32)
+        each = self.length[number]
+        ids = self.flat[rows_at(self.start[number], each, int(each.sum()))]
+        ends = np.cumsum(np.bincount(o, weights=each, minlength=len(texts))).astype(np.int64).tolist()
+        stretch = np.cumsum(np.bincount(o, minlength=len(texts))).tolist()
+        names_of = number.tolist() if self.spell else []
+        out = []
+        for k, t in enumerate(texts):
+            if whole[k]:
+                own = self.encode([], [t])[0]
+                out.append((own, " ".join(map(str, own.tolist())) if self.spell else ""))
+            else:
+                i, j = (stretch[k - 1] if k else 0), stretch[k]
+                out.append((ids[ends[k - 1] if k else 0 : ends[k]], " ".join(filter(None, map(self.spelled.__getitem__, names_of[i:j]))) if self.spell else ""))
+        return out
+
+
+def by_pattern(pattern: str, merges: Merges) -> Callable[[list[str], list[str]], tuple[np.ndarray, np.ndarray]]:
+    """Encodes words and texts: every match of pattern by itself, equal matches once."""
+    cut = regex.compile(pattern).findall
+
+    def encode(words: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = cut("".join(" " + w for w in words))
+        # Matches that begin with a blank are where a word begins: no word has another one.
+        owner = np.cumsum(np.fromiter((m[0] == " " for m in found), np.int64, len(found))) - 1
+        owners = [owner]
+        for k, t in enumerate(texts, len(words)):
+            more = cut(t)
+            found += more
+            owners.append(np.full(len(more), k))
+        number = {m: k for k, m in enumerate(dict.fromkeys(found))}
+        ids = merges.encode_words([m.encode("utf-8", "replace") for m in number])
+        size = np.array([len(x) for x in ids], np.int64)
+        flat = np.array([i for x in ids for i in x], np.int64)
+        use = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
+        n = size[use]
+        end, first = np.cumsum(n), np.cumsum(size) - size
+        out = flat[np.repeat(first[use] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
+        return out, np.bincount(np.concatenate(owners), weights=n, minlength=len(words) + len(texts)).astype(np.int64)
+
+    return encode
 
 
 _loaded: dict[tuple[str, str], tuple[Merges, Words]] = {}
@@ -206,7 +359,7 @@ def loaded(path: str, pattern: str) -> tuple[Merges, Words]:
     """One copy for each Python worker, whatever the number of its tasks."""
     if (path, pattern) not in _loaded:
         merges = Merges(read_ranks(path))
-        _loaded[path, pattern] = merges, Words(pattern, lambda w: merges.encode_words([x.encode("utf-8", "replace") for x in w]), spell=True)
+        _loaded[path, pattern] = merges, Words(by_pattern(pattern, merges), spell=True)
     return _loaded[path, pattern]
 
 
@@ -220,11 +373,9 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def body(b: pa.RecordBatch) -> list:
         merges, words = loaded(path, pattern)
         n, ids_sha, text_sha = [], [], []
-        for cut in words.batch(texts_of(b)):
-            k = words.numbers(cut)
-            ids = words.ids(k)
+        for ids, spelled in words.batch(texts_of(b)):
             n.append(len(ids))
-            ids_sha.append(hashlib.sha256(" ".join(map(words.spelled.__getitem__, k.tolist())).encode()).hexdigest())
+            ids_sha.append(hashlib.sha256(spelled.encode()).hexdigest())
             text_sha.append(hashlib.sha256(merges.decode(ids)).hexdigest())
         return [b.column("doc_id"), n, ids_sha, text_sha]
 

@@ -79,14 +79,25 @@ def loaded(path: str) -> tuple:
     if path not in _loaded:
         import os
 
-        import public_tokenizers
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        encode = lambda texts: [x.ids for x in t.encode_batch_fast(texts, add_special_tokens=False)]
-        _loaded[path] = encode, Words(public_tokenizers.PATTERN, encode)
+
+        def whole(text: str) -> np.ndarray:
+            return np.array(t.encode(text, add_special_tokens=False).ids, np.int64)
+
+        # Tokens that begin with a blank: in a row of words, where a word begins.
+        begins = np.array([(t.id_to_token(k) or "").startswith("Ġ") for k in range(t.get_vocab_size())])
+
+        def encode(words: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            got = t.encode_batch_fast(["".join(" " + w for w in words), *texts], add_special_tokens=False)
+            first = np.array(got[0].ids, np.int64)
+            n = np.append(np.bincount(np.cumsum(begins[first]) - 1, minlength=len(words)), [len(x) for x in got[1:]]).astype(np.int64)
+            return np.concatenate([first, *(np.array(x.ids, np.int64) for x in got[1:])]), n
+
+        _loaded[path] = whole, Words(encode)
     return _loaded[path]
 
 
@@ -96,14 +107,14 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, words = loaded(path)
+        whole, words = loaded(path)
         for b in sliced(batches):
             texts = texts_of(b)
             plain = [PLAIN.fullmatch(t) is not None for t in texts]
             cut = words.batch([t if p else "" for t, p in zip(texts, plain, strict=True)])
             out: list[tuple] = []
-            for doc, text, p, c in zip(b.column("doc_id").to_pylist(), texts, plain, cut, strict=True):
-                ids = words.ids(words.numbers(c)) if p else np.array(encode([text])[0], np.int64)
+            for doc, text, p, (ids, _) in zip(b.column("doc_id").to_pylist(), texts, plain, cut, strict=True):
+                ids = ids if p else whole(text)
                 ids = np.append(ids, END).astype("<u4")
                 first = len(ids) % length or length
                 for k, end in enumerate(range(first, len(ids) + 1, length)):
