@@ -19,15 +19,17 @@ copies costs about as many comparisons as it has members, and no link between co
 
 from __future__ import annotations
 
+import hashlib
+import struct
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varstrata.llm.arrow import sliced
-from varstrata.llm.common import let, lower_ascii, stash, words_of
+from varstrata.llm.arrow import mapper, sliced, texts_of
+from varstrata.llm.common import stash
 from varstrata.llm.components import connected_components
 
 #: Slots of the table of counts.
@@ -39,29 +41,67 @@ DEVIATIONS, LEAST = 6.0, 32
 TAKEN = (1, 2, 3)
 
 
-def shingles(text: Column, n: int, ordered: bool = True) -> Column:
-    """Distinct hashes of the n-grams of words, ascending if ordered; with fewer than n words that of the whole
-    sequence; without words none."""
-
-    def grams(w: Column) -> Column:
-        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[w[i + k] for k in range(n)]))).when(F.size(w) > 0, F.array(F.xxhash64(F.size(w), w))).otherwise(F.array().cast("array<long>"))
-
-    return let(words_of(lower_ascii(F.coalesce(text, F.lit("")))), lambda w: (F.sort_array if ordered else lambda x: x)(F.array_distinct(grams(w))))
-
-
-def hashed_counts(sets: DataFrame, slots: int = SLOTS) -> np.ndarray:
-    """How often the tokens of each slot occur in all sets."""
+#: Multiplier of a word's bytes, and of its hash by place in the n-gram: odd 64-bit numbers.
+BASE, FIRST, SECOND = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
+
+
+def mixed_bits(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    h = (h ^ (h >> np.uint64(33))) * FIRST
+    h = (h ^ (h >> np.uint64(33))) * SECOND
+    return h ^ (h >> np.uint64(33))
+
+
+def token_lists(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams of words of all texts, in order and with repeats, and how many each text has. A text with
+    fewer than n words has one hash, of all its words; one without words none."""
+    raw = [t.encode("utf-8", "replace").lower() for t in texts]
+    b = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)
+    white = (b == 32) | (b - np.uint8(9) < 5)
+    edge = np.flatnonzero(white[1:] != white[:-1]) + 1
+    start, end = edge[::2], edge[1::2]
+    begin = np.cumsum([0, *(len(x) + 1 for x in raw)])
+    each = np.bincount(np.searchsorted(begin, start, side="right") - 1, minlength=len(texts))
+    size = end - start
+    total = int(size.sum())
+    if not total:
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    power = np.cumprod(np.full(int(size.max()), BASE, np.uint64))
+    first = np.cumsum(size) - size
+    within = np.arange(total) - np.repeat(first, size)
+    terms = (b[np.repeat(start, size) + within].astype(np.uint64) + np.uint64(1)) * power[within]
+    word = mixed_bits(np.add.reduceat(terms, first) + size.astype(np.uint64))
+    gram, count = np.zeros(len(word), np.uint64), np.minimum(each, n)
+    last = np.cumsum(each)
+    left = np.repeat(last, each) - np.arange(len(word))  # words from this one to the end of its text
+    for k in range(n):
+        gram = np.where(left > k, mixed_bits(gram + np.roll(word, -k) * BASE + np.uint64(k + 1)), gram)
+    # Where a text has fewer than n words, its first word's gram is the whole sequence.
+    grams = np.where(each >= n, each - n + 1, (each > 0).astype(np.int64))
+    keep = np.arange(len(word)) - np.repeat(last - each, each) < np.repeat(grams, each)
+    return gram[keep], grams
+
+
+def sets_of_texts(texts: list[str], n: int) -> list[np.ndarray]:
+    """The ascending distinct tokens of each text."""
+    flat, count = token_lists(texts, n)
+    ends = np.cumsum(count).tolist()
+    return [np.unique(flat[i:j]) for i, j in zip([0, *ends], ends, strict=False)]
+
+
+def hashed_counts(docs: DataFrame, n: int, slots: int = SLOTS) -> np.ndarray:
+    """How often the tokens of each slot occur in all texts."""
     schema = pa.schema([("slot", pa.int32()), ("n", pa.int64())])
 
     def count(batches):
         total = np.zeros(slots, np.int64)
-        for b in sliced(batches, 2048):
-            tokens = b.column("set").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        for b in sliced(batches):
+            tokens, _ = token_lists(texts_of(b), n)
             total += np.bincount((tokens & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], schema=schema)
 
-    got = sets.select("set").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    got = docs.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(slots, np.int64)
     out[got["slot"].to_numpy()] = got["n"].to_numpy()
     return out
@@ -121,47 +161,71 @@ def signatures(tokens: np.ndarray, kinds: np.ndarray, percent: int) -> tuple[lis
     return rare + sorted(combos), [*range(len(rare)), *[len(rare)] * len(combos)], len(rare)
 
 
-def signed(sets: DataFrame, classes: np.ndarray, percent: int) -> DataFrame:
-    """(doc_id, n, k1, k2, rare, sigs, places) of each row of sets."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("rare", pa.int32()), ("sigs", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
-    slots = len(classes)
+def key_of(tokens: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell sets apart."""
+    return struct.unpack("<qq", hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
+
 
-    def run(batches):
-        for b in sliced(batches, 512):
-            column = b.column("set")
-            flat = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
-            kinds = classes[(flat & np.uint64(slots - 1)).astype(np.int64)]
-            begin, out = 0, []
-            for end in ends.tolist():
-                # Spark sorts hashes as signed numbers; the order of tokens is that order.
-                out.append(signatures(flat[begin:end], kinds[begin:end], percent))
-                begin = end
-            cols = [pa.array([x[2] for x in out], pa.int32()), pa.array([x[0] for x in out], schema.field("sigs").type), pa.array([x[1] for x in out], schema.field("places").type)]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("doc_id", "n", "k1", "k2")], *cols], schema=schema)
+def signed(docs: DataFrame, classes: np.ndarray, n: int, percent: int) -> DataFrame:
+    """(doc_id, n, k1, k2, rare, sigs, places) of each row of docs: n is the size of its set, k1 and k2 its key."""
+    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n", "k1", "k2")), ("rare", pa.int32()), ("sigs", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
+    slots = np.uint64(len(classes) - 1)
 
-    return sets.select("doc_id", "n", "k1", "k2", "set").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, rare int, sigs array<long>, places array<int>")
+    def body(b: pa.RecordBatch) -> list:
+        sets = sets_of_texts(texts_of(b), n)
+        keys = [key_of(s) for s in sets]
+        sigs = [signatures(s, classes[(s & slots).astype(np.int64)], percent) for s in sets]
+        return [b.column("doc_id"), [len(s) for s in sets], *([k[i] for k in keys] for i in (0, 1)), *([x[i] for x in sigs] for i in (2, 0, 1))]
 
+    return docs.select("doc_id", "text").mapInArrow(mapper(body, schema), "doc_id long, n long, k1 long, k2 long, rare int, sigs array<long>, places array<int>")
 
-def sets_of(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, set, n, k1, k2): the keys tell sets apart."""
-    rows = docs.select("doc_id", shingles(F.col("text"), n).alias("set"))
-    return rows.select("doc_id", "set", F.size("set").cast("long").alias("n"), F.xxhash64("set").alias("k1"), F.xxhash64(F.lit(1), "set").alias("k2"))
 
+def held_sets(docs: DataFrame, wanted: DataFrame, n: int, rows: int = 100_000) -> DataFrame:
+    """(q, rep, n, set) of the representatives in wanted (q, rep, k1, k2): their texts are read once more. The ids are
+    broadcast if they were counted to be few, else texts and ids are joined by a shuffle."""
+    ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if wanted.count() <= rows else ids, "doc_id", "left_semi")
+    schema = pa.schema([("rep", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("set", pa.list_(pa.int64()))])
 
-def close(a: tuple[str, str], b: tuple[str, str], percent: int) -> Column:
-    """Whether two members of a signature can link, by their places in it and their sizes. Tokens before the first
-    shared one are in one set alone, and linked sets differ in (100 - p) / (100 + p) of their sizes' sum at most."""
-    (at, n), (bt, m) = (tuple(map(F.col, x)) for x in (a, b))
-    return ((100 + percent) * (at + bt) <= (100 - percent) * (n + m)) & (100 * F.least(n, m) >= percent * F.greatest(n, m))
+    def body(b: pa.RecordBatch) -> list:
+        sets = sets_of_texts(texts_of(b), n)
+        keys = [key_of(s) for s in sets]
+        return [b.column("doc_id"), *([k[i] for k in keys] for i in (0, 1)), [s.view(np.int64) for s in sets]]
+
+    sets = texts.mapInArrow(mapper(body, schema), "rep long, k1 long, k2 long, set array<long>")
+    return sets.join(wanted, ["rep", "k1", "k2"]).select("q", "rep", F.size("set").cast("long").alias("n"), "set").dropDuplicates(["q", "rep"])
+
+
+def likely(rows: DataFrame, percent: int) -> DataFrame:
+    """(q, pivot), q below pivot, of pairs that can link, from one row for each signature that they share (q, at, n, rare; pivot, bt, m,
+    scarce: place, size and rare tokens of either side).
+
+    Linked sets differ in D = (100 - p) / (100 + p) of the sum of their sizes at most. What stands before the first
+    shared token is in one set alone. If both prefixes are of rare tokens only, then all shared ones were counted up to
+    the shorter prefix's end, and beyond the last shared one the shorter prefix differs as well.
+    """
+    sized = rows.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    # A pair's signatures must meet in one row, whichever side they came from.
+    ends = [F.struct(*[F.col(c).alias(x) for c, x in zip(side, ("q", "at", "n", "rare"), strict=True)]) for side in (("q", "at", "n", "rare"), ("pivot", "bt", "m", "scarce"))]
+    turned = F.col("q") > F.col("pivot")
+    sized = sized.select(F.when(turned, ends[1]).otherwise(ends[0]).alias("x"), F.when(turned, ends[0]).otherwise(ends[1]).alias("y"))
+    sized = sized.select("x.*", *[F.col("y")[c].alias(to) for c, to in zip(("q", "at", "n", "rare"), ("pivot", "bt", "m", "scarce"), strict=True)])
+    pairs = sized.groupBy("q", "pivot").agg(F.count("*").alias("s"), F.min(F.col("at") + F.col("bt")).alias("before"), F.max("at").alias("i"), F.max("bt").alias("j"), *[F.first(c).alias(c) for c in ("n", "m", "rare", "scarce")])
+    need = lambda c: F.col(c) - F.ceil(percent * F.col(c) / 100) + 1
+    most = (100 - percent) * (F.col("n") + F.col("m"))
+    within = lambda differ: (100 + percent) * differ <= most
+    full = (F.col("rare") == need("n")) & (F.col("scarce") == need("m"))
+    apart = within(need("n") + F.col("j") + 1 - 2 * F.col("s")) | within(need("m") + F.col("i") + 1 - 2 * F.col("s"))
+    return pairs.where(within(F.col("before")) & (~full | apart)).select("q", "pivot")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): representatives of the pairs (q, pivot) whose sets reach the threshold. The pivots' sets are joined to
-    narrow rows first, so that a pivot of many pairs is met by rows of a few bytes."""
-    one = sets.select(F.col("q").alias("pivot"), F.col("rep").alias("b"), F.col("n").alias("m"), F.col("set").alias("other"))
+    """(a, b): representatives of the pairs (q, pivot) whose sets reach the threshold. The lower ends, which
+    have the most pairs, are joined to narrow rows first, so that they are met by rows of a few bytes."""
+    low = sets.select("q", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("set").alias("other"))
+    high = sets.withColumnRenamed("q", "pivot")
     shared = F.size(F.array_intersect("set", "other"))
-    return pairs.join(one, "pivot").join(sets, "q").where((100 + percent) * shared >= percent * (F.col("n") + F.col("m"))).select(F.col("rep").alias("a"), "b")
+    return pairs.join(low, "q").join(high, "pivot").where((100 + percent) * shared >= percent * (F.col("n") + F.col("m"))).select(F.col("rep").alias("a"), "b")
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -174,40 +238,39 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must lie between 50 and 100")
-    classes = classes_of(hashed_counts(docs.select(shingles(F.col("text"), n, ordered=False).alias("set"))))
-    rows = stash(signed(sets_of(docs, n), classes, percent), "signed")
+    classes = classes_of(hashed_counts(docs, n))
+    rows = stash(signed(docs, classes, n, percent), "signed")
     # q orders the members of a signature: fewest rare tokens first, then by hash.
     q = F.call_function("shiftleft", F.least("rare", F.lit(127)).cast("long"), F.lit(56)) + F.pmod(F.xxhash64("k1", "k2"), F.lit(1 << 56))
     linked = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     one = linked.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "rare", "sigs", "places")])
     reps = stash(one.withColumn("q", q), "representatives")
 
-    every = reps.select("q", "n", F.explode(F.arrays_zip("sigs", "places")).alias("s")).select("q", "n", F.col("s.sigs").alias("sig"), F.col("s.places").alias("at"))
+    every = reps.select("q", "n", "rare", F.explode(F.arrays_zip("sigs", "places")).alias("s")).select("q", "n", "rare", F.col("s.sigs").alias("sig"), F.col("s.places").alias("at"))
     shared = every.groupBy("sig").agg(F.min("q").alias("low"), F.max("q").alias("high")).where("low < high").select("sig", "low")
     members = stash(every.join(shared, "sig"), "members")
-    some = members.select("q").distinct().join(reps.select("q", "rep", F.col("k1").alias("j1"), F.col("k2").alias("j2")), "q")
-    texts = docs.select("doc_id", "text").join(some.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    same = (F.col("doc_id") == F.col("rep")) & (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2"))
-    sets = stash(sets_of(texts, n).join(some, same).select("q", "rep", "n", "set").dropDuplicates(["q", "rep"]), "sets")
-
-    pivots = members.where(F.col("q") == F.col("low")).select("sig", F.col("q").alias("pivot"), F.col("at").alias("bt"), F.col("n").alias("m"))
-    near = members.join(pivots, "sig").where((F.col("q") != F.col("pivot")) & close(("at", "n"), ("bt", "m"), percent)).select("q", "pivot").distinct()
-    tried = stash(near, "around-pivots")
+    pivots = members.where(F.col("q") == F.col("low")).select("sig", F.col("q").alias("pivot"), F.col("at").alias("bt"), F.col("n").alias("m"), F.col("rare").alias("scarce"))
+    tried = stash(likely(members.join(pivots, "sig").where(F.col("q") != F.col("pivot")), percent), "around-pivots")
+    names = reps.select("q", "rep", "k1", "k2")
+    ends = lambda pairs: pairs.select("q").unionByName(pairs.select(F.col("pivot").alias("q"))).distinct()
+    sets = stash(held_sets(docs, stash(names.join(ends(tried), "q"), "wanted"), n), "sets")
     links = stash(verified(tried, sets, percent), "links-of-pivots")
     found = connected_components(links)
 
     # What shares a signature across components: the members outside of the pivot's component, against all others.
     label = found.join(sets.select("q", F.col("rep").alias("node")), "node").select("q", "component")
     part = F.when(F.col("component").isNotNull(), F.struct(F.lit(0).alias("own"), F.col("component").alias("id"))).otherwise(F.struct(F.lit(1).alias("own"), F.col("q").alias("id")))
-    told = stash(members.join(label, "q", "left").withColumn("part", part), "told")
+    told = stash(members.join(label, "q", "left").withColumn("part", part).drop("component"), "told")
     main = told.where(F.col("q") == F.col("low")).select("sig", F.col("part").alias("main"))
-    outside = told.join(main, "sig").where("part != main").select("sig", "q", "at", "n", "part")
-    others = told.select("sig", F.col("q").alias("pivot"), F.col("at").alias("bt"), F.col("n").alias("m"), F.col("part").alias("other"))
-    across = outside.join(others, "sig").where((F.col("part") != F.col("other")) & close(("at", "n"), ("bt", "m"), percent))
-    ordered = across.select(F.greatest("q", "pivot").alias("q"), F.least("q", "pivot").alias("pivot")).distinct()
-    more = stash(verified(ordered.join(tried, ["q", "pivot"], "left_anti"), sets, percent), "links-across")
-    if more.take(1):
-        found = connected_components(links.unionByName(more))
+    outside = told.join(main, "sig").where("part != main").select("sig", "q", "at", "n", "rare", "part")
+    others = told.select("sig", F.col("q").alias("pivot"), F.col("at").alias("bt"), F.col("n").alias("m"), F.col("rare").alias("scarce"), F.col("part").alias("other"))
+    # Of two members outside, each pair would come twice; those of the pivot's component are met once.
+    met = outside.join(others.join(main, "sig"), "sig").where((F.col("part") != F.col("other")) & ((F.col("other") == F.col("main")) | (F.col("q") < F.col("pivot"))))
+    across = stash(likely(met, percent).join(tried, ["q", "pivot"], "left_anti"), "across")
+    if across.take(1):
+        new = ends(across).join(sets.select("q"), "q", "left_anti")
+        more = stash(held_sets(docs, stash(names.join(new, "q"), "wanted"), n), "sets")
+        found = connected_components(links.unionByName(verified(across, sets.unionByName(more), percent)))
 
     classes_found = reps.select("k1", "k2", "rep", "copies").join(found, F.col("rep") == F.col("node"), "left").select(F.col("k1").alias("j1"), F.col("k2").alias("j2"), F.coalesce("component", "rep").alias("component"), "rep", "copies")
     several = classes_found.where("copies > 1 or component != rep").select("j1", "j2", "component")
