@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varstrata.llm.arrow import mapper, sliced, texts_of
-from varstrata.llm.common import stash
+from varstrata.llm.common import small_join, stash
 from varstrata.llm.components import connected_components
 
 #: Slots of the table of counts.
@@ -37,6 +37,10 @@ SLOTS = 1 << 18
 #: A slot is frequent above its expected count plus the first number of standard deviations and the second of rows,
 #: very frequent above sixteen times that excess.
 DEVIATIONS, LEAST = 6.0, 32
+#: Labels of linked sets that are broadcast, two numbers each; more are joined by a shuffle.
+LABELS = 250_000
+#: Bits of the parities of sets smaller than the first number, multiples of 64.
+BITS = ((2_000, 512), (8_000, 2048), (1 << 62, 8192))
 #: Tokens that make a signature: of rare, frequent and very frequent tokens.
 TAKEN = (1, 2, 3)
 
@@ -166,18 +170,26 @@ def key_of(tokens: np.ndarray) -> tuple[int, int]:
     return struct.unpack("<qq", hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
 
 
+def parities(tokens: np.ndarray) -> list[int]:
+    """One bit for each of many hash classes of tokens: whether the set has an odd number of them. Where two sets' bits
+    differ, at least one token is in one set alone. Larger sets have more classes."""
+    bits = next(b for most, b in BITS if len(tokens) < most)
+    odd = np.bincount((tokens >> np.uint64(40)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8").tolist()
+
+
 def signed(docs: DataFrame, classes: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(doc_id, n, k1, k2, rare, sigs, places) of each row of docs: n is the size of its set, k1 and k2 its key."""
-    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n", "k1", "k2")), ("rare", pa.int32()), ("sigs", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
+    """(doc_id, n, k1, k2, rare, sigs, places, bits) of each row of docs: n is the size of its set, k1 and k2 its key."""
+    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n", "k1", "k2")), ("rare", pa.int32()), ("sigs", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("bits", pa.list_(pa.int64()))])
     slots = np.uint64(len(classes) - 1)
 
     def body(b: pa.RecordBatch) -> list:
         sets = sets_of_texts(texts_of(b), n)
         keys = [key_of(s) for s in sets]
         sigs = [signatures(s, classes[(s & slots).astype(np.int64)], percent) for s in sets]
-        return [b.column("doc_id"), [len(s) for s in sets], *([k[i] for k in keys] for i in (0, 1)), *([x[i] for x in sigs] for i in (2, 0, 1))]
+        return [b.column("doc_id"), [len(s) for s in sets], *([k[i] for k in keys] for i in (0, 1)), *([x[i] for x in sigs] for i in (2, 0, 1)), [parities(s) for s in sets]]
 
-    return docs.select("doc_id", "text").mapInArrow(mapper(body, schema), "doc_id long, n long, k1 long, k2 long, rare int, sigs array<long>, places array<int>")
+    return docs.select("doc_id", "text").mapInArrow(mapper(body, schema), "doc_id long, n long, k1 long, k2 long, rare int, sigs array<long>, places array<int>, bits array<long>")
 
 
 def held_sets(docs: DataFrame, wanted: DataFrame, n: int, rows: int = 100_000) -> DataFrame:
@@ -192,8 +204,8 @@ def held_sets(docs: DataFrame, wanted: DataFrame, n: int, rows: int = 100_000) -
         keys = [key_of(s) for s in sets]
         return [b.column("doc_id"), *([k[i] for k in keys] for i in (0, 1)), [s.view(np.int64) for s in sets]]
 
-    sets = texts.mapInArrow(mapper(body, schema), "rep long, k1 long, k2 long, set array<long>")
-    return sets.join(wanted, ["rep", "k1", "k2"]).select("q", "rep", F.size("set").cast("long").alias("n"), "set").dropDuplicates(["q", "rep"])
+    sets = texts.mapInArrow(mapper(body, schema), "rep long, k1 long, k2 long, set array<long>").dropDuplicates(["rep", "k1", "k2"])
+    return sets.join(wanted, ["rep", "k1", "k2"]).select("q", "rep", F.size("set").cast("long").alias("n"), "set")
 
 
 def likely(rows: DataFrame, percent: int) -> DataFrame:
@@ -216,7 +228,16 @@ def likely(rows: DataFrame, percent: int) -> DataFrame:
     within = lambda differ: (100 + percent) * differ <= most
     full = (F.col("rare") == need("n")) & (F.col("scarce") == need("m"))
     apart = within(need("n") + F.col("j") + 1 - 2 * F.col("s")) | within(need("m") + F.col("i") + 1 - 2 * F.col("s"))
-    return pairs.where(within(F.col("before")) & (~full | apart)).select("q", "pivot")
+    return pairs.where(within(F.col("before")) & (~full | apart)).select("q", "pivot", "n", "m")
+
+
+def similar(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (q, pivot) of likely() whose parities differ in no more bits than linked sets may differ in tokens, or
+    aren't comparable."""
+    low, high = reps.select("q", F.col("bits").alias("low")), reps.select(F.col("q").alias("pivot"), F.col("bits").alias("high"))
+    differ = F.aggregate(F.zip_with("low", "high", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    near = (F.size("low") != F.size("high")) | ((100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("m")))
+    return pairs.join(low, "q").join(high, "pivot").where(near).select("q", "pivot")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -243,14 +264,14 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     # q orders the members of a signature: fewest rare tokens first, then by hash.
     q = F.call_function("shiftleft", F.least("rare", F.lit(127)).cast("long"), F.lit(56)) + F.pmod(F.xxhash64("k1", "k2"), F.lit(1 << 56))
     linked = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    one = linked.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "rare", "sigs", "places")])
+    one = linked.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "rare", "sigs", "places", "bits")])
     reps = stash(one.withColumn("q", q), "representatives")
 
     every = reps.select("q", "n", "rare", F.explode(F.arrays_zip("sigs", "places")).alias("s")).select("q", "n", "rare", F.col("s.sigs").alias("sig"), F.col("s.places").alias("at"))
     shared = every.groupBy("sig").agg(F.min("q").alias("low"), F.max("q").alias("high")).where("low < high").select("sig", "low")
     members = stash(every.join(shared, "sig"), "members")
     pivots = members.where(F.col("q") == F.col("low")).select("sig", F.col("q").alias("pivot"), F.col("at").alias("bt"), F.col("n").alias("m"), F.col("rare").alias("scarce"))
-    tried = stash(likely(members.join(pivots, "sig").where(F.col("q") != F.col("pivot")), percent), "around-pivots")
+    tried = stash(similar(likely(members.join(pivots, "sig").where(F.col("q") != F.col("pivot")), percent), reps, percent), "around-pivots")
     names = reps.select("q", "rep", "k1", "k2")
     ends = lambda pairs: pairs.select("q").unionByName(pairs.select(F.col("pivot").alias("q"))).distinct()
     sets = stash(held_sets(docs, stash(names.join(ends(tried), "q"), "wanted"), n), "sets")
@@ -258,15 +279,15 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     found = connected_components(links)
 
     # What shares a signature across components: the members outside of the pivot's component, against all others.
-    label = found.join(sets.select("q", F.col("rep").alias("node")), "node").select("q", "component")
+    label = stash(found.join(sets.select("q", F.col("rep").alias("node")), "node").select("q", "component"), "labels")
     part = F.when(F.col("component").isNotNull(), F.struct(F.lit(0).alias("own"), F.col("component").alias("id"))).otherwise(F.struct(F.lit(1).alias("own"), F.col("q").alias("id")))
-    told = stash(members.join(label, "q", "left").withColumn("part", part).drop("component"), "told")
+    told = stash(small_join(members, label, "q", rows=LABELS).withColumn("part", part).drop("component"), "told")
     main = told.where(F.col("q") == F.col("low")).select("sig", F.col("part").alias("main"))
     outside = told.join(main, "sig").where("part != main").select("sig", "q", "at", "n", "rare", "part")
     others = told.select("sig", F.col("q").alias("pivot"), F.col("at").alias("bt"), F.col("n").alias("m"), F.col("rare").alias("scarce"), F.col("part").alias("other"))
     # Of two members outside, each pair would come twice; those of the pivot's component are met once.
     met = outside.join(others.join(main, "sig"), "sig").where((F.col("part") != F.col("other")) & ((F.col("other") == F.col("main")) | (F.col("q") < F.col("pivot"))))
-    across = stash(likely(met, percent).join(tried, ["q", "pivot"], "left_anti"), "across")
+    across = stash(similar(likely(met, percent), reps, percent).join(tried, ["q", "pivot"], "left_anti"), "across")
     if across.take(1):
         new = ends(across).join(sets.select("q"), "q", "left_anti")
         more = stash(held_sets(docs, stash(names.join(new, "q"), "wanted"), n), "sets")

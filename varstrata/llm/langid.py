@@ -17,6 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from varstrata.llm.arrow import mapper
 
@@ -173,7 +174,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     """
     keep = [c for c in (["doc_id"] if keep is None else keep) if c not in ("lang_pred", "score")]
     packed = pickle.dumps(model)
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if "text" in keep else ["text"]))
     fields = rows.select(*[f"`{c}`" for c in keep]).schema
 
     def run(batches):
@@ -181,15 +182,13 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                texts = b.column(b.num_columns - 1).to_pylist()
+                texts = b.column("text").to_pylist()
                 lettered = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
                 langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
                 if lettered:
                     for i, lang, score in zip(lettered, *m.predict(np.stack([features(texts[i], m.weights.shape[1]) for i in lettered])), strict=True):
                         langs[i], scores[i] = lang, score
-                arrays = [*b.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+                arrays = [*b.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "lang_pred", "score"])
 
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-
     return rows.mapInArrow(run, StructType([*fields.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
