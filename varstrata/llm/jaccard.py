@@ -25,7 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varstrata.llm.arrow import mapper, sliced, texts_of
@@ -37,10 +37,12 @@ SLOTS = 1 << 18
 #: A slot is frequent above its expected count plus the first number of standard deviations and the second of rows,
 #: very frequent above sixteen times that excess.
 DEVIATIONS, LEAST = 6.0, 32
-#: Labels of linked sets that are broadcast, two numbers each; more are joined by a shuffle.
-LABELS = 250_000
+#: Representatives whose labels and parities are broadcast, seven numbers each; more are joined by a shuffle.
+LABELS = 300_000
 #: Bits of the parities of sets smaller than the first number, multiples of 64.
 BITS = ((2_000, 512), (8_000, 2048), (1 << 62, 8192))
+#: 64-bit numbers to which parities are folded for a first look.
+FOLDED = 4
 #: Tokens that make a signature: of rare, frequent and very frequent tokens.
 TAKEN = (1, 2, 3)
 
@@ -178,6 +180,15 @@ def parities(tokens: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8)).view("<i8").tolist()
 
 
+def folded(bits: Column) -> list[Column]:
+    """FOLDED numbers of parities, alike for sets of all sizes: classes that are equal modulo 64 * FOLDED meet."""
+    return [F.aggregate(_every(bits, k), F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b)) for k in range(FOLDED)]
+
+
+def _every(bits: Column, k: int) -> Column:
+    return F.filter(bits, lambda _, i: i % FOLDED == k)
+
+
 def signed(docs: DataFrame, classes: np.ndarray, n: int, percent: int) -> DataFrame:
     """(doc_id, n, k1, k2, rare, sigs, places, bits) of each row of docs: n is the size of its set, k1 and k2 its key."""
     schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n", "k1", "k2")), ("rare", pa.int32()), ("sigs", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("bits", pa.list_(pa.int64()))])
@@ -279,14 +290,19 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     found = connected_components(links)
 
     # What shares a signature across components: the members outside of the pivot's component, against all others.
-    label = stash(found.join(sets.select("q", F.col("rep").alias("node")), "node").select("q", "component"), "labels")
+    label = found.join(sets.select("q", F.col("rep").alias("node")), "node").select("q", "component")
     part = F.when(F.col("component").isNotNull(), F.struct(F.lit(0).alias("own"), F.col("component").alias("id"))).otherwise(F.struct(F.lit(1).alias("own"), F.col("q").alias("id")))
-    told = stash(small_join(members, label, "q", rows=LABELS).withColumn("part", part).drop("component"), "told")
+    looks = [f"f{k}" for k in range(FOLDED)]
+    known = reps.select("q", *[f.alias(x) for f, x in zip(folded(F.col("bits")), looks, strict=True)]).join(label, "q", "left").withColumn("part", part).drop("component")
+    told = stash(small_join(members, stash(known, "known"), "q", rows=LABELS), "told")
     main = told.where(F.col("q") == F.col("low")).select("sig", F.col("part").alias("main"))
-    outside = told.join(main, "sig").where("part != main").select("sig", "q", "at", "n", "rare", "part")
-    others = told.select("sig", F.col("q").alias("pivot"), F.col("at").alias("bt"), F.col("n").alias("m"), F.col("rare").alias("scarce"), F.col("part").alias("other"))
+    outside = told.join(main, "sig").where("part != main").select("sig", "q", "at", "n", "rare", "part", *looks)
+    others = told.select("sig", F.col("q").alias("pivot"), F.col("at").alias("bt"), F.col("n").alias("m"), F.col("rare").alias("scarce"), F.col("part").alias("other"), *[F.col(x).alias(f"g{x}") for x in looks])
     # Of two members outside, each pair would come twice; those of the pivot's component are met once.
-    met = outside.join(others.join(main, "sig"), "sig").where((F.col("part") != F.col("other")) & ((F.col("other") == F.col("main")) | (F.col("q") < F.col("pivot"))))
+    # The first look and the sizes are conditions of the join: what can't link is never a row.
+    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"g{x}"))) for x in looks), F.lit(0))
+    near = ((100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("m"))) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    met = outside.join(others.join(main, "sig"), "sig").where(near & (F.col("part") != F.col("other")) & ((F.col("other") == F.col("main")) | (F.col("q") < F.col("pivot"))))
     across = stash(similar(likely(met, percent), reps, percent).join(tried, ["q", "pivot"], "left_anti"), "across")
     if across.take(1):
         new = ends(across).join(sets.select("q"), "q", "left_anti")
