@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varstrata.scratch import release, shared_dir, stash
+
+__all__ = ["release", "shared_dir", "stash"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Separates words: space and the control characters from tab to carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -18,9 +18,6 @@ BLANK_RUN = r"[\x20\x09-\x0D]+"
 #: Rows up to which a table of thresholds or weights is broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 20_000
 
-_written: list[tuple[SparkSession, str]] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,45 +37,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares for intermediate tables: spark.checkpoint.dir.
-
-    Where the session has none (tests on one machine), a temporary folder is used.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{os.path.join(tempfile.gettempdir(), 'varstrata')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stash(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.parquet(path)
-
-
-def release() -> None:
-    """Deletes the intermediate tables; frames that still read them can't be used afterwards."""
-    while _written:
-        spark, path = _written.pop()
-        jvm = getattr(spark, "_jvm", None)
-        if jvm is not None and spark.sparkContext._jsc is not None:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@atexit.register
-def _at_exit() -> None:
-    try:
-        release()
-    except Exception:  # noqa: BLE001  the session may be gone already; the folder is scratch space
-        _written.clear()
-
-
 def small_join(left: DataFrame, right: DataFrame, on, how: str = "left", rows: int = BROADCAST_ROWS) -> DataFrame:
     """Joins a stashed table, broadcast only if it was counted to have few rows."""
     return left.join(F.broadcast(right) if right.count() <= rows else right, on, how)
