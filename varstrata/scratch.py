@@ -24,13 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, tag: str, ending: str = "") -> str:
+    """A new path in the shared folder, deleted by release()."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}{ending}"
+    _written.append((spark, path))
+    return path
+
+
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def release() -> None:
