@@ -38,14 +38,23 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is not None and spark.sparkContext._jsc is not None:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop(stashed: DataFrame) -> None:
+    """Deletes a table that stash() gave; no frame that reads it can be used afterwards."""
+    for path in {f.rpartition("/")[0] for f in stashed.inputFiles()}:
+        _delete(stashed.sparkSession, path)
+
+
 def release() -> None:
     """Deletes the intermediate tables; frames that still read them can't be used afterwards."""
     while _written:
-        spark, path = _written.pop()
-        jvm = getattr(spark, "_jvm", None)
-        if jvm is not None and spark.sparkContext._jsc is not None:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(*_written.pop())
 
 
 @atexit.register
