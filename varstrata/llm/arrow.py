@@ -5,11 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Rows that are held as Python objects at once.
 SLICE = 256
 
 
+#: Bytes of an Arrow batch between Spark and Python, where the session says nothing else; long texts come few at a time.
+BATCH_BYTES = 4 << 20
+_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+_defaults: set[str] = set()
+
+
+def mapped(df: DataFrame, body, schema: str) -> DataFrame:
+    """df.mapInArrow(body, schema), in batches of bounded size."""
+    spark = df.sparkSession
+    app = spark.sparkContext.applicationId
+    if app not in _defaults and _SETTING not in dict(spark.sparkContext.getConf().getAll()):
+        spark.conf.set(_SETTING, str(BATCH_BYTES))
+        _defaults.add(app)
+    return df.mapInArrow(body, schema)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Short slices, without copying, so that a batch of long texts isn't turned into Python objects all at once."""
     for b in batches:

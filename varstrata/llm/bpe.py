@@ -18,12 +18,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from varstrata.llm.arrow import mapper, texts_of
+from varstrata.llm.arrow import mapped, mapper, texts_of
 
 #: Words of up to this many bytes are encoded together.
 TOGETHER = 64
 #: Stretches of text that a worker remembers with their ids.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 #: Bytes of a key in its table: the stretch, and a last byte for its length and whether a blank stands before it.
 WIDE = 24
 KEEP = np.where(np.arange(WIDE)[None] < np.arange(WIDE)[:, None], 0xFF, 0).astype(np.uint8).view(np.uint64)
@@ -380,4 +380,4 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         return [b.column("doc_id"), n, ids_sha, text_sha]
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-    return docs.select("doc_id", "text").mapInArrow(mapper(body, schema), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(docs.select("doc_id", "text"), mapper(body, schema), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varstrata.scratch import release, shared_dir, stash
+from varstrata.scratch import drop, release, shared_dir, stash
 
-__all__ = ["release", "shared_dir", "stash"]
+__all__ = ["drop", "release", "shared_dir", "stash"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Separates words: space and the control characters from tab to carriage return.

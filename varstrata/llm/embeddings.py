@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varstrata.llm.arrow import sliced
+from varstrata.llm.arrow import mapped, sliced
 from varstrata.llm.common import stash
 from varstrata.llm.components import connected_components
 
@@ -149,7 +149,7 @@ def _links(classes: DataFrame, least: float, codes: int, sample: int, target: fl
 
     fields = classes.select("label", "embedding", "rep", "copies")
     schema = f"label {fields.schema['label'].dataType.simpleString()}, embedding {fields.schema['embedding'].dataType.simpleString()}, rep long, copies long, cell int"
-    placed = stash(fields.mapInArrow(place, schema), "cells")
+    placed = stash(mapped(fields, place, schema), "cells")
     sizes = placed.groupBy("label", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = placed.join(sizes, ["label", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     filled = stash(dealt.groupBy("label", "cell", "block").agg(F.sort_array(F.collect_list(F.struct("rep", "copies", "embedding"))).alias("rows")), "blocks")
@@ -166,7 +166,7 @@ def _links(classes: DataFrame, least: float, codes: int, sample: int, target: fl
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*one, strict=True), out, strict=True)], schema=out)
 
     same = ((F.col("cell") == F.col("from_cell")) & (F.col("block") == F.col("from_block"))).alias("same")
-    found = stash(pairs.select(same, "from_rows", "rows").mapInArrow(verify, "rep long, others long, to long"), "verified")
+    found = stash(mapped(pairs.select(same, "from_rows", "rows"), verify, "rep long, others long, to long"), "verified")
     counts = found.groupBy("rep").agg(F.sum("others").alias("others"))
     return counts, found.where("to is not null").select(F.col("rep").alias("a"), F.col("to").alias("b"))
 

@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varstrata.llm.arrow import mapper, sliced, texts_of
-from varstrata.llm.common import small_join, stash
+from varstrata.llm.arrow import mapped, mapper, sliced, texts_of
+from varstrata.llm.common import drop, small_join, stash
 from varstrata.llm.components import connected_components
 
 #: Slots of the table of counts.
@@ -37,8 +37,8 @@ SLOTS = 1 << 18
 #: A slot is frequent above its expected count plus the first number of standard deviations and the second of rows,
 #: very frequent above sixteen times that excess.
 DEVIATIONS, LEAST = 6.0, 32
-#: Representatives whose labels and parities are broadcast, seven numbers each; more are joined by a shuffle.
-LABELS = 300_000
+#: Representatives whose sizes, parities and labels are broadcast, eight numbers each; more are joined by a shuffle.
+LOOKS = 300_000
 #: Bits of the parities of sets smaller than the first number, multiples of 64.
 BITS = ((2_000, 512), (8_000, 2048), (1 << 62, 8192))
 #: 64-bit numbers to which parities are folded for a first look.
@@ -107,7 +107,7 @@ def hashed_counts(docs: DataFrame, n: int, slots: int = SLOTS) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], schema=schema)
 
-    got = docs.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    got = mapped(docs.select("text"), count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(slots, np.int64)
     out[got["slot"].to_numpy()] = got["n"].to_numpy()
     return out
@@ -139,16 +139,15 @@ def mixed(scale: int, tokens: tuple[int, ...]) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def signatures(tokens: np.ndarray, kinds: np.ndarray, percent: int) -> tuple[list[int], list[int], int]:
-    """Signatures of a set, the tokens known to stand before the first shared one, and the rare tokens in its prefix.
+def signatures(tokens: np.ndarray, kinds: np.ndarray, percent: int) -> tuple[list[int], int]:
+    """Signatures of a set, rare tokens first, and how many rare tokens there are among them.
 
-    tokens ascend; kinds holds their classes. If two linked sets share a rare token, their first shared one is a
-    signature of both at its place; if they share none, all their prefixes' rare tokens differ.
+    tokens ascend; kinds holds their classes.
     """
     n = len(tokens)
     need = missing(n, percent) + 1
     if need == 1 and 100 * n // percent == n:
-        return [], [], 0  # only an equal set can be a partner
+        return [], 0  # only an equal set can be a partner
     rare = tokens[kinds == 0][:need].view(np.int64).tolist()
     combos: set[int] = set()
     if len(rare) < need:
@@ -163,8 +162,7 @@ def signatures(tokens: np.ndarray, kinds: np.ndarray, percent: int) -> tuple[lis
                     break
             for (k, _), group in members.items():
                 combos.update(mixed(scale, c) for c in combinations(group, TAKEN[k]))
-    combos -= set(rare)
-    return rare + sorted(combos), [*range(len(rare)), *[len(rare)] * len(combos)], len(rare)
+    return rare + sorted(combos), len(rare)
 
 
 def key_of(tokens: np.ndarray) -> tuple[int, int]:
@@ -190,17 +188,17 @@ def _every(bits: Column, k: int) -> Column:
 
 
 def signed(docs: DataFrame, classes: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(doc_id, n, k1, k2, rare, sigs, places, bits) of each row of docs: n is the size of its set, k1 and k2 its key."""
-    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n", "k1", "k2")), ("rare", pa.int32()), ("sigs", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("bits", pa.list_(pa.int64()))])
+    """(doc_id, n, k1, k2, rare, sigs, bits) of each row of docs: n is the size of its set, k1 and k2 its key."""
+    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n", "k1", "k2")), ("rare", pa.int32()), ("sigs", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
     slots = np.uint64(len(classes) - 1)
 
     def body(b: pa.RecordBatch) -> list:
         sets = sets_of_texts(texts_of(b), n)
         keys = [key_of(s) for s in sets]
         sigs = [signatures(s, classes[(s & slots).astype(np.int64)], percent) for s in sets]
-        return [b.column("doc_id"), [len(s) for s in sets], *([k[i] for k in keys] for i in (0, 1)), *([x[i] for x in sigs] for i in (2, 0, 1)), [parities(s) for s in sets]]
+        return [b.column("doc_id"), [len(s) for s in sets], *([k[i] for k in keys] for i in (0, 1)), *([x[i] for x in sigs] for i in (1, 0)), [parities(s) for s in sets]]
 
-    return docs.select("doc_id", "text").mapInArrow(mapper(body, schema), "doc_id long, n long, k1 long, k2 long, rare int, sigs array<long>, places array<int>, bits array<long>")
+    return mapped(docs.select("doc_id", "text"), mapper(body, schema), "doc_id long, n long, k1 long, k2 long, rare int, sigs array<long>, bits array<long>")
 
 
 def held_sets(docs: DataFrame, wanted: DataFrame, n: int, rows: int = 100_000) -> DataFrame:
@@ -215,49 +213,55 @@ def held_sets(docs: DataFrame, wanted: DataFrame, n: int, rows: int = 100_000) -
         keys = [key_of(s) for s in sets]
         return [b.column("doc_id"), *([k[i] for k in keys] for i in (0, 1)), [s.view(np.int64) for s in sets]]
 
-    sets = texts.mapInArrow(mapper(body, schema), "rep long, k1 long, k2 long, set array<long>").dropDuplicates(["rep", "k1", "k2"])
+    sets = mapped(texts, mapper(body, schema), "rep long, k1 long, k2 long, set array<long>").dropDuplicates(["rep", "k1", "k2"])
     return sets.join(wanted, ["rep", "k1", "k2"]).select("q", "rep", F.size("set").cast("long").alias("n"), "set")
 
 
-def likely(rows: DataFrame, percent: int) -> DataFrame:
-    """(q, pivot), q below pivot, of pairs that can link, from one row for each signature that they share (q, at, n, rare; pivot, bt, m,
-    scarce: place, size and rare tokens of either side).
+def apart(a: str, b: str, looks: list[str]) -> Column:
+    """In how many classes the folded parities of two columns' sets differ."""
+    return sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in looks), F.lit(0))
 
-    Linked sets differ in D = (100 - p) / (100 + p) of the sum of their sizes at most. What stands before the first
-    shared token is in one set alone. If both prefixes are of rare tokens only, then all shared ones were counted up to
-    the shorter prefix's end, and beyond the last shared one the shorter prefix differs as well.
-    """
-    sized = rows.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    # A pair's signatures must meet in one row, whichever side they came from.
-    ends = [F.struct(*[F.col(c).alias(x) for c, x in zip(side, ("q", "at", "n", "rare"), strict=True)]) for side in (("q", "at", "n", "rare"), ("pivot", "bt", "m", "scarce"))]
-    turned = F.col("q") > F.col("pivot")
-    sized = sized.select(F.when(turned, ends[1]).otherwise(ends[0]).alias("x"), F.when(turned, ends[0]).otherwise(ends[1]).alias("y"))
-    sized = sized.select("x.*", *[F.col("y")[c].alias(to) for c, to in zip(("q", "at", "n", "rare"), ("pivot", "bt", "m", "scarce"), strict=True)])
-    pairs = sized.groupBy("q", "pivot").agg(F.count("*").alias("s"), F.min(F.col("at") + F.col("bt")).alias("before"), F.max("at").alias("i"), F.max("bt").alias("j"), *[F.first(c).alias(c) for c in ("n", "m", "rare", "scarce")])
-    need = lambda c: F.col(c) - F.ceil(percent * F.col(c) / 100) + 1
-    most = (100 - percent) * (F.col("n") + F.col("m"))
-    within = lambda differ: (100 + percent) * differ <= most
-    full = (F.col("rare") == need("n")) & (F.col("scarce") == need("m"))
-    apart = within(need("n") + F.col("j") + 1 - 2 * F.col("s")) | within(need("m") + F.col("i") + 1 - 2 * F.col("s"))
-    return pairs.where(within(F.col("before")) & (~full | apart)).select("q", "pivot", "n", "m")
+
+def near(a: str, b: str, looks: list[str], percent: int) -> Column:
+    """Whether sets can link: their sizes are close, and their folded parities don't differ in more classes than linked
+    sets may differ in tokens, (100 - p) / (100 + p) of the sum of their sizes."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * apart(a, b, looks) <= (100 - percent) * (n + m))
 
 
 def similar(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (q, pivot) of likely() whose parities differ in no more bits than linked sets may differ in tokens, or
-    aren't comparable."""
-    low, high = reps.select("q", F.col("bits").alias("low")), reps.select(F.col("q").alias("pivot"), F.col("bits").alias("high"))
-    differ = F.aggregate(F.zip_with("low", "high", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    near = (F.size("low") != F.size("high")) | ((100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("m")))
-    return pairs.join(low, "q").join(high, "pivot").where(near).select("q", "pivot")
+    """The pairs (q, pivot) whose parities differ in no more bits than linked sets may differ in tokens, or aren't
+    comparable."""
+    low, high = (reps.select(F.col("q").alias(to), F.col("bits").alias(f"{to}_bits"), F.col("n").alias(f"{to}_n")) for to in ("q", "pivot"))
+    differ = F.aggregate(F.zip_with("q_bits", "pivot_bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    ok = (F.size("q_bits") != F.size("pivot_bits")) | ((100 + percent) * differ <= (100 - percent) * (F.col("q_n") + F.col("pivot_n")))
+    return pairs.join(low, "q").join(high, "pivot").where(ok).select("q", "pivot")
+
+
+def shared_by(reps: DataFrame) -> DataFrame:
+    """(sig, q, low, several): members of signatures that two sets or more have; low is the smallest, several is whether
+    there are three or more.
+
+    No rare token has many members, by how rare is told: those are dealt once by signature, and counted and met within
+    one exchange. Combinations may have a hot signature: they are counted with partial sums, and then joined, so that
+    Spark can split what is hot.
+    """
+    every = reps.select("q", "rare", F.posexplode("sigs").alias("k", "sig"))
+    out = None
+    for rows in (every.where("k < rare").select("sig", "q").repartition("sig"), every.where("k >= rare").select("sig", "q")):
+        low = rows.groupBy("sig").agg(F.min("q").alias("low"), F.max("q").alias("high"), F.count("*").alias("c")).where("low < high")
+        part = rows.join(low.select("sig", "low", (F.col("c") > 2).alias("several")), "sig")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): representatives of the pairs (q, pivot) whose sets reach the threshold. The lower ends, which
-    have the most pairs, are joined to narrow rows first, so that they are met by rows of a few bytes."""
-    low = sets.select("q", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("set").alias("other"))
-    high = sets.withColumnRenamed("q", "pivot")
+    """(a, b): representatives of the pairs (q, pivot) whose sets reach the threshold. The pivots, which have
+    the most pairs, are joined to narrow rows first, so that they are met by rows of a few bytes."""
+    low = sets.select(F.col("q").alias("pivot"), F.col("rep").alias("b"), F.col("n").alias("m"), F.col("set").alias("other"))
+    high = sets
     shared = F.size(F.array_intersect("set", "other"))
-    return pairs.join(low, "q").join(high, "pivot").where((100 + percent) * shared >= percent * (F.col("n") + F.col("m"))).select(F.col("rep").alias("a"), "b")
+    return pairs.join(low, "pivot").join(high, "q").where((100 + percent) * shared >= percent * (F.col("n") + F.col("m"))).select(F.col("rep").alias("a"), "b")
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -271,42 +275,47 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     if not 50 <= percent <= 100:
         raise ValueError("percent must lie between 50 and 100")
     classes = classes_of(hashed_counts(docs, n))
-    rows = stash(signed(docs, classes, n, percent), "signed")
+    wide = stash(signed(docs, classes, n, percent), "signed")
+    rows = stash(wide.select("doc_id", "n", "k1", "k2"), "keys")
     # q orders the members of a signature: fewest rare tokens first, then by hash.
     q = F.call_function("shiftleft", F.least("rare", F.lit(127)).cast("long"), F.lit(56)) + F.pmod(F.xxhash64("k1", "k2"), F.lit(1 << 56))
-    linked = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    one = linked.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "rare", "sigs", "places", "bits")])
+    linked = wide.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    one = linked.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "rare", "sigs", "bits")])
     reps = stash(one.withColumn("q", q), "representatives")
-
-    every = reps.select("q", "n", "rare", F.explode(F.arrays_zip("sigs", "places")).alias("s")).select("q", "n", "rare", F.col("s.sigs").alias("sig"), F.col("s.places").alias("at"))
-    shared = every.groupBy("sig").agg(F.min("q").alias("low"), F.max("q").alias("high")).where("low < high").select("sig", "low")
-    members = stash(every.join(shared, "sig"), "members")
-    pivots = members.where(F.col("q") == F.col("low")).select("sig", F.col("q").alias("pivot"), F.col("at").alias("bt"), F.col("n").alias("m"), F.col("rare").alias("scarce"))
-    tried = stash(similar(likely(members.join(pivots, "sig").where(F.col("q") != F.col("pivot")), percent), reps, percent), "around-pivots")
-    names = reps.select("q", "rep", "k1", "k2")
-    ends = lambda pairs: pairs.select("q").unionByName(pairs.select(F.col("pivot").alias("q"))).distinct()
-    sets = stash(held_sets(docs, stash(names.join(ends(tried), "q"), "wanted"), n), "sets")
+    drop(wide)
+    looks = [f"f{k}" for k in range(FOLDED)]
+    known = stash(reps.select("q", F.struct("n", *[f.alias(x) for f, x in zip(folded(F.col("bits")), looks, strict=True)]).alias("look")), "looks")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return reps.select("q", "rep", "k1", "k2").join(pairs.select("q").unionByName(pairs.select(F.col("pivot").alias("q"))).distinct(), "q")
+
+    # Every member of a signature against the lowest one.
+    members = stash(shared_by(reps), "members")
+    first = members.where("q != low").select("q", F.col("low").alias("pivot")).distinct()
+    first = small_join(first, known, "q", "inner", LOOKS).withColumnRenamed("look", "x")
+    first = small_join(first, known.select(F.col("q").alias("pivot"), F.col("look").alias("y")), "pivot", "inner", LOOKS).where(near("x", "y", looks, percent))
+    tried = stash(similar(first.select("q", "pivot"), reps, percent), "around-pivots")
+    sets = stash(held_sets(docs, stash(ends(tried), "wanted"), n), "sets")
     links = stash(verified(tried, sets, percent), "links-of-pivots")
     found = connected_components(links)
 
-    # What shares a signature across components: the members outside of the pivot's component, against all others.
+    # The other pairs of a signature, where components differ: members outside of the lowest one's, against all others.
     label = found.join(sets.select("q", F.col("rep").alias("node")), "node").select("q", "component")
     part = F.when(F.col("component").isNotNull(), F.struct(F.lit(0).alias("own"), F.col("component").alias("id"))).otherwise(F.struct(F.lit(1).alias("own"), F.col("q").alias("id")))
-    looks = [f"f{k}" for k in range(FOLDED)]
-    known = reps.select("q", *[f.alias(x) for f, x in zip(folded(F.col("bits")), looks, strict=True)]).join(label, "q", "left").withColumn("part", part).drop("component")
-    told = stash(small_join(members, stash(known, "known"), "q", rows=LABELS), "told")
-    main = told.where(F.col("q") == F.col("low")).select("sig", F.col("part").alias("main"))
-    outside = told.join(main, "sig").where("part != main").select("sig", "q", "at", "n", "rare", "part", *looks)
-    others = told.select("sig", F.col("q").alias("pivot"), F.col("at").alias("bt"), F.col("n").alias("m"), F.col("rare").alias("scarce"), F.col("part").alias("other"), *[F.col(x).alias(f"g{x}") for x in looks])
-    # Of two members outside, each pair would come twice; those of the pivot's component are met once.
-    # The first look and the sizes are conditions of the join: what can't link is never a row.
-    differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"g{x}"))) for x in looks), F.lit(0))
-    near = ((100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("m"))) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    met = outside.join(others.join(main, "sig"), "sig").where(near & (F.col("part") != F.col("other")) & ((F.col("other") == F.col("main")) | (F.col("q") < F.col("pivot"))))
-    across = stash(similar(likely(met, percent), reps, percent).join(tried, ["q", "pivot"], "left_anti"), "across")
+    parts = stash(known.join(label, "q", "left").select("q", "look", part.alias("part")), "parts")
+    told = small_join(members.where("several and q != low").drop("several"), parts, "q", "inner", LOOKS)
+    told = small_join(told, parts.select(F.col("q").alias("low"), F.col("part").alias("main")), "low", "inner", LOOKS)
+    told = stash(told.select("sig", "q", "look", "part", (F.col("part") == F.col("main")).alias("inside")), "told")
+    outside = told.where("not inside").select("sig", "q", F.col("look").alias("x"), "part")
+    others = told.select("sig", F.col("q").alias("pivot"), F.col("look").alias("y"), F.col("part").alias("other"), "inside")
+    # All conditions belong to the join: what can't link never is a row.
+    met = outside.join(others, "sig").where((F.col("part") != F.col("other")) & (F.col("inside") | (F.col("q") < F.col("pivot"))) & near("x", "y", looks, percent))
+    pairs = met.select(F.least("q", "pivot").alias("q"), F.greatest("q", "pivot").alias("pivot")).distinct()
+    done = tried.select(F.least("q", "pivot").alias("q"), F.greatest("q", "pivot").alias("pivot"))
+    across = stash(similar(pairs, reps, percent).join(done, ["q", "pivot"], "left_anti"), "across")
     if across.take(1):
         new = ends(across).join(sets.select("q"), "q", "left_anti")
-        more = stash(held_sets(docs, stash(names.join(new, "q"), "wanted"), n), "sets")
+        more = stash(held_sets(docs, stash(new, "wanted"), n), "sets")
         found = connected_components(links.unionByName(verified(across, sets.unionByName(more), percent)))
 
     classes_found = reps.select("k1", "k2", "rep", "copies").join(found, F.col("rep") == F.col("node"), "left").select(F.col("k1").alias("j1"), F.col("k2").alias("j2"), F.coalesce("component", "rep").alias("component"), "rep", "copies")

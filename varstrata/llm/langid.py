@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from varstrata.llm.arrow import mapper
+from varstrata.llm.arrow import mapped, mapper
 
 DIM, PER_LANG, MAX_LANGS = 8192, 300, 500
 UNKNOWN = "und"
@@ -153,7 +153,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, dim: int = DIM) -> Model:
         return [b.column("doc_id"), b.column("lang"), [i.astype("<u4").tobytes() for i in at], [v[i].astype("<f4").tobytes() for v, i in zip(x, at, strict=True)]]
 
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("at", pa.binary()), ("v", pa.binary())])
-    got = sample.mapInArrow(mapper(vectors, schema), "doc_id long, lang string, at binary, v binary").collect()
+    got = mapped(sample, mapper(vectors, schema), "doc_id long, lang string, at binary, v binary").collect()
     # Copies of an id beyond the bound are left out; what is kept doesn't depend on the order of rows.
     kept, count = [], {}
     for r in sorted(got, key=lambda r: (r["lang"], r["doc_id"], bytes(r["at"]), bytes(r["v"]))):
@@ -191,4 +191,4 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
                 arrays = [*b.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, StructType([*fields.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return mapped(rows, run, StructType([*fields.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))

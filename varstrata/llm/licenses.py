@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varstrata.llm.arrow import mapper, sliced, texts_of
+from varstrata.llm.arrow import mapped, mapper, sliced, texts_of
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Phrase: label.
@@ -76,7 +76,7 @@ def corpus_frequencies(docs: DataFrame, vocabulary: set[bytes]) -> Counter:
                 total.update(vocabulary.intersection(words(t)))
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], schema=schema)
 
-    rows = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = mapped(docs.select("text"), count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     return Counter({bytes(r["word"]): r["n"] for r in rows})
 
 
@@ -139,4 +139,4 @@ def scan(docs: DataFrame, phrases=None, templates=None, percent: int = CONTAINME
     def body(b: pa.RecordBatch) -> list:
         return [b.column("doc_id"), *map(list, zip(*map(one, texts_of(b)), strict=True))] if b.num_rows else [[]] * len(schema)
 
-    return docs.select("doc_id", "text").mapInArrow(mapper(body, schema), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_blocks long")
+    return mapped(docs.select("doc_id", "text"), mapper(body, schema), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_blocks long")

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varstrata.llm.arrow import sliced, texts_of
+from varstrata.llm.arrow import mapped, sliced, texts_of
 from varstrata.llm.bpe import Words
 from varstrata.llm.common import stash
 
@@ -122,7 +122,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
                     out.append((doc, k, begin, end - begin, zlib.crc32(ids[begin:end].tobytes())))
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH, open_bins: int = OPEN, per_task: int = PIECES_PER_TASK) -> DataFrame:
@@ -141,4 +141,4 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, open_bins: int = OPEN
             placed = [bins.place(n) for n in b.column("length").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([first + k for k, _ in placed], pa.int64()), pa.array([at for _, at in placed], pa.int64())], schema=schema)
 
-    return dealt.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return mapped(dealt, run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -297,8 +297,7 @@ def redact(docs: DataFrame) -> DataFrame:
     one, counts the new text."""
     held = stash(docs.select(candidates(F.col("text")).alias("candidates")).where(F.size("candidates") > 0), "candidates")
     weights = train(counts_of(held))
-    spans = docs.withColumn("_spans", candidates(F.col("text")))
-    spans = spans.withColumn("_spans", accepted(F.col("_spans"), weights)).withColumn("text", masked(F.col("text"), F.col("_spans")))
-    if "n_chars" in docs.columns:
-        spans = spans.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return spans.select(*docs.columns)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), candidates(F.col("text")).alias("_found"))
+    spans = packed.select("_row", accepted(F.col("_found"), weights).alias("_found")).withColumn("_text", masked(F.col("_row.text"), F.col("_found")))
+    new = {"text": F.col("_text"), "n_chars": F.when(F.size("_found") > 0, F.length("_text").cast("long")).otherwise(F.col("_row")["n_chars"]) if "n_chars" in docs.columns else None}
+    return spans.select(*[(new[c] if c in new else F.col("_row")[c]).alias(c) for c in docs.columns])

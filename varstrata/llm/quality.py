@@ -165,7 +165,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
     m = {c: F.col(c) for c in rows.columns}
     values = rows.where(~base_failed(m)).select("lang", "source", *[v.alias(k) for k, v in metrics_of(m).items()])
     cut = stash(fences(values), "fences").select(F.col("lang").alias("_f_lang"), F.col("source").alias("_f_source"), F.struct(*[f"{e}_{k}" for k in METRICS for e in ("lo", "hi")]).alias("_f"))
-    on = docs["lang"].eqNullSafe(F.col("_f_lang")) & docs["source"].eqNullSafe(F.col("_f_source"))
-    judged = small_join(measured(docs), cut, on)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "lang", "source", "text")
+    on = F.col("lang").eqNullSafe(F.col("_f_lang")) & F.col("source").eqNullSafe(F.col("_f_source"))
+    judged = small_join(measured(packed), cut, on)
     good = ~base_failed(F.col("m")) & F.coalesce(within(metrics_of(F.col("m")), lambda k: F.col("_f")[k]), F.lit(True))
-    return judged.where(good).select(*[docs[c] for c in docs.columns])
+    return judged.where(good).select("_row.*")

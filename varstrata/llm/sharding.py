@@ -59,10 +59,10 @@ def table_of(spark: SparkSession, shards=SHARDS, per_shard: int = SLOTS_PER_SHAR
 
 
 def assign(rows: DataFrame, key: str, shards=SHARDS, per_shard: int = SLOTS_PER_SHARD) -> DataFrame:
-    """rows with the columns slot and shard; rows may hold repeated or null keys, which go to the same shard.
-
-    rows must not have columns of these names.
+    """rows with the columns slot and shard, which replace columns of these names. Repeated keys go to one shard, null
+    ones count as empty text. An empty table gives an empty result.
     """
     size = len(lookup(shards, per_shard))
-    placed = rows.withColumn("slot", slot_of(F.col(key), size))
-    return placed.join(F.broadcast(table_of(rows.sparkSession, shards, per_shard)), "slot", "left").select(*rows.columns, "slot", "shard")
+    kept = [c for c in rows.columns if c not in ("slot", "shard")]
+    placed = rows.select(*[F.col(f"`{c}`") for c in kept], slot_of(F.col(key), size).alias("slot"))
+    return placed.join(F.broadcast(table_of(rows.sparkSession, shards, per_shard)), "slot", "left").select(*[F.col(f"`{c}`") for c in kept], "slot", "shard")

@@ -85,5 +85,5 @@ def filter_urls(pages: DataFrame, rules=None, labelled=LABELLED, url: str = "url
     rows = pages.select(F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     name, said = rule_of(F.col("host"), F.col("path"), RULES if rules is None else rules)
     used = F.concat(slots(F.col("host"), HOST_SALT), slots(F.col("path"), PATH_SALT))
-    total = let(table, lambda w: let(used, lambda f: F.aggregate(f, F.lit(0).cast("long"), lambda s, k: s + w[k.cast("int")]) + bias * F.size(f)))
+    total = let(table, lambda w: let(used, lambda f: F.aggregate(f, F.lit(0).cast("long"), lambda s, k: s + w[k.cast("int")]) + bias * F.size(f).cast("long")))
     return rows.withColumn("margin", total.cast("long")).select(key, "host", "path", name.alias("rule"), F.coalesce(said, F.when(F.col("margin") > 0, "block").otherwise("allow")).alias("verdict"), "margin")
