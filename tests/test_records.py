@@ -172,7 +172,9 @@ def test_tags(spark):
 def test_blocks(spark):
     rows = recs(spark, {"s": "x" * 40}, {"s": "y" * 40}, {"s": "z"})
     cut = blocks.greedy(rows, 100, Limits(segment_bytes=70)).orderBy("record_idx").collect()
-    assert [r["block_idx"] for r in cut] == [0, 1, 1]
+    assert [(r["block_idx"], r["cut_by"]) for r in cut] == [(0, None), (1, "s"), (1, None)]
+    assert [tuple(r) for r in blocks.flush_metrics(blocks.greedy(rows, 100, Limits(segment_bytes=70))).collect()] == [("s", 1, 0)]
+    assert [tuple(r) for r in blocks.flush_metrics(blocks.greedy(rows, 100, Limits(segment_bytes=16))).collect()] == [("s", 0, 2)]
     assert "LimitExceeded" in blocks.greedy(rows, 100, Limits(segment_bytes=16)).orderBy("record_idx").first()["error"]
     assert [r["block_idx"] for r in blocks.by_count(rows, 2).orderBy("record_idx").collect()] == [0, 0, 1]
     c = blocks.Cutter(10, Limits(segment_bytes=70))
@@ -286,6 +288,8 @@ def test_wire_file(spark, orders, tmp_path):
     with wire_source.File(path) as f:
         assert f.header()[0].hint == "json_array" and len(f.index()) == 4
         index = f.index()
+    made = {r["field"]: r for r in wire_source.writer_metrics(spark, path).collect()}
+    assert made["o_custkey"]["blocks"] == 4 and made["o_custkey"]["records"] == made["o_custkey"]["present"] == 1500
     wire_source.write(orders, str(tmp_path / "noindex.arc"), index=False)
     assert out(wire_source.read(spark, str(tmp_path / "noindex.arc"))) == out(orders)
     with pytest.raises(Exception, match="exists"):

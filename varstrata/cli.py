@@ -58,7 +58,7 @@ def pack(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.greedy:
         cut = blocks.greedy(records, target, Limits(segment_bytes=parse_size(a.segment_bytes)) if a.segment_bytes else Limits())
         cut = cut.withColumn("block_idx", F.when(F.col("error").isNull(), F.col("block_idx")).otherwise(F.raise_error("error").cast("long")))
-        records = records.join(cut.drop("error"), ["src", "record_idx"])
+        records = records.join(cut.drop("error", "cut_by"), ["src", "record_idx"])
     else:
         records = blocks.by_count(records, target)
     if a.output.endswith(WIRE_ENDING):

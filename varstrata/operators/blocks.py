@@ -86,6 +86,7 @@ class Cutter:
     def __init__(self, target: int, limits: Limits):
         self.target, self.limits = target, limits
         self.block, self.flushes, self.rejected = 0, {}, {}
+        self.reason: str | None = None  # why the last record's block ended before that record
         self._new()
 
     def _new(self) -> None:
@@ -107,8 +108,10 @@ class Cutter:
         """The record's block, or the name of the field that no block can take."""
         sizes = self._sizes(record)
         weight = sum(len(k.encode()) + _weight(v) for k, v in record.items())
+        self.reason = None
         if (field := self._full(sizes)) and self.n:
             self.flushes[field] = self.flushes.get(field, 0) + 1
+            self.reason = field
             self.block += 1
             self._new()
             sizes = self._sizes(record)
@@ -127,7 +130,8 @@ class Cutter:
 
 
 def greedy(records: DataFrame, target: int = TARGET, limits: Limits = Limits()) -> DataFrame:
-    """(src, record_idx, block_idx, error): blocks by number, size and segment limits.
+    """(src, record_idx, block_idx, cut_by, error): blocks by number, size and segment limits. cut_by names the field
+    whose segment would have grown too large, at the first record of the block that was begun instead.
 
     Where a block ends depends on all records before it, so each source is cut by one task, as a stream in the order of
     record_idx: a partition holds whole sources, sorted, and no source is gathered in memory.
@@ -137,13 +141,23 @@ def greedy(records: DataFrame, target: int = TARGET, limits: Limits = Limits())
     def cut(frames):
         src, cutter = None, None
         for f in frames:
-            blocks, errors = [], []
+            blocks, reasons, errors = [], [], []
             for s, text in zip(f["src"], f["json"], strict=True):
                 if s != src or cutter is None:
                     src, cutter = s, Cutter(target, limits)
                 got = cutter.add(json.loads(text))
                 blocks.append(got if isinstance(got, int) else None)
+                reasons.append(cutter.reason)
                 errors.append(None if isinstance(got, int) else f"LimitExceeded: Field '{got}' single-record payload ({len(text.encode())} bytes) exceeds the segment limit")
-            yield pd.DataFrame({"src": f["src"], "record_idx": f["record_idx"], "block_idx": pd.array(blocks, dtype="Int64"), "error": errors})
+            yield pd.DataFrame({"src": f["src"], "record_idx": f["record_idx"], "block_idx": pd.array(blocks, dtype="Int64"), "cut_by": reasons, "error": errors})
 
-    return rows.mapInPandas(cut, "src string, record_idx long, block_idx long, error string")
+    return rows.mapInPandas(cut, "src string, record_idx long, block_idx long, cut_by string, error string")
+
+
+def flush_metrics(cut: DataFrame) -> DataFrame:
+    """(field, flushes, rejections) of what greedy() gives: how often a field ended a block early, and how many records
+    no block could take because of it."""
+    lost = F.regexp_extract("error", "Field '(.*)' single-record", 1)
+    rows = cut.select(F.col("cut_by").alias("field"), F.lit(1).alias("f"), F.lit(0).alias("r")).where("field is not null")
+    rows = rows.unionByName(cut.where("error is not null").select(lost.alias("field"), F.lit(0).alias("f"), F.lit(1).alias("r")))
+    return rows.groupBy("field").agg(F.sum("f").alias("flushes"), F.sum("r").alias("rejections"))

@@ -440,3 +440,15 @@ def wire_projection(spark, sf_dir):
     path = scratch(spark, "wire", ".arc")
     wire_source.write(orders(spark, sf_dir), path)
     return wire_source.read(spark, path, ["o_custkey"], firstBlock=1, lastBlock=1).select("block_idx", long("o_custkey"))
+
+
+@query(f"SELECT field, count(*) AS blocks, sum(n)::BIGINT AS records FROM (SELECT o_orderkey // {BLOCK} AS b, count(*) AS n FROM orders GROUP BY 1), (VALUES ('o_orderkey'), ('o_custkey'), ('o_orderstatus'), ('o_orderpriority'), ('o_totalprice')) f(field) GROUP BY field")
+def writer_metrics(spark, sf_dir):
+    path = scratch(spark, "wire", ".arc")
+    wire_source.write(orders(spark, sf_dir), path)
+    return wire_source.writer_metrics(spark, path).select("field", "blocks", "records")
+
+
+@query("SELECT event_id AS record_idx, CASE event_id % 8 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN CASE WHEN event_id % 16 = 2 THEN 'true' ELSE 'false' END WHEN 3 THEN event_id::VARCHAR WHEN 4 THEN concat(event_id::VARCHAR, '.5') WHEN 5 THEN event_type WHEN 6 THEN concat('{\"k\":', user_id::VARCHAR, '}') ELSE concat('\"[', user_id::VARCHAR, ',null]\"') END AS line FROM events")
+def csv_of_every_kind(spark, sf_dir):
+    return project.csv_lines(drifted(spark, sf_dir), ["v"]).select("record_idx", "line").withColumn("line", F.when(F.col("line").startswith('"{'), F.expr("replace(substring(line, 2, length(line) - 2), '\"\"', '\"')")).otherwise(F.col("line")))

@@ -316,3 +316,8 @@ def describe(spark: SparkSession, path: str) -> DataFrame:
             header, _ = f.block_header(at, limits)
             rows += [(k + 1, s.name, header.records, s.present, s.flags, s.entries, s.packed, s.raw) for s in header.segments]
     return spark.createDataFrame(rows, "block long, field string, records long, present_count long, flags long, dict_entries long, compressed long, uncompressed long")
+
+
+def writer_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """(field, blocks, records, present, largest_segment, packed_bytes): what a file's writer made, by field."""
+    return describe(spark, path).groupBy("field").agg(F.count("*").alias("blocks"), F.sum("records").alias("records"), F.sum("present_count").alias("present"), F.max("uncompressed").alias("largest_segment"), F.sum("compressed").alias("packed_bytes"))
