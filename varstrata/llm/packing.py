@@ -4,6 +4,7 @@ Two steps. Documents are tokenized and cut in one pass without a shuffle; only t
 are stashed. Pieces are then dealt evenly to partitions of about PIECES_PER_TASK, and each partition packs its stream
 online: at most OPEN bins are open, bins are found through a bitset with a bit for each free space that an open bin has,
 a piece goes to the fullest bin that takes it, and when a new bin is needed and none may be opened, the fullest closes.
+The stream is looked ahead by LOOK_AHEAD pieces, and the longest of these come first.
 The bins left open at the end of a partition are the only loss that partitions cause.
 """
 
@@ -23,7 +24,8 @@ from varstrata.llm.arrow import mapped, sliced, texts_of
 from varstrata.llm.bpe import Words
 from varstrata.llm.common import stash
 
-LENGTH, OPEN, PIECES_PER_TASK, END = 2048, 1024, 250_000, 0
+#: LOOK_AHEAD: pieces of a stream that are placed together, the longest first.
+LENGTH, OPEN, PIECES_PER_TASK, LOOK_AHEAD, END = 2048, 1024, 250_000, 2048, 0
 #: Texts with other characters are tokenized as a whole, so that the library alone decides what is a letter.
 PLAIN = regex.compile("[\\x00-ɏ‐-‧€]*")
 
@@ -137,8 +139,22 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, open_bins: int = OPEN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, first = BestFit(length, open_bins), TaskContext.get().partitionId() << 40
+
+        def placed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            lengths = rows.column("length").to_numpy()
+            at = np.empty((2, len(lengths)), np.int64)
+            for k in np.argsort(-lengths, kind="stable").tolist():
+                at[:, k] = bins.place(int(lengths[k]))
+            return pa.RecordBatch.from_arrays([*rows.columns, pa.array(first + at[0]), pa.array(at[1])], schema=schema)
+
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            placed = [bins.place(n) for n in b.column("length").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([first + k for k, _ in placed], pa.int64()), pa.array([at for _, at in placed], pa.int64())], schema=schema)
+            held.append(b)
+            if sum(x.num_rows for x in held) >= LOOK_AHEAD:
+                yield placed(held)
+                held = []
+        if sum(x.num_rows for x in held):
+            yield placed(held)
 
     return mapped(dealt, run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
