@@ -230,11 +230,17 @@ def near(a: str, b: str, looks: list[str], percent: int) -> Column:
 
 
 def similar(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (q, pivot) whose parities differ in no more bits than linked sets may differ in tokens, or aren't
-    comparable."""
+    """The pairs (q, pivot) whose parities differ in no more bits than linked sets may differ in tokens. Where one side
+    has more bits than the other, they are folded."""
     low, high = (reps.select(F.col("q").alias(to), F.col("bits").alias(f"{to}_bits"), F.col("n").alias(f"{to}_n")) for to in ("q", "pivot"))
-    differ = F.aggregate(F.zip_with("q_bits", "pivot_bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    ok = (F.size("q_bits") != F.size("pivot_bits")) | ((100 + percent) * differ <= (100 - percent) * (F.col("q_n") + F.col("pivot_n")))
+    size = F.least(F.size("q_bits"), F.size("pivot_bits"))
+
+    def fold(bits: str) -> Column:
+        one = F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.aggregate(F.filter(bits, lambda _, i: i % size == k), F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b)))
+        return F.when(F.size(bits) == size, F.col(bits)).otherwise(one)
+
+    differ = F.aggregate(F.zip_with(fold("q_bits"), fold("pivot_bits"), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    ok = (100 + percent) * differ <= (100 - percent) * (F.col("q_n") + F.col("pivot_n"))
     return pairs.join(low, "q").join(high, "pivot").where(ok).select("q", "pivot")
 
 
