@@ -41,7 +41,7 @@ TEMPLATES = [
     ("reserved", "no part of this publication may be reproduced distributed or transmitted without prior written permission"),
 ]
 #: Per cent of a template's distinct words that a block must hold.
-CONTAINMENT = 80
+CONTAINMENT = 90
 
 
 def words(text: str) -> list[bytes]:
