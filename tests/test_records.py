@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from varstrata import cli, errors, model
+from varstrata import api, cli, errors, model
 from varstrata.functions import scalars, tags
 from varstrata.limits import Limits, WrapperLimits
 from varstrata.operators import blocks, encoding, inspect, project, wrappers
@@ -309,6 +309,16 @@ def test_wire_file(spark, orders, tmp_path):
     assert wire_source.read(spark, str(tmp_path / "crc.arc"), verifyChecksums=False).count() == 1500
 
 
+def test_whole_jobs(spark, tmp_path):
+    (tmp_path / "in.json").write_text('[{"a":1,"b":"x,y"},{"b":null}]')
+    for target in (str(tmp_path / "t.arc"), str(tmp_path / "native")):
+        api.compress(spark, str(tmp_path / "in.json"), target)
+        assert out(api.decompress(spark, target)) == [{"a": 1, "b": "x,y"}, {"b": None}] and api.container(spark, target) == "json_array"
+        for style, want in (("auto", '[{"b":"x,y"},{"b":null}]'), ("ndjson", '{"b":"x,y"}\n{"b":null}\n'), ("csv", 'b\n"x,y"\n\n')):
+            buffer = io.StringIO()
+            assert api.extract(spark, target, ["b"], buffer, style) == 2 and buffer.getvalue() == want
+
+
 def test_empty_wire_file(spark, orders, tmp_path):
     wire_source.write(orders.where("false"), str(tmp_path / "e.arc"))
     assert wire_source.read(spark, str(tmp_path / "e.arc")).count() == 0

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varstrata import errors
+from varstrata.api import WIRE_ENDING, container
 from varstrata.functions.scalars import parse_size
 from varstrata.functions.scalars import recommended_block_size as recommended
 from varstrata.limits import Limits, WrapperLimits
@@ -18,9 +19,6 @@ from varstrata.operators import blocks, inspect, project, wrappers
 from varstrata.session import setting
 from varstrata.sources import archive, text, wire_source
 
-WIRE_ENDING = ".arc"
-
-
 def session() -> SparkSession:
     spark = SparkSession.builder.appName("varstrata").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -32,13 +30,6 @@ def opened(spark: SparkSession, path: str, fields: list[str] | None = None) -> D
     return wire_source.read(spark, path, fields) if path.endswith(WIRE_ENDING) else archive.read(spark, path)
 
 
-def hint_of(spark: SparkSession, path: str) -> str:
-    if not path.endswith(WIRE_ENDING):
-        return archive.container_hint(spark, path)
-    with wire_source.File(path) as f:
-        return f.header()[0].hint
-
-
 def pack(spark: SparkSession, a: argparse.Namespace) -> None:
     began = time.perf_counter()
     limits = WrapperLimits(depth=int(setting("wrapper.depth", spark, a.wrapper_depth)), buffer_bytes=parse_size(str(setting("wrapper.buffer", spark, a.wrapper_buffer))))
@@ -72,7 +63,7 @@ def pack(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def unpack(spark: SparkSession, a: argparse.Namespace) -> None:
-    style = project.resolve_format(a.format, hint_of(spark, a.input))
+    style = project.resolve_format(a.format, container(spark, a.input))
     with open(a.output, "w", encoding="utf-8") if a.output else sys.stdout as out:
         project.write_stream(project.ndjson_lines(opened(spark, a.input)), out, style)
 
