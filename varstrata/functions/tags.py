@@ -50,4 +50,4 @@ def text(v: Column) -> Column:
     """A scalar as it is written in a cell: strings without quotes, null empty, numbers in JSON's spelling, nested
     values as minified JSON."""
     t = tag(v)
-    return F.when(t.isNull() | (t == "null"), F.lit("")).when(t == "string", v.cast("string")).when(t.isin("object", "array"), F.to_json(v)).otherwise(F.to_json(v))
+    return F.when(t.isNull() | (t == "null"), F.lit("")).when(t == "string", v.cast("string")).otherwise(F.to_json(v))
