@@ -28,6 +28,10 @@ CODES, SAMPLE, PROBES = 16, 8192, 1024
 TARGET, BLOCK = 0.999, 512
 
 
+#: Different lengths of vectors in one table.
+MOST_LENGTHS = 100
+
+
 def codebook(x: np.ndarray, codes: int, rounds: int = 15) -> np.ndarray:
     """Lloyd's algorithm from evenly chosen rows; the same for the same rows in the same order."""
     words = x[np.linspace(0, len(x) - 1, min(codes, len(x))).astype(int)].copy()
@@ -120,7 +124,9 @@ def vector_links(vectors: DataFrame, least: float = 0.93, codes: int = CODES, sa
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
     rows = vectors.select("vec_id", "label", F.when(sound & F.coalesce(finite, F.lit(False)), e).alias("embedding"))
     classes = stash(rows.where(F.col("embedding").isNotNull()).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("width", F.size("embedding")), "vectors")
-    widths = [r["width"] for r in classes.select("width").distinct().orderBy("width").limit(1000).collect()]
+    widths = [r["width"] for r in classes.select("width").distinct().orderBy("width").limit(MOST_LENGTHS + 1).collect()]
+    if len(widths) > MOST_LENGTHS:
+        raise ValueError(f"vectors have more than {MOST_LENGTHS} different lengths; each needs an index of its own")
     found = [_links(classes.where(F.col("width") == w), least, codes, sample, target, block) for w in widths]
     counts, links = None, None
     for c, k in found:
