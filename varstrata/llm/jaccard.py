@@ -39,8 +39,9 @@ SLOTS = 1 << 18
 DEVIATIONS, LEAST = 6.0, 32
 #: Representatives whose sizes, parities and labels are broadcast, eight numbers each; more are joined by a shuffle.
 LOOKS = 300_000
-#: Bits of the parities of sets smaller than the first number, multiples of 64.
-BITS = ((2_000, 512), (8_000, 2048), (1 << 62, 8192))
+#: Bits of a set's parities: the first that are four times the tokens in which a linked set may differ, else the last.
+#: Unrelated sets then differ in about half of their bits, twice what is allowed.
+BITS = (512, 2048, 8192, 32768)
 #: 64-bit numbers to which parities are folded for a first look.
 FOLDED = 4
 #: Tokens that make a signature: of rare, frequent and very frequent tokens.
@@ -170,10 +171,10 @@ def key_of(tokens: np.ndarray) -> tuple[int, int]:
     return struct.unpack("<qq", hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
 
 
-def parities(tokens: np.ndarray) -> list[int]:
+def parities(tokens: np.ndarray, percent: int) -> list[int]:
     """One bit for each of many hash classes of tokens: whether the set has an odd number of them. Where two sets' bits
     differ, at least one token is in one set alone. Larger sets have more classes."""
-    bits = next(b for most, b in BITS if len(tokens) < most)
+    bits = next((b for b in BITS if b * (100 + percent) >= 8 * len(tokens) * (100 - percent)), BITS[-1])
     odd = np.bincount((tokens >> np.uint64(40)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view("<i8").tolist()
 
@@ -196,7 +197,7 @@ def signed(docs: DataFrame, classes: np.ndarray, n: int, percent: int) -> DataFr
         sets = sets_of_texts(texts_of(b), n)
         keys = [key_of(s) for s in sets]
         sigs = [signatures(s, classes[(s & slots).astype(np.int64)], percent) for s in sets]
-        return [b.column("doc_id"), [len(s) for s in sets], *([k[i] for k in keys] for i in (0, 1)), *([x[i] for x in sigs] for i in (1, 0)), [parities(s) for s in sets]]
+        return [b.column("doc_id"), [len(s) for s in sets], *([k[i] for k in keys] for i in (0, 1)), *([x[i] for x in sigs] for i in (1, 0)), [parities(s, percent) for s in sets]]
 
     return mapped(docs.select("doc_id", "text"), mapper(body, schema), "doc_id long, n long, k1 long, k2 long, rare int, sigs array<long>, bits array<long>")
 
@@ -333,7 +334,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
 def first_of_each(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """The rows of docs without those whose doc_id isn't the smallest of its component; all columns of docs. Rows
     without a doc_id, and without words, stay. Of rows with the same doc_id and columns one stays."""
-    out = jaccard_components(docs, n, percent).where("doc_id != component_id").select("doc_id").distinct()
-    left = docs.join(out, "doc_id", "left_anti").select(*docs.columns)
+    out = stash(jaccard_components(docs, n, percent).where("doc_id != component_id").select("doc_id").distinct(), "copies")
+    # The ids that go are broadcast if they were counted to be few, so that texts needn't be dealt.
+    left = small_join(docs, out, "doc_id", "left_anti", LOOKS).select(*docs.columns)
     again = docs.select("doc_id").where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     return left if not again.take(1) else left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
