@@ -155,3 +155,18 @@ def test_traversal_is_by_distance(spark):
         far = index.distance(np.full(16, cell), np.arange(16))
         assert visits[0] == cell and sorted(visits) == np.flatnonzero(far <= index.radius + 1e-9).tolist()
         assert np.all(np.diff(far[visits]) >= -1e-9)
+
+
+def test_large_group_hides_no_pairs(spark):
+    """Links of pairs are found whatever share of the vectors is one group of near copies."""
+    rng = np.random.default_rng(7)
+    group = rng.normal(size=64) + rng.normal(size=(1500, 64)) * 0.01
+    first = rng.normal(size=(250, 64))
+    x = np.concatenate([group, first, first + rng.normal(size=(250, 64)) * 0.3])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.93
+    np.fill_diagonal(linked, False)
+    assert linked[1500:].sum() > 300
+    got = {r["vec_id"]: r for r in embeddings.vector_links(spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()}
+    assert [got[k]["n_links"] for k in range(len(x))] == linked.sum(1).tolist()
+    assert all(got[k + 250]["component_id"] == k and not got[k + 250]["kept"] for k in range(1500, 1750) if linked[k, k + 250])

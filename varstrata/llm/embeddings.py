@@ -1,31 +1,38 @@
 """Near-duplicate vectors by an inverted multi-index.
 
 The halves of the normalised vectors have independent codebooks of CODES words each, trained on a bounded sample; a
-vector's cell in the product grid is its pair of nearest words. From each cell, a multi-sequence traversal visits the
-other cells in the order of their distance (the sum over both halves) until a radius that holds the target share of the
-sample's own links. Distances between cells are symmetric, so a pair of cells is visited once for both of its sides, and
-every pair of vectors of the same label in it is verified: in double precision, in blocks of bounded size, of which only
-counts and spanning links leave. So neither a hot label nor a cell of thousands of near copies meets in one task, and no
-list of all pairs is ever made. Equal vectors of a label are one class and are counted, not compared.
+vector's cell in the product grid is its pair of nearest words. A cell's covering radii, taken over all vectors, say how
+far its members are from its words. From each cell, a multi-sequence traversal visits the other cells in the order of
+their distance (the sum over both halves) up to a radius beyond which no two vectors can link, and the triangle
+inequality drops those whose members are too far in the halves together. So no link is lost, whatever the sample is.
+
+The vectors of a label, in the order of their cells, are cut into blocks; blocks of which any cells may link are
+verified in one task, tile by tile in double precision, and only counts and spanning links leave. So neither a hot label
+nor a cell of thousands of near copies meets in one task, and no list of all pairs is ever made. Equal vectors of a
+label are one class and are counted, not compared. Where vectors have no clusters, nearly all cells are visited.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from varstrata.llm.arrow import mapped, sliced
-from varstrata.llm.common import stash
+from varstrata.llm.common import small_join, stash
 from varstrata.llm.components import connected_components
 
-#: Words per half; vectors in the training sample; vectors of the sample that are compared to all of it for the radius.
-CODES, SAMPLE, PROBES = 16, 8192, 1024
-#: Share of the sample's links that the traversal must reach, and vectors per block.
-TARGET, BLOCK = 0.999, 512
+#: Words per half; vectors in the training sample.
+CODES, SAMPLE = 16, 8192
+#: Vectors per tile. A label is cut into PARTS blocks, but none has less than BLOCK or more than MOST vectors.
+BLOCK, PARTS, MOST = 512, 4, 16384
+#: What rounding may add to a squared distance.
+SLACK = 1e-6
 
 
 #: Different lengths of vectors in one table.
@@ -50,20 +57,37 @@ def nearest(x: np.ndarray, words: np.ndarray) -> np.ndarray:
 class MultiIndex:
     """Codebooks of both halves, and the cells that each cell's traversal visits."""
 
-    def __init__(self, sample: np.ndarray, labels: np.ndarray, least: float, codes: int = CODES, target: float = TARGET):
-        """sample: normalised vectors, rows in a fixed order; labels: theirs."""
+    def __init__(self, sample: np.ndarray, labels: np.ndarray, least: float, codes: int = CODES):
+        """sample: normalised vectors, rows in a fixed order. The bounds hold for any labels."""
         self.half = sample.shape[1] // 2
         parts = sample[:, : self.half], sample[:, self.half :]
         self.words = [codebook(p, codes) if p.shape[1] else np.zeros((1, 0)) for p in parts]
         self.between = [np.sqrt(np.maximum(((w[:, None] - w[None]) ** 2).sum(2), 0)) for w in self.words]
-        cells = self.cells(sample)
-        probes = np.arange(0, len(sample), max(1, len(sample) // PROBES))
-        linked = (sample[probes] @ sample.T >= least) & (labels[probes][:, None] == labels[None])
-        linked[np.arange(len(probes)), probes] = False
-        i, j = np.nonzero(linked)
-        far = np.sort(self.distance(cells[probes[i]], cells[j]))
-        # Where the sample has too few links to tell, most cells are visited.
-        self.radius = float(far[min(len(far) - 1, int(np.ceil(target * len(far))))]) if len(far) >= 20 else float(np.median([b.max() for b in self.between]))
+        #: Distance of two vectors of length 1 whose cosine is least, and the covering radii: a row for each half.
+        self.chord = float(np.sqrt(max(0.0, 2 - 2 * least) + SLACK))
+        self.cover = np.zeros((2, len(self.words[0]) * len(self.words[1])))
+        cells, off = self.placed(sample)
+        self.widen(cells, off)
+
+    def widen(self, cells: np.ndarray, off: np.ndarray) -> None:
+        """Covers vectors in these cells at these distances from the words of both halves."""
+        for cover, d in zip(self.cover, off, strict=True):
+            np.maximum.at(cover, cells, d)
+        # Words of linked vectors are no farther apart than the vectors and both covering radii, in each half.
+        self.radius = float(np.sqrt(2) * self.chord + 2 * self.cover.max(1).sum())
+
+    def placed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cells, and distances from the words of both halves."""
+        cells, n = self.cells(x), len(self.words[1])
+        near = self.words[0][cells // n], self.words[1][cells % n]
+        return cells, np.array([np.sqrt(((p - w) ** 2).sum(1)) for p, w in zip((x[:, : self.half], x[:, self.half :]), near, strict=True)])
+
+    def near(self, cell: int) -> list[int]:
+        """The visited cells that may hold a vector which links with one of this cell."""
+        other, n = np.array(self.visits(cell), dtype=int), len(self.words[1])
+        words = (self.between[0][cell // n, other // n], self.between[1][cell % n, other % n])
+        gaps = [np.maximum(w - c[cell] - c[other], 0) ** 2 for w, c in zip(words, self.cover, strict=True)]
+        return sorted(other[gaps[0] + gaps[1] <= self.chord**2].tolist())
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         return nearest(x[:, : self.half], self.words[0]) * len(self.words[1]) + nearest(x[:, self.half :], self.words[1])
@@ -112,7 +136,7 @@ def spanning(linked: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
         low = new
 
 
-def vector_links(vectors: DataFrame, least: float = 0.93, codes: int = CODES, sample: int = SAMPLE, target: float = TARGET, block: int = BLOCK) -> DataFrame:
+def vector_links(vectors: DataFrame, least: float = 0.93, codes: int = CODES, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id and kept.
 
     Vectors link if their labels are equal and not null and their cosine is least or more. Vectors that are null, empty,
@@ -127,7 +151,7 @@ def vector_links(vectors: DataFrame, least: float = 0.93, codes: int = CODES, sa
     widths = [r["width"] for r in classes.select("width").distinct().orderBy("width").limit(MOST_LENGTHS + 1).collect()]
     if len(widths) > MOST_LENGTHS:
         raise ValueError(f"vectors have more than {MOST_LENGTHS} different lengths; each needs an index of its own")
-    found = [_links(classes.where(F.col("width") == w), least, codes, sample, target, block) for w in widths]
+    found = [_links(classes.where(F.col("width") == w), least, codes, sample, block) for w in widths]
     counts, links = None, None
     for c, k in found:
         counts, links = c if counts is None else counts.unionByName(c), k if links is None else links.unionByName(k)
@@ -142,41 +166,70 @@ def vector_links(vectors: DataFrame, least: float = 0.93, codes: int = CODES, sa
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
-def _links(classes: DataFrame, least: float, codes: int, sample: int, target: float, block: int) -> tuple[DataFrame, DataFrame]:
+def _links(classes: DataFrame, least: float, codes: int, sample: int, block: int) -> tuple[DataFrame, DataFrame]:
     """(rep, others): how many vectors of other classes a class links with; (a, b): links that span the components."""
     # The smallest hashes of the vectors: a sample that doesn't depend on the order of rows.
     some = classes.select("label", "embedding", "rep").orderBy(F.xxhash64("rep"), "rep").limit(sample).toArrow()
     labels = np.unique(np.array(some["label"].to_pylist(), dtype=object).astype(str), return_inverse=True)[1]
-    index = MultiIndex(normal(some["embedding"].combine_chunks()), labels, least, codes, target)
+    index = MultiIndex(normal(some["embedding"].combine_chunks()), labels, least, codes)
 
     def place(batches):
         for b in sliced(batches, 4096):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(index.cells(normal(b.column("embedding"))), pa.int32())], names=[*b.schema.names, "cell"])
+            cells, off = index.placed(normal(b.column("embedding")))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.int32()), *map(pa.array, off)], names=[*b.schema.names, "cell", "off0", "off1"])
 
     fields = classes.select("label", "embedding", "rep", "copies")
-    schema = f"label {fields.schema['label'].dataType.simpleString()}, embedding {fields.schema['embedding'].dataType.simpleString()}, rep long, copies long, cell int"
+    schema = f"label {fields.schema['label'].dataType.simpleString()}, embedding {fields.schema['embedding'].dataType.simpleString()}, rep long, copies long, cell int, off0 double, off1 double"
     placed = stash(mapped(fields, place, schema), "cells")
-    sizes = placed.groupBy("label", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = placed.join(sizes, ["label", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    filled = stash(dealt.groupBy("label", "cell", "block").agg(F.sort_array(F.collect_list(F.struct("rep", "copies", "embedding"))).alias("rows")), "blocks")
-    cells = len(index.words[0]) * len(index.words[1])
-    visits = F.array(*[F.array(*[F.lit(c) for c in sorted(v for v in index.visits(k) if v >= k)]) for k in range(cells)])
-    left = filled.select("label", F.col("cell").alias("from_cell"), F.col("block").alias("from_block"), F.col("rows").alias("from_rows"), F.explode(visits[F.col("cell")]).alias("cell"))
-    pairs = left.join(filled, ["label", "cell"]).where((F.col("cell") != F.col("from_cell")) | (F.col("block") >= F.col("from_block")))
+    cover = placed.groupBy("cell").agg(F.max("off0").alias("off0"), F.max("off1").alias("off1")).collect()
+    index.widen(np.array([r["cell"] for r in cover], dtype=int), np.array([[r[c] for r in cover] for c in ("off0", "off1")], dtype=float))
+
+    # Blocks are runs of cells; a cell that belongs to several is dealt to them by hash.
+    sizes = placed.groupBy("label", "cell").agg(F.count("*").alias("c"))
+    total = F.sum("c").over(W.partitionBy("label"))
+    per = F.greatest(F.lit(block), F.least(F.lit(max(block, MOST)), F.ceil(total / PARTS)))
+    starts = stash(sizes.select("label", "cell", "c", (F.sum("c").over(W.partitionBy("label").orderBy("cell")) - F.col("c")).alias("start"), per.alias("per")), "starts")
+    number = F.floor((F.col("start") + F.pmod(F.xxhash64("rep"), F.col("c"))) / F.col("per"))
+    dealt = small_join(placed, starts, ["label", "cell"], "inner").withColumn("block", number)
+    filled = stash(dealt.groupBy("label", "block").agg(F.sort_array(F.collect_list(F.struct("cell", "rep", "copies", "embedding"))).alias("rows"), F.collect_set("cell").alias("cells")), "blocks")
+    near = [index.near(k) for k in range(index.cover.shape[1])]
+    left = filled.select("label", F.col("block").alias("from_block"), F.col("cells").alias("from_cells"))
+    pairs = left.join(filled.select("label", "block", "cells"), "label").where("block >= from_block")
+    if any(len(v) < len(near) for v in near):
+        reach = F.from_json(F.lit(json.dumps(near)), "array<array<int>>")
+        pairs = pairs.where(F.exists("from_cells", lambda c: F.arrays_overlap(F.element_at(reach, c + 1), F.col("cells"))))
+    pairs = stash(pairs.select("label", "from_block", "block"), "block-pairs")
+    pairs = pairs.join(filled.select("label", F.col("block").alias("from_block"), F.col("rows").alias("from_rows")), ["label", "from_block"]).join(filled.select("label", "block", "rows"), ["label", "block"])
     out = pa.schema([("rep", pa.int64()), ("others", pa.int64()), ("to", pa.int64())])
 
     def verify(batches):
         for b in sliced(batches, 16):
             for same, x, y in zip(b.column("same").to_pylist(), b.column("from_rows"), b.column("rows"), strict=True):
-                if one := compared(x.values, y.values, same, least):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*one, strict=True), out, strict=True)], schema=out)
-
-    same = ((F.col("cell") == F.col("from_cell")) & (F.col("block") == F.col("from_block"))).alias("same")
+                left, right = (tiles(z.values, block) for z in (x, y))
+                for i, (p, c, r) in enumerate(left):
+                    for j, (q, d, s) in enumerate(right):
+                        if same and j < i or np.sqrt(((c - d) ** 2).sum()) > r + s + index.chord:
+                            continue
+                        if one := compared(p, q, same and i == j, least):
+                            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*one, strict=True), out, strict=True)], schema=out)
+
+    same = (F.col("block") == F.col("from_block")).alias("same")
     found = stash(mapped(pairs.select(same, "from_rows", "rows"), verify, "rep long, others long, to long"), "verified")
     counts = found.groupBy("rep").agg(F.sum("others").alias("others"))
     return counts, found.where("to is not null").select(F.col("rep").alias("a"), F.col("to").alias("b"))
 
 
+def tiles(rows: pa.StructArray, size: int) -> list[tuple[pa.StructArray, np.ndarray, float]]:
+    """Tiles of rows, each with the centre of its normalised vectors and their largest distance from it."""
+    out = []
+    for at in range(0, len(rows), size):
+        part = rows.slice(at, size)
+        x = normal(part.field("embedding"))
+        centre = x.mean(0)
+        out.append((part, centre, float(np.sqrt(((x - centre) ** 2).sum(1).max()))))
+    return out
+
+
 def compared(x: pa.StructArray, y: pa.StructArray, same: bool, least: float) -> list[tuple[int, int, int | None]]:
     """(rep, vectors of other classes that it links with here, a rep on the way to the smallest linked one) of the
     rows that link; same: x and y are one block."""
