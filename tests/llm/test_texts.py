@@ -90,6 +90,21 @@ def test_licenses(spark, odd, small):
             assert (r["base_labels"], r["labels"], r["score"]) == (",".join(sorted({x for _, x in at})), ",".join(sorted(labels)), best)
 
 
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal",
+    "bsd": " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that",
+    "apache-2.0": "you may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n",
+}
+
+
+def test_wrapped_notices(spark):
+    far = "\n".join(f"{w} {'word ' * 9}" for w in licenses.TEMPLATES[1][1].split())
+    docs = spark.createDataFrame([*((k, f"some code\n{t}\nmore words\n") for k, t in enumerate(WRAPPED.values())), (9, far)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"], r["n_blocks"]) for r in licenses.scan(docs).collect()}
+    assert got == {k: (label, 1.0, 1) for k, label in enumerate(WRAPPED)} | {9: ("", 0.0, 0)}
+
+
 @pytest.fixture(scope="module")
 def coding():
     import tiktoken

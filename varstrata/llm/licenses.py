@@ -1,10 +1,10 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text. A template matches a block if at least CONTAINMENT of the template's distinct words occur
-in it. Words are ordered by document frequency in the whole corpus, rarest first (ties by spelling); a block can only
+A block is a line of a text, or any window of its words, across lines, that is a quarter longer than the template. A
+template matches a block if at least CONTAINMENT of the template's distinct words occur in it. Words are ordered by document frequency in the whole corpus, rarest first (ties by spelling); a block can only
 match if it holds one of the template's first |T| - need + 1 words (prefix filter), at least need distinct words (length
 filter), and if enough words of the template are left from the first shared one on (positional filter). Candidates are
-then verified exactly. The templates are a fixed small table, so the index lives in each task and nothing is shuffled
+then verified exactly. Windows are looked at only for templates that the whole text's words match. The templates are a fixed small table, so the index lives in each task and nothing is shuffled
 but the counts of the templates' words.
 """
 
@@ -84,7 +84,7 @@ class Index:
     """The prefixes of the templates under a global order of words."""
 
     def __init__(self, templates: list[tuple[str, str]], frequency: Counter, percent: int = CONTAINMENT):
-        self.sets, self.prefix = [], {}
+        self.sets, self.spans, self.prefix = [], [], {}
         for label, text in templates:
             ordered = sorted(set(words(text)), key=lambda w: (frequency.get(w, 0), w))
             need = -(-percent * len(ordered) // 100)
@@ -93,25 +93,42 @@ class Index:
             for at, w in enumerate(ordered[: len(ordered) - need + 1]):
                 self.prefix.setdefault(w, []).append((len(self.sets), at))
             self.sets.append((label, frozenset(ordered), need))
+            self.spans.append(-(-5 * len(words(text)) // 4))
         self.rare = frozenset(self.prefix)
 
-    def matches(self, block: set[bytes]) -> list[tuple[str, int, int]]:
-        """(label, shared words, template's words) of the templates that block matches."""
+    def matched(self, block: set[bytes]) -> list[tuple[int, int]]:
+        """(number, shared words) of the templates that block matches."""
         first: dict[int, int] = {}
         for w in self.rare & block:
             for k, at in self.prefix[w]:
                 first[k] = min(at, first.get(k, at))
         out = []
         for k, at in first.items():
-            label, tokens, need = self.sets[k]
+            _, tokens, need = self.sets[k]
             if len(block) >= need and len(tokens) - at >= need and (shared := len(tokens & block)) >= need:
-                out.append((label, shared, len(tokens)))
+                out.append((k, shared))
         return out
 
+    def within(self, found: list[bytes], k: int) -> int:
+        """The most words of template k that any window of found shares; 0 if no window matches."""
+        _, tokens, need = self.sets[k]
+        at = [i for i, w in enumerate(found) if w in tokens]
+        held: Counter = Counter()
+        best, first = 0, 0
+        for i in at:
+            held[found[i]] += 1
+            while at[first] <= i - self.spans[k]:
+                held[found[at[first]]] -= 1
+                if not held[found[at[first]]]:
+                    del held[found[at[first]]]
+                first += 1
+            best = max(best, len(held))
+        return best if best >= need else 0
+
 
 def scan(docs: DataFrame, phrases=None, templates=None, percent: int = CONTAINMENT) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and
-    n_blocks, the number of lines that match a template.
+    n_blocks, the number of lines that match a template and of templates that match across lines alone.
 
     score is 1 where a phrase stands, else the largest containment of a matched template, else 0. Null text counts as
     empty: no words, no labels, score 0. Other columns are ignored; repeated rows give repeated results.
@@ -125,12 +142,19 @@ def scan(docs: DataFrame, phrases=None, templates=None, percent: int = CONTAINME
         base = sorted({label for _, label in places})
         labels, best, blocks = set(base), 1.0 if places else 0.0, 0
         if not index.rare.isdisjoint(found):
+            lined: set[int] = set()
             for line in text.split("\n"):
-                hits = index.matches(set(words(line)))
+                hits = index.matched(set(words(line)))
                 blocks += bool(hits)
-                for label, shared, of in hits:
-                    labels.add(label)
-                    best = max(best, shared / of)
+                lined.update(k for k, _ in hits)
+                for k, shared in hits:
+                    labels.add(index.sets[k][0])
+                    best = max(best, shared / len(index.sets[k][1]))
+            for k, _ in index.matched(set(found)):
+                if shared := index.within(found, k):
+                    blocks += k not in lined
+                    labels.add(index.sets[k][0])
+                    best = max(best, shared / len(index.sets[k][1]))
         at = [p for p, _ in places] or [None]
         return len(found), len(places), at[0], at[-1], ",".join(base), ",".join(sorted(labels)), best, blocks
 
