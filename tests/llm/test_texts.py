@@ -216,3 +216,20 @@ def test_shards(spark):
     assert kept > 0.9
     with pytest.raises(ValueError):
         sharding.lookup(["a", "a"])
+
+
+def test_operators_return_their_ids(spark, odd, coding):
+    from tokenizers import Tokenizer
+
+    texts = {r["doc_id"]: r["text"] or "" for r in odd.collect()}
+    for r in bpe.encode(odd, RANKS, P.PATTERN).collect():
+        assert r["ids"] == coding[1].encode_ordinary(texts[r["doc_id"]]) and r["decoded"] == texts[r["doc_id"]]
+    t = Tokenizer.from_file(JSON)
+    t.encode_special_tokens = True
+    packed = packing.pack(odd.where("doc_id < 15 and doc_id <> 5"), JSON).cache()
+    rows, sequences = packed.collect(), {r["sequence_id"]: r["ids"] for r in packing.sequences(packed).collect()}
+    whole = {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["start"])):
+        assert sequences[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]] == r["ids"]
+        whole.setdefault(r["doc_id"], []).extend(r["ids"])
+    assert whole == {k: [*t.encode(texts[k], add_special_tokens=False).ids, 0] for k in whole} and sum(map(len, sequences.values())) == sum(r["length"] for r in rows)

@@ -9,7 +9,6 @@ Short words are encoded together, one tree per row of an array; long ones alone.
 from __future__ import annotations
 
 import base64
-import hashlib
 import re
 from collections.abc import Callable
 
@@ -17,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from varstrata.llm.arrow import mapped, mapper, texts_of
 
@@ -359,25 +359,32 @@ def loaded(path: str, pattern: str) -> tuple[Merges, Words]:
     """One copy for each Python worker, whatever the number of its tasks."""
     if (path, pattern) not in _loaded:
         merges = Merges(read_ranks(path))
-        _loaded[path, pattern] = merges, Words(by_pattern(pattern, merges), spell=True)
+        _loaded[path, pattern] = merges, Words(by_pattern(pattern, merges))
     return _loaded[path, pattern]
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens, ids_sha256 and decoded_sha256.
+def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """One row per row of docs: doc_id, ids and decoded, the text that comes back from the ids.
 
     The ids are those of the ranks in the file at path, which must be at the same place on every executor. Null text
-    counts as empty: no tokens, and the digests of nothing. Special tokens don't exist. Other columns are ignored.
+    counts as empty: no tokens and an empty text. Special tokens don't exist. Other columns are ignored.
     """
 
     def body(b: pa.RecordBatch) -> list:
         merges, words = loaded(path, pattern)
-        n, ids_sha, text_sha = [], [], []
-        for ids, spelled in words.batch(texts_of(b)):
-            n.append(len(ids))
-            ids_sha.append(hashlib.sha256(spelled.encode()).hexdigest())
-            text_sha.append(hashlib.sha256(merges.decode(ids)).hexdigest())
-        return [b.column("doc_id"), n, ids_sha, text_sha]
-
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-    return mapped(docs.select("doc_id", "text"), mapper(body, schema), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        ids = [x for x, _ in words.batch(texts_of(b))]
+        return [b.column("doc_id"), [x.astype(np.int32) for x in ids], [merges.decode(x) for x in ids]]
+
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+    return mapped(docs.select("doc_id", "text"), mapper(body, schema), "doc_id long, ids array<int>, decoded string")
+
+
+def digests(encoded: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of the ids as decimal numbers between blanks) and decoded_sha256 of encode's rows."""
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """The digests of encode's rows."""
+    return digests(encode(docs, path, pattern))

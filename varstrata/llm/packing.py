@@ -1,7 +1,6 @@
 """Best-fit packing of tokenized documents into sequences of fixed length.
 
-Two steps. Documents are tokenized and cut in one pass without a shuffle; only the pieces' places, lengths and checksums
-are stashed. Pieces are then dealt evenly to partitions of about PIECES_PER_TASK, and each partition packs its stream
+Two steps. Documents are tokenized and cut in one pass without a shuffle, and the pieces are stashed with their ids. Pieces are then dealt evenly to partitions of about PIECES_PER_TASK, and each partition packs its stream
 online: at most OPEN bins are open, bins are found through a bitset with a bit for each free space that an open bin has,
 a piece goes to the fullest bin that takes it, and when a new bin is needed and none may be opened, the fullest closes.
 The stream is looked ahead by LOOK_AHEAD pieces, and the longest of these come first.
@@ -104,9 +103,9 @@ def loaded(path: str) -> tuple:
 
 
 def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): each text's ids and a final END, cut from the end into pieces of
+    """(doc_id, piece, start, length, ids, ids_crc32): each text's ids and a final END, cut from the end into pieces of
     length, so that the first may be shorter. Null text counts as empty and has the one id END."""
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole, words = loaded(path)
@@ -121,21 +120,21 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
                 first = len(ids) % length or length
                 for k, end in enumerate(range(first, len(ids) + 1, length)):
                     begin = max(0, end - length) if k else 0
-                    out.append((doc, k, begin, end - begin, zlib.crc32(ids[begin:end].tobytes())))
+                    out.append((doc, k, begin, end - begin, ids[begin:end].astype(np.int32), zlib.crc32(ids[begin:end].tobytes())))
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return mapped(docs.select("doc_id", "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, piece int, start long, length long, ids array<int>, ids_crc32 long")
 
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH, open_bins: int = OPEN, per_task: int = PIECES_PER_TASK) -> DataFrame:
-    """The pieces of docs with sequence_id and offset.
+    """The pieces of docs, with their ids, sequence_id and offset: sequences() puts them together.
 
     Repeated rows are packed as often as they occur. Other columns are ignored; an empty table gives an empty result.
     """
     cut = stash(pieces(docs, path, length), "pieces")
     # Dealt and ordered by hash, so that the lengths come mixed and a task that runs again packs alike.
     dealt = cut.repartition(max(1, -(-cut.count() // per_task)), F.xxhash64("doc_id", "piece")).sortWithinPartitions(F.xxhash64("piece", "doc_id"), "doc_id", "piece", "ids_crc32")
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, first = BestFit(length, open_bins), TaskContext.get().partitionId() << 40
@@ -157,4 +156,15 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, open_bins: int = OPEN
         if sum(x.num_rows for x in held):
             yield placed(held)
 
-    return mapped(dealt, run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return mapped(dealt, run, "doc_id long, piece int, start long, length long, ids array<int>, ids_crc32 long, sequence_id long, offset long")
+
+
+def places(packed: DataFrame) -> DataFrame:
+    """The rows of pack() without their ids, which ids_crc32 stands for."""
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """(sequence_id, ids): the packed sequences of pack()'s rows, with their pieces in order of offset."""
+    parts = F.sort_array(F.collect_list(F.struct("offset", "ids")))
+    return packed.groupBy("sequence_id").agg(F.flatten(F.transform(parts, lambda p: p["ids"])).alias("ids"))
