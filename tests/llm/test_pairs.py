@@ -170,3 +170,15 @@ def test_large_group_hides_no_pairs(spark):
     got = {r["vec_id"]: r for r in embeddings.vector_links(spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()}
     assert [got[k]["n_links"] for k in range(len(x))] == linked.sum(1).tolist()
     assert all(got[k + 250]["component_id"] == k and not got[k + 250]["kept"] for k in range(1500, 1750) if linked[k, k + 250])
+
+
+def test_one_id_with_two_texts(spark):
+    """Rows are judged by their own text, not by an id that they share with another one."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (7, a), (7, b), (8, b + " x"), (9, c), (9, c + " x"), (9, c), (10, c + " y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in jaccard.jaccard_components(docs).collect())
+    assert got == [(1, 1), (7, 1), (7, 7), (8, 7), (9, 9), (9, 9), (9, 9), (10, 9)]
+    left = sorted((r["doc_id"], r["text"]) for r in jaccard.first_of_each(docs).collect())
+    assert left[:2] == [(1, a), (7, b)] and len(left) == 3 and left[2] in [(9, c), (9, c + " x")]
+    assert left == sorted((r["doc_id"], r["text"]) for r in jaccard.first_of_each(docs.repartition(7)).collect())

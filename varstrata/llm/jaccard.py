@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from varstrata.llm.arrow import mapped, mapper, sliced, texts_of
 from varstrata.llm.common import drop, small_join, stash
@@ -263,12 +264,12 @@ def shared_by(reps: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): representatives of the pairs (q, pivot) whose sets reach the threshold. The pivots, which have
+    """(a, b): the pairs (q, pivot) whose sets reach the threshold. The pivots, which have
     the most pairs, are joined to narrow rows first, so that they are met by rows of a few bytes."""
-    low = sets.select(F.col("q").alias("pivot"), F.col("rep").alias("b"), F.col("n").alias("m"), F.col("set").alias("other"))
+    low = sets.select(F.col("q").alias("pivot"), F.col("n").alias("m"), F.col("set").alias("other"))
     high = sets
     shared = F.size(F.array_intersect("set", "other"))
-    return pairs.join(low, "pivot").join(high, "q").where((100 + percent) * shared >= percent * (F.col("n") + F.col("m"))).select(F.col("rep").alias("a"), "b")
+    return pairs.join(low, "pivot").join(high, "q").where((100 + percent) * shared >= percent * (F.col("n") + F.col("m"))).select(F.col("q").alias("a"), F.col("pivot").alias("b"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -279,6 +280,12 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     doc_id get no component and link with nothing. Where a doc_id is repeated with other texts, each row gets the
     component of its own text. Other columns are ignored.
     """
+    return _told(docs, n, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def _told(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The rows of jaccard_components with the key (k1, k2) of the row's set, and whether doc_id and key are the
+    smallest of the component."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must lie between 50 and 100")
     classes = classes_of(hashed_counts(docs, n))
@@ -307,7 +314,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     found = connected_components(links)
 
     # The other pairs of a signature, where components differ: members outside of the lowest one's, against all others.
-    label = found.join(sets.select("q", F.col("rep").alias("node")), "node").select("q", "component")
+    label = found.select(F.col("node").alias("q"), "component")
     part = F.when(F.col("component").isNotNull(), F.struct(F.lit(0).alias("own"), F.col("component").alias("id"))).otherwise(F.struct(F.lit(1).alias("own"), F.col("q").alias("id")))
     parts = stash(known.join(label, "q", "left").select("q", "look", part.alias("part")), "parts")
     told = small_join(members.where("several and q != low").drop("several"), parts, "q", "inner", LOOKS)
@@ -325,17 +332,45 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
         more = stash(held_sets(docs, stash(new, "wanted"), n), "sets")
         found = connected_components(links.unionByName(verified(across, sets.unionByName(more), percent)))
 
-    classes_found = reps.select("k1", "k2", "rep", "copies").join(found, F.col("rep") == F.col("node"), "left").select(F.col("k1").alias("j1"), F.col("k2").alias("j2"), F.coalesce("component", "rep").alias("component"), "rep", "copies")
-    several = classes_found.where("copies > 1 or component != rep").select("j1", "j2", "component")
+    # Components are of sets, not of ids, as an id may be repeated with other texts.
+    named = reps.select("q", "rep", "k1", "k2", "copies").join(found, F.col("q") == F.col("node"), "left").withColumn("component", F.coalesce("component", "q"))
+    named = stash(named.where("node is not null or copies > 1"), "components")
+    least = stash(named.groupBy("component").agg(F.min(F.struct("rep", "k1", "k2")).alias("least")), "least")
+    several = small_join(named, least, "component", "inner", LOOKS).select(F.col("k1").alias("j1"), F.col("k2").alias("j2"), "least")
     whole = rows.select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2").join(several, (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2")), "left")
-    return whole.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    named_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("least.rep", "doc_id"))
+    first = F.coalesce((F.col("doc_id") == F.col("least.rep")) & (F.col("k1") == F.col("least.k1")) & (F.col("k2") == F.col("least.k2")), F.lit(True))
+    return whole.select("doc_id", "n_shingles", named_id.alias("component_id"), "k1", "k2", first.alias("first"))
+
+
+def keyed(docs: DataFrame, n: int) -> DataFrame:
+    """docs with the size n and the key (k1, k2) of each text's set, in a struct _set."""
+    fields = StructType([*docs.schema.fields, StructField("_set", StructType([StructField(c, LongType()) for c in ("n", "k1", "k2")]))])
+    keys = pa.struct([(c, pa.int64()) for c in ("n", "k1", "k2")])
+
+    def run(batches):
+        for b in sliced(batches):
+            sets = sets_of_texts(texts_of(b), n)
+            found = [dict(zip(("n", "k1", "k2"), (len(s), *key_of(s)), strict=True)) for s in sets]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, keys)], names=[*b.schema.names, "_set"])
+
+    return mapped(docs, run, fields)
 
 
 def first_of_each(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """The rows of docs without those whose doc_id isn't the smallest of its component; all columns of docs. Rows
-    without a doc_id, and without words, stay. Of rows with the same doc_id and columns one stays."""
-    out = stash(jaccard_components(docs, n, percent).where("doc_id != component_id").select("doc_id").distinct(), "copies")
-    # The ids that go are broadcast if they were counted to be few, so that texts needn't be dealt.
-    left = small_join(docs, out, "doc_id", "left_anti", LOOKS).select(*docs.columns)
+    """The rows of docs that are the first of their component, by doc_id and then by key of the set; all columns of
+    docs. Rows without a doc_id, and without words, stay. Of rows with the same doc_id and set (without words: text)
+    one stays, the smallest by all columns."""
+    out = stash(_told(docs, n, percent).where("doc_id is not null and not first").select("doc_id", "k1", "k2").distinct(), "copies")
     again = docs.select("doc_id").where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    return left if not again.take(1) else left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    if not again.take(1):
+        # The ids that go are broadcast if they were counted to be few, so that texts needn't be dealt.
+        return small_join(docs, out.select("doc_id"), "doc_id", "left_anti", LOOKS).select(*docs.columns)
+    again = stash(again, "repeated")
+    once = small_join(small_join(docs, out.join(again, "doc_id", "left_anti").select("doc_id"), "doc_id", "left_anti", LOOKS), again, "doc_id", "left_anti", LOOKS)
+    more = keyed(small_join(docs, again, "doc_id", "left_semi", LOOKS).select(*docs.columns), n)
+    gone = out.select(F.col("doc_id").alias("_id"), "k1", "k2")
+    more = more.join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_set.k1") == gone["k1"]) & (F.col("_set.k2") == gone["k2"]), "left_anti")
+    by = F.col("doc_id"), F.col("_set"), F.when(F.col("_set.n") == 0, F.col("text"))
+    least = more.groupBy(*by).agg(F.min(F.struct(*docs.columns)).alias("_least")).select("_least.*")
+    return once.select(*docs.columns).unionByName(least)
