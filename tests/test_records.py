@@ -241,7 +241,7 @@ def test_stats(spark):
     assert (one["v"]["sample_size"], one["v"]["sampled"], one["v"]["null_count"], one["v"]["present"]) == (1, True, 0, 3) and not one["w"]["sampled"]
     assert inspect.most_populated(inspect.field_stats(rows)) == "v"
     with pytest.raises(errors.InternalError, match="user, v, w"):
-        inspect.require_field(rows, "nope")
+        inspect.require_field(inspect.fields(rows), "nope")
     with pytest.raises(errors.InternalError):
         inspect.field_stats(rows, 0)
     shown = json.loads(inspect.render(inspect.blocks(rows), inspect.field_stats(rows), "json", verbose=True, directory=inspect.field_directory(rows)))
@@ -349,3 +349,103 @@ def test_command_line(spark, tmp_path, capsys):
         assert json.loads(capsys.readouterr().out)["stats"][0]["sampled"] is True
         assert cli.main(["cat", str(target), "--field", "nope"]) == 1
         assert "level, user" in capsys.readouterr().err
+
+
+# Strict scans and lossless sinks
+
+
+TRAILING = ['{"k":1} trailing garbage', '{"k":2}{"k":3}', '{"k":1},{"k":2}', '{"k":1}] x [', '{"k":1}} {', '{"k":1} 5']
+
+
+@pytest.mark.parametrize("line", TRAILING)
+def test_text_after_a_value_is_an_error(spark, tmp_path, line):
+    (tmp_path / "a.ndjson").write_text(f'{{"k":0}}\n{line}\n{{"k":9}}\n')
+    fails(text.read_ndjson(spark, str(tmp_path / "a.ndjson")), "JsonError")
+    assert out(text.read_ndjson(spark, str(tmp_path / "a.ndjson"), lenient=True)) == [{"k": 0}, {"k": 9}]
+    (tmp_path / "b.json").write_text(line)
+    fails(text.read_json_array(spark, str(tmp_path / "b.json")), "JsonError")
+    (tmp_path / "c.json").write_text(f"[{{}}] {line}")
+    fails(text.read_json_array(spark, str(tmp_path / "c.json")), "JsonError")
+    fails(text.array_records(docs(spark, f"[{line}] [1]")), "JsonError")
+    fails(wrappers.pointer(docs(spark, f'{{"a":[]}} {line}'), "/a"), "JsonError")
+
+
+def test_blanks_around_values_are_none(spark, tmp_path):
+    (tmp_path / "a.json").write_text('﻿ \n[ {"k":1} ,\n {"k":2}\t] \n')
+    assert out(text.read_json_array(spark, str(tmp_path / "a.json"))) == [{"k": 1}, {"k": 2}]
+    (tmp_path / "b.json").write_text(" {}\n")
+    assert out(text.read_json_array(spark, str(tmp_path / "b.json"))) == [{}]
+
+
+@pytest.mark.parametrize(("body", "kind"), [(" \n", "UnexpectedEof"), ('[{"a":1}', "UnexpectedEof"), ("[{},]", "JsonError"), ("[,{}]", "JsonError"), ("[{} {}]", "JsonError"), ("[1]", "JsonError"), ("5", "JsonError"), ("[{}}", "JsonError")])
+def test_bad_arrays(spark, tmp_path, body, kind):
+    (tmp_path / "a.json").write_text(body)
+    with pytest.raises(Exception) as e:  # noqa: PT011
+        text.read_json_array(spark, str(tmp_path / "a.json")).collect()
+    assert kind in str(e.value) or type(errors.translate(e.value)).__name__ == kind
+
+
+def test_array_splits_anywhere():
+    """However a file is cut into chunks, its elements are the same."""
+    import io as _io
+
+    rows = [{"a": 'q"\\ [,]{}'}, {"b": [1, [2, {"c": "\\\\"}]]}, {}, {"é": "漢\\u0022,"}]
+    whole = json.dumps(rows, ensure_ascii=False).encode()
+    for size in (1, 2, 3, 7, 64, 4096):
+        got = [json.loads(x) for x in text.values_of(_io.BytesIO(b"\n" + whole + b" "), size)]
+        assert got == rows, size
+    assert list(text.values_of(_io.BytesIO(b" [ \n] "), 2)) == []
+
+
+def test_lines_in_a_file_called_json(spark, tmp_path):
+    rows = [{"k": k, "pad": "x" * 9000} for k in range(3)]
+    (tmp_path / "a.json").write_text("\n".join(map(json.dumps, rows)))
+    got, hint = text.read_auto(spark, str(tmp_path / "a.json"))
+    assert hint == "ndjson" and out(got) == rows
+    (tmp_path / "b.json").write_text(json.dumps(rows[0], indent=1))
+    got, hint = text.read_auto(spark, str(tmp_path / "b.json"))
+    assert hint == "json_array" and out(got) == rows[:1]
+
+
+def test_files_keep_every_byte(spark, tmp_path):
+    lines = ["  a,b  ", '"q",c', "", "x\ty", " "]
+    df = spark.createDataFrame([("s", k, x) for k, x in enumerate(lines)], "src string, record_idx long, line string").repartition(3)
+    project.write_lines(df, str(tmp_path / "plain"))
+    project.write_lines(df.coalesce(1), str(tmp_path / "headed"), header=" h ")
+    read = lambda p: ["".join(f.read_text() for f in sorted((tmp_path / p).glob("part-*")))]
+    assert read("plain")[0].split("\n")[:-1] == lines
+    files = [f.read_text() for f in sorted((tmp_path / "headed").glob("part-*")) if f.stat().st_size]
+    assert all(f.startswith(" h \n") for f in files) and "".join(f.removeprefix(" h \n") for f in files).split("\n")[:-1] == lines
+    objects = [{"k": k} for k in range(20)]
+    project.write_arrays(project.ndjson_lines(recs(spark, *objects)), str(tmp_path / "arrays"))
+    parts = [json.loads(f.read_text()) for f in sorted((tmp_path / "arrays").glob("part-*")) if f.stat().st_size]
+    assert [x for p in parts for x in p] == objects
+
+
+def test_append_can_be_repeated(spark, tmp_path):
+    path = str(tmp_path / "arc")
+    one, two = (blocks.by_count(recs(spark, *({"k": k} for k in range(n))), 2) for n in (3, 5))
+    for df in (one, two, two):
+        archive.append(df, path, "batch-1", hint="ndjson")
+    archive.append(one, path, "batch-2")
+    archive.append(one.where("false"), path, "batch-3")
+    assert archive.read(spark, path).count() == 8
+    assert archive.manifest(spark, path).agg(F.sum("record_count")).first()[0] == 8
+    archive.write(one, path)
+    assert archive.read(spark, path).count() == 3 and archive.manifest(spark, path).count() == 2
+    archive.write(one.where("false"), path)
+    assert archive.read(spark, path).count() == 0 and archive.manifest(spark, path).count() == 0
+
+
+def test_listing_reads_headers_alone(spark, tmp_path, capsys, monkeypatch):
+    path = str(tmp_path / "a.arc")
+    wire_source.write(blocks.by_count(recs(spark, *({"k": k, "s": "x"} if k % 2 else {"k": k} for k in range(10))), 4), path)
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    monkeypatch.setattr(wire_source, "read", None)
+    assert cli.main(["ls", path, "--format", "json", "--verbose"]) == 0
+    got = json.loads(capsys.readouterr().out)
+    assert got["fields"] == ["k", "s"] and [b["record_count"] for b in got["blocks"]] == [4, 4, 2]
+    monkeypatch.undo()
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    assert cli.main(["cat", path, "--field", "k", "--blocks", "2"]) == 0
+    assert capsys.readouterr().out.split() == ["4", "5", "6", "7"]

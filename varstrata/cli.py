@@ -69,23 +69,39 @@ def unpack(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def ls(spark: SparkSession, a: argparse.Namespace) -> None:
-    records = opened(spark, a.input)
-    stats = inspect.field_stats(records, a.stats_sample) if a.stats else None
-    directory = inspect.field_directory(records)
-    print(inspect.render(inspect.blocks(records), stats, a.format, a.fields_only, a.blocks_only, a.verbose, a.stats_sample, directory), end="" if a.format == "table" else "\n")
-    if a.verbose and a.input.endswith(WIRE_ENDING):
-        parts = wire_source.describe(spark, a.input).agg(F.sum("uncompressed").alias("s"), F.max("uncompressed").alias("m"), F.sum("records").alias("n")).first()
-        if parts["m"]:
-            print(f"recommended block size: {recommended(records.count(), Limits().segment_bytes, parts['m'])} records", file=sys.stderr)
+    """Of the interchange format, block headers are read alone, unless statistics of the values are asked for."""
+    wired = a.input.endswith(WIRE_ENDING)
+    stats = inspect.field_stats(opened(spark, a.input), a.stats_sample) if a.stats else None
+    if wired:
+        parts = wire_source.describe(spark, a.input).persist()
+        sizes = spark.createDataFrame([(k + 1, n) for k, (_, _, n) in enumerate(wire_source.block_table(a.input))], "block long, record_count long")
+        summary = sizes.join(parts.groupBy("block").agg(F.count("*").alias("field_count")), "block", "left").select("block", "record_count", F.coalesce("field_count", F.lit(0)).alias("field_count"))
+        directory = parts.select("block", "field", "present_count")
+    else:
+        records = opened(spark, a.input)
+        summary, directory = inspect.blocks(records), inspect.field_directory(records)
+    print(inspect.render(summary, stats, a.format, a.fields_only, a.blocks_only, a.verbose, a.stats_sample, directory), end="" if a.format == "table" else "\n")
+    if wired:
+        if a.verbose and (largest := parts.agg(F.max("uncompressed")).first()[0]):
+            total = sizes.agg(F.sum("record_count")).first()[0]
+            print(f"recommended block size: {recommended(total, Limits().segment_bytes, largest)} records", file=sys.stderr)
+        parts.unpersist()
 
 
 def cat(spark: SparkSession, a: argparse.Namespace) -> None:
-    records = opened(spark, a.input)
-    inspect.require_field(records, a.field)
-    if a.blocks:
-        low, high = inspect.parse_range(a.blocks, records.agg(F.max("block_idx")).first()[0] + 1)
-        records = inspect.block_range(records, low, high)
-    lines = project.values(opened(spark, a.input, [a.field]) if not a.blocks else records, a.field).select("src", "record_idx", project.value_text(F.col("value"), a.format).alias("line"))
+    """Of the interchange format, headers tell the fields and the blocks; only the asked field of the asked blocks is
+    unpacked."""
+    if a.input.endswith(WIRE_ENDING):
+        names = wire_source.describe(spark, a.input).select("field").distinct()
+        inspect.require_field(names, a.field)
+        low, high = inspect.parse_range(a.blocks, len(wire_source.block_table(a.input))) if a.blocks else (1, None)
+        records = wire_source.read(spark, a.input, [a.field], firstBlock=low - 1, **({} if high is None else {"lastBlock": high - 1}))
+    else:
+        records = opened(spark, a.input)
+        inspect.require_field(inspect.fields(records), a.field)
+        if a.blocks:
+            records = inspect.block_range(records, *inspect.parse_range(a.blocks, archive.manifest(spark, a.input).agg(F.max("block_idx")).first()[0] + 1))
+    lines = project.values(records, a.field).select("src", "record_idx", project.value_text(F.col("value"), a.format).alias("line"))
     project.write_stream(lines, sys.stdout, "json_array" if a.format == "json_array" else "ndjson", a.field if a.format == "csv" and a.header else None)
     if a.format == "json_array":
         print()

@@ -94,11 +94,15 @@ def block_range(records: DataFrame, low: int, high: int) -> DataFrame:
     return records.where(F.col("block_idx").between(low - 1, high - 1))
 
 
-def require_field(records: DataFrame, name: str) -> None:
-    """An error that lists the fields there are, if name isn't one of them."""
-    known = [r["field"] for r in fields(records).collect()]
-    if name not in known:
-        raise InternalError(f"there is no field {name!r}; fields: {', '.join(known)}")
+#: Names that an error lists.
+LISTED = 50
+
+
+def require_field(fields: DataFrame, name: str) -> None:
+    """An error that lists fields there are, if name isn't one of (field)."""
+    if not fields.where(F.col("field") == name).take(1):
+        known = [r["field"] for r in fields.orderBy("field").limit(LISTED + 1).collect()]
+        raise InternalError(f"there is no field {name!r}; fields: {', '.join(known[:LISTED])}{', ...' if len(known) > LISTED else ''}")
 
 
 def render(summary: DataFrame, stats: DataFrame | None = None, style: str = "table", fields_only: bool = False, blocks_only: bool = False, verbose: bool = False, sample: int = SAMPLE, directory: DataFrame | None = None) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,14 +61,44 @@ def resolve_format(asked: str, hint: str) -> str:
     return {"json_array": "json_array"}.get(hint, "ndjson") if asked == "auto" else asked
 
 
+def _ordered(lines: DataFrame) -> DataFrame:
+    return lines.repartitionByRange("src", "record_idx").sortWithinPartitions("src", "record_idx").select("line")
+
+
 def write_lines(lines: DataFrame, path: str, header: str | None = None, mode: str = "overwrite") -> None:
-    """Lines as text files in the order of (src, record_idx), many at once; a header goes before the first line of every
-    file that has lines."""
-    rows = lines.repartitionByRange("src", "record_idx").sortWithinPartitions("src", "record_idx").select("line")
-    if header is None:
-        rows.write.mode(mode).text(path)
-    else:
-        rows.withColumnRenamed("line", header).write.mode(mode).option("header", "true").option("quote", "").option("quoteAll", "false").option("emptyValue", "").option("sep", "\x01").csv(path)
+    """Lines as text files in the order of (src, record_idx), many at once and byte for byte; a header goes before the
+    first line of every file that has lines."""
+
+    def headed(batches):
+        first = True
+        for b in batches:
+            if first and b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([header])], names=["line"])
+                first = False
+            yield b
+
+    rows = _ordered(lines)
+    (rows if header is None else rows.mapInArrow(headed, "line string")).write.mode(mode).text(path)
+
+
+def write_arrays(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Lines of JSON as files in the order of (src, record_idx), each of them one JSON array with an element a line."""
+
+    def bracketed(batches):
+        held: list[str] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array([x + "," for x in held])], names=["line"])
+                held = b.column("line").to_pylist()
+            else:
+                held = b.column("line").to_pylist()
+                held[0] = "[" + held[0]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([*(x + "," for x in held[:-1]), held[-1] + "]"])], names=["line"])
+
+    _ordered(lines).mapInArrow(bracketed, "line string").write.mode(mode).text(path)
 
 
 def json_array_text(lines: DataFrame) -> Iterator[str]:

@@ -19,6 +19,7 @@ from varstrata.functions.scalars import format_size
 from varstrata.functions.tags import json_type, tag
 from varstrata.limits import WrapperLimits
 from varstrata.model import field_path
+from varstrata.sources.text import strict
 
 MAP = "map<string,variant>"
 #: Fixed value: bytes of a key.
@@ -75,10 +76,10 @@ def navigate(v: Column, tokens: list[str], pointer: str, missing: Callable[[Colu
 
 
 def parsed(docs: DataFrame, limits: WrapperLimits) -> DataFrame:
-    """(src, root). Documents larger than the buffer are refused."""
+    """(src, root). Documents larger than the buffer, and text after a document, are refused."""
     size = F.octet_length("value")
     guarded = F.when(size <= limits.buffer_bytes, F.col("value")).otherwise(fail("BufferLimitExceeded", size.cast("string"), f" bytes; the buffer holds {format_size(limits.buffer_bytes)}", of="string"))
-    return docs.select("src", F.parse_json(guarded).alias("root"))
+    return docs.select("src", strict(guarded).alias("root"))
 
 
 def exploded(df: DataFrame, items: Column) -> DataFrame:

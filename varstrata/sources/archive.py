@@ -7,40 +7,62 @@ read without touching records.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varstrata.operators.blocks import TARGET, by_count
 from varstrata.session import prepare
 
+SCHEMA = "src string, block_idx long, record_idx long, rec variant, part string"
+
+
+def _laid(rows: DataFrame, part: str) -> DataFrame:
+    """Ranges of blocks go to different tasks; the shuffle is by range, so neighbours stay together and statistics are
+    tight."""
+    laid = rows.select(F.lit(part).alias("part"), "src", "block_idx", "record_idx", "rec")
+    return laid.repartitionByRange("src", "block_idx").sortWithinPartitions("part", "src", "record_idx")
+
+
+def _store(rows: DataFrame, path: str, part: str, level: int, hint: str, overwrite: str) -> None:
+    """Replaces what the archive holds of one part (overwrite: dynamic), or all that it holds (static). The manifest is
+    made of the records as written, and comes last."""
+
+    def put(df: DataFrame, to: str, **options) -> None:
+        w = df.write.mode("overwrite").option("partitionOverwriteMode", overwrite)
+        for k, v in options.items():
+            w = w.option(k, v)
+        w.partitionBy("part").parquet(f"{path}/{to}")
+
+    put(_laid(rows, part), "records", **{"compression": "zstd", "parquet.compression.codec.zstd.level": str(level)})
+    kept = rows.sparkSession.read.schema(SCHEMA).parquet(f"{path}/records").where(F.col("part") == part)
+    put(kept.groupBy("src", "block_idx").agg(F.count("*").alias("record_count"), F.min("record_idx").alias("first_idx")).withColumn("container_format", F.lit(hint)).withColumn("part", F.lit(part)).coalesce(1), "manifest")
+
 
-def write(records: DataFrame, path: str, target: int = TARGET, level: int = 6, hint: str = "unknown", mode: str = "overwrite", canonical_numbers: bool = False) -> None:
-    """Records, with or without block_idx. Ranges of blocks are written by different tasks; the shuffle is by range, so
-    neighbours stay together and statistics are tight."""
+def write(records: DataFrame, path: str, target: int = TARGET, level: int = 6, hint: str = "unknown", canonical_numbers: bool = False) -> None:
+    """A new archive of records, with or without block_idx, instead of what is at path."""
     rows = records if "block_idx" in records.columns else by_count(records, target)
     if canonical_numbers:
         rows = rows.withColumn("rec", F.parse_json(F.to_json("rec")))
-    laid = rows.select("src", "block_idx", "record_idx", "rec").repartitionByRange("src", "block_idx").sortWithinPartitions("src", "record_idx")
-    laid.write.mode(mode).option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(f"{path}/records")
-    kept = records.sparkSession.read.parquet(f"{path}/records")
-    kept.groupBy("src", "block_idx").agg(F.count("*").alias("record_count"), F.min("record_idx").alias("first_idx")).withColumn("container_format", F.lit(hint)).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+    _store(rows, path, "all", level, hint, "static")
 
 
-def append(records: DataFrame, path: str, level: int = 6, hint: str = "unknown") -> None:
-    """Adds complete blocks of a new source, without reading what is there."""
-    rows = records.select("src", "block_idx", "record_idx", "rec").persist()
-    rows.repartitionByRange("src", "block_idx").sortWithinPartitions("src", "record_idx").write.mode("append").option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(f"{path}/records")
-    rows.groupBy("src", "block_idx").agg(F.count("*").alias("record_count"), F.min("record_idx").alias("first_idx")).withColumn("container_format", F.lit(hint)).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
-    rows.unpersist()
+def append(records: DataFrame, path: str, part: str, level: int = 6, hint: str = "unknown") -> None:
+    """Adds complete blocks as a part of their own, without reading what is there. A part that is there already is
+    replaced, so that an append which failed half-way can be repeated."""
+    if not re.fullmatch("[A-Za-z0-9_-]+", part) or part == "all":
+        raise ValueError(f"not a name of a part: {part!r}")
+    _store(records, path, part, level, hint, "dynamic")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(src, block_idx, record_idx, rec), in no particular order; order by src and record_idx where it matters."""
-    return prepare(spark).read.parquet(f"{path}/records")
+    return prepare(spark).read.schema(SCHEMA).parquet(f"{path}/records").drop("part")
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/manifest")
+    return spark.read.schema("src string, block_idx long, record_count long, first_idx long, container_format string, part string").parquet(f"{path}/manifest").drop("part")
 
 
 def container_hint(spark: SparkSession, path: str) -> str:

@@ -2,28 +2,52 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from varstrata import errors
+from varstrata.files import place
 from varstrata.functions.tags import json_type, tag
 from varstrata.session import prepare
+from varstrata.shipping import ship
 
 BOM = "﻿"
-PEEK = 4096
+#: Bytes that are looked at to tell what a file holds; bytes that are split at once.
+PEEK, CHUNK = 4096, 4 << 20
+BLANK = b" \t\r\n"
 
 
 def object_only(v: Column, what: str = "record") -> Column:
     return F.when(tag(v) == "object", v).otherwise(F.raise_error(F.concat(F.lit(f"JsonError: {what} is not an object but "), F.coalesce(json_type(v), F.lit("nothing")))).cast("variant"))
 
 
+def strict(value: Column, lenient: bool = False) -> Column:
+    """The one JSON value that a text holds, as VARIANT. Anything but white space before or after it is an error, or NULL
+    if lenient.
+
+    parse_json leaves what follows the first value unread, so the text is parsed as the first element of an array whose
+    second one is a number drawn for this plan: where that number isn't the second element, the text isn't one value.
+    """
+    mark = uuid.uuid4().int >> 66
+    v = (F.try_parse_json if lenient else F.parse_json)(F.concat(F.lit("["), value, F.lit(f",{mark}]")))
+    whole = F.try_variant_get(v, "$[1]", "long").eqNullSafe(F.lit(mark))
+    first = F.variant_get(v, "$[0]", "variant")
+    if lenient:
+        return F.when(whole, first)
+    return F.when(value.isNull(), F.lit(None).cast("variant")).when(whole, first).otherwise(F.raise_error(F.lit("JsonError: there is text after the value")).cast("variant"))
+
+
 def parsed(value: Column, lenient: bool = False) -> Column:
-    """A line's record. A bad line is an error; if lenient it is NULL, as is what isn't an object."""
-    if not lenient:
-        return object_only(F.parse_json(value))
-    v = F.try_parse_json(value)
-    return F.when(tag(v) == "object", v)
+    """A line's record. A bad line, or text after its object, is an error; if lenient it is NULL, as is what isn't an
+    object."""
+    v = strict(value, lenient)
+    return F.when(tag(v) == "object", v) if lenient else object_only(v)
 
 
 def lines_of(df: DataFrame, value: str = "value") -> DataFrame:
@@ -53,8 +77,9 @@ def read_whole(spark: SparkSession, path) -> DataFrame:
 
 
 def array_records(docs: DataFrame) -> DataFrame:
-    """Records of (src, value) whose text is an array of objects, or one object. Text after the value is an error."""
-    v = F.when(F.length(F.trim(F.regexp_replace("value", r"\s", ""))) == 0, F.raise_error(F.lit("UnexpectedEof: the text is empty")).cast("variant")).otherwise(F.parse_json("value"))
+    """Records of (src, value) whose text is an array of objects, or one object. Text after the value is an error. Whole
+    texts are parsed at once, so they must fit into a VARIANT; read_json_array() splits files of any size."""
+    v = F.when(F.length(F.trim(F.regexp_replace("value", r"\s", ""))) == 0, F.raise_error(F.lit("UnexpectedEof: the text is empty")).cast("variant")).otherwise(strict(F.col("value")))
     root = docs.select("src", v.alias("v"))
     kind = tag(F.col("v"))
     many = F.when(kind == "array", F.col("v").cast("array<variant>")).when(kind == "object", F.array("v"))
@@ -62,8 +87,125 @@ def array_records(docs: DataFrame) -> DataFrame:
     return root.select("src", F.posexplode(many).alias("record_idx", "rec")).select("src", F.col("record_idx").cast("long").alias("record_idx"), object_only(F.col("rec"), "element").alias("rec"))
 
 
-def read_json_array(spark: SparkSession, path) -> DataFrame:
-    return array_records(read_whole(spark, path))
+class Splitter:
+    """Cuts the bytes of a JSON array into its elements, chunk by chunk: strings are told from structure by the parity
+    of quotes that no backslash escapes, and elements by commas at depth one. What the elements hold isn't looked at."""
+
+    def __init__(self):
+        self.held: list[bytes] = []
+        self.inside, self.depth, self.slashes, self.first = False, 0, 0, True
+        self.state = "before"  # the root; then array, object or scalar; then done
+
+    def feed(self, data: bytes) -> Iterator[bytes]:
+        if self.state == "before":
+            data = data.removeprefix(BOM.encode()).lstrip(BLANK)
+            if not data:
+                return
+            self.state = {b"[": "array", b"{": "object"}.get(data[:1], "scalar")
+        if self.state == "done":
+            if data.strip(BLANK):
+                raise errors.JsonError("there is text after the value")
+            return
+        b = np.frombuffer(data, np.uint8)
+        at = np.arange(len(b))
+        plain = np.maximum.accumulate(np.where(b != 92, at, -1))
+        quotes = np.flatnonzero(b == 34)
+        before = np.where(quotes > 0, plain[np.maximum(quotes - 1, 0)], -1)
+        run = quotes - 1 - before + np.where(before < 0, self.slashes, 0)
+        toggles = np.zeros(len(b), np.int64)
+        toggles[quotes[run % 2 == 0]] = 1
+        inside = (np.cumsum(toggles) + self.inside) % 2 == 1
+        free = ~inside & (toggles == 0)
+        opens, closes = free & ((b == 91) | (b == 123)), free & ((b == 93) | (b == 125))
+        level = self.depth + np.cumsum(opens.astype(np.int64) - closes)
+        self.slashes = int(at[-1] - plain[-1]) + (self.slashes if plain[-1] < 0 else 0)
+        self.inside = bool(inside[-1])
+        ends = np.flatnonzero(closes & (level == 0))
+        first = 0
+        if self.state == "array":
+            cuts = np.flatnonzero(free & (b == 44) & (level == 1))
+            if len(ends):
+                if b[ends[0]] != 93:
+                    raise errors.JsonError("an array ends in another bracket")
+                cuts = np.append(cuts[cuts < ends[0]], ends[0])
+            for cut in cuts.tolist():
+                yield self.taken(data[first:cut], last=bool(len(ends)) and cut == ends[0])
+                first = cut + 1
+        elif self.state == "object" and len(ends):
+            first = int(ends[0]) + 1
+            yield self.taken(data[:first])
+        self.depth = int(level[-1])
+        if len(ends) and self.state != "scalar":
+            self.state, self.held = "done", []
+            yield from self.feed(data[first:])
+        else:
+            self.held.append(data[first:])
+
+    def taken(self, tail: bytes, last: bool = False) -> bytes:
+        """The element that ends with tail. Only an array without elements may end in nothing."""
+        out, self.held = b"".join([*self.held, tail]), []
+        if self.state == "array" and self.first:
+            self.first, out = False, out[1:]
+            if last and not out.strip(BLANK):
+                return b""
+        if not out.strip(BLANK):
+            raise errors.JsonError("an element is missing between commas")
+        return out
+
+    def finish(self) -> bytes:
+        """What is left at the end of the file: nothing, or a root that is neither array nor object."""
+        if self.state == "scalar":
+            return b"".join(self.held)
+        if self.state != "done":
+            raise errors.UnexpectedEof("the text is empty" if self.state == "before" else "the text ends within its value")
+        return b""
+
+
+def values_of(stream, chunk: int = CHUNK) -> Iterator[bytes]:
+    """The elements of the array that a binary stream holds, or its one value, in bounded memory."""
+    cut = Splitter()
+    while data := stream.read(chunk):
+        yield from (x for x in cut.feed(data) if x)
+    if rest := cut.finish():
+        yield rest
+
+
+def files_of(spark: SparkSession, path) -> DataFrame:
+    """(path): the files at path, without what is in them."""
+    return spark.read.format("binaryFile").load(path).select("path")
+
+
+def read_json_array(spark: SparkSession, path, chunk: int = CHUNK) -> DataFrame:
+    """(src, record_idx, rec): the objects of the arrays, or the single objects, that the files at path hold.
+
+    Files may have any size: each is split into elements as a stream by one task, and elements are parsed apart from each
+    other. Files are read in parallel; one file is not, as only what stands before tells where its elements begin. Files
+    without any byte hold no records.
+    """
+    prepare(spark)
+    ship(spark)
+    files = files_of(spark, path)
+
+    def batch(name: str, first: int, rows: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array(range(first, first + len(rows)), pa.int64()), pa.array(rows)], names=["src", "record_idx", "value"])
+
+    def run(batches):
+        for b in batches:
+            for name in b.column("path").to_pylist():
+                fs, at = place(name)
+                with fs.open_input_stream(at) as stream:
+                    rows, size, n = [], 0, 0
+                    for x in values_of(stream, chunk):
+                        rows.append(x.decode())
+                        size += len(x)
+                        if size >= chunk:
+                            yield batch(name, n, rows)
+                            n, rows, size = n + len(rows), [], 0
+                    if rows:
+                        yield batch(name, n, rows)
+
+    rows = files.repartition(max(1, files.count()), "path").mapInArrow(run, "src string, record_idx long, value string")
+    return rows.select("src", "record_idx", object_only(strict(F.col("value")), "element").alias("rec"))
 
 
 def container_hint(first: Column, name: Column) -> Column:
@@ -74,16 +216,44 @@ def container_hint(first: Column, name: Column) -> Column:
     return F.when(c == "[", "json_array").when((c == "{") & (ending == "json"), "json_array").otherwise("ndjson")
 
 
+def peeked(spark: SparkSession, path: str) -> tuple[str, bytes] | None:
+    """Name of the first file at path, and its first PEEK bytes; nothing more is read."""
+    found = files_of(spark, path).orderBy("path").limit(1).collect()
+    if not found:
+        return None
+    fs, at = place(found[0]["path"])
+    with fs.open_input_stream(at) as f:
+        return found[0]["path"], f.read(PEEK)
+
+
+def several_values(path: str) -> bool:
+    """Whether text follows the first value of a file. Read as a stream, up to the end of that value."""
+    fs, at = place(path)
+    with fs.open_input_stream(at) as f:
+        try:
+            for _ in values_of(f):
+                pass
+        except errors.JsonError:
+            return True
+        except errors.UnexpectedEof:
+            return False
+    return False
+
+
 def read_auto(spark: SparkSession, path: str, ndjson: bool = False, array: bool = False) -> tuple[DataFrame, str]:
     """Records of a file or folder and the container that was found, unless a flag names it.
 
-    A file whose ending says array but that holds one object per line is read as NDJSON, so that no line is lost.
+    A file whose ending says array but that holds several objects is read as NDJSON, so that no line is lost.
     """
     if ndjson and array:
         raise errors.TypeMismatch("a source can't be NDJSON and an array at once")
     hint = "ndjson" if ndjson else "json_array" if array else None
     if hint is None:
-        head = spark.read.format("binaryFile").load(path).select(F.col("path"), F.substring("content", 1, PEEK).cast("string").alias("head")).orderBy("path").limit(1)
-        found = head.select(container_hint(F.col("head"), F.col("path")).alias("hint"), F.col("head").rlike(r"(?s)^\s*\{.*\}\s*\n\s*\{").alias("lines")).collect()
-        hint = "ndjson" if not found or found[0]["lines"] else found[0]["hint"]
+        prepare(spark)
+        hint = "ndjson"
+        if head := peeked(spark, path):
+            name, first = head
+            text = first.decode("utf-8", "ignore").removeprefix(BOM).lstrip()
+            if text[:1] == "[" or text[:1] == "{" and name.lower().endswith(".json") and not several_values(name):
+                hint = "json_array"
     return (read_ndjson if hint == "ndjson" else read_json_array)(spark, path), hint

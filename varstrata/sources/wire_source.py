@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from varstrata import errors
+from varstrata.files import place
 from varstrata.limits import Limits
 from varstrata.session import prepare
 from varstrata.shipping import ship
@@ -36,11 +37,6 @@ _ARROW = pa.schema([("src", pa.string()), ("block_idx", pa.int64()), ("record_id
 CHUNK = 1 << 16
 
 
-def place(path: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path; a path without a scheme is local."""
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
-
-
 class File:
     """Random access to a file, on the driver for its headers and in tasks for one block each."""
 
@@ -306,16 +302,31 @@ def write(records: DataFrame, path: str, mode: str = "overwrite", **options) ->
     w.save()
 
 
+def block_table(path: str) -> list[tuple[int, int, int]]:
+    """(offset, size, records) of a file's blocks: from its index, or from the headers alone."""
+    with File(path) as f:
+        return f.blocks(False, limits_of(f.header()[0]))
+
+
 def describe(spark: SparkSession, path: str) -> DataFrame:
     """(block, field, records, present_count, flags, dict_entries, compressed, uncompressed): the directories of a file,
-    from its headers alone."""
-    rows = []
-    with File(path) as f:
-        limits = limits_of(f.header()[0])
-        for k, (at, _, _) in enumerate(f.blocks(False, limits)):
-            header, _ = f.block_header(at, limits)
-            rows += [(k + 1, s.name, header.records, s.present, s.flags, s.entries, s.packed, s.raw) for s in header.segments]
-    return spark.createDataFrame(rows, "block long, field string, records long, present_count long, flags long, dict_entries long, compressed long, uncompressed long")
+    from its headers alone, which tasks read side by side."""
+    ship(spark)
+    blocks = spark.createDataFrame([(k + 1, at) for k, (at, _, _) in enumerate(block_table(path))], "block long, at long")
+    schema = pa.schema([("block", pa.int64()), ("field", pa.string()), *((c, pa.int64()) for c in ("records", "present_count", "flags", "dict_entries", "compressed", "uncompressed"))])
+
+    def run(batches):
+        with File(path) as f:
+            limits = limits_of(f.header()[0])
+            for b in batches:
+                rows = []
+                for k, at in zip(b.column("block").to_pylist(), b.column("at").to_pylist(), strict=True):
+                    header, _ = f.block_header(at, limits)
+                    rows += [(k, s.name, header.records, s.present, s.flags, s.entries, s.packed, s.raw) for s in header.segments]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return blocks.mapInArrow(run, "block long, field string, records long, present_count long, flags long, dict_entries long, compressed long, uncompressed long")
 
 
 def writer_metrics(spark: SparkSession, path: str) -> DataFrame:

@@ -19,22 +19,13 @@ def lines(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
 
 
 def into_archive(stream: DataFrame, path: str, checkpoint: str, target: int = TARGET, lenient: bool = False, **trigger) -> StreamingQuery:
-    """Appends each micro-batch as a source named after it, so that a batch that is repeated after a failure is found
-    and not added twice. Blocks are complete within a batch; its last one may be shorter."""
+    """Appends each micro-batch as a source and a part named after it: a batch that is repeated after a failure replaces
+    what the first try left. Blocks are complete within a batch; its last one may be shorter."""
 
     def add(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         src = f"batch-{number:012d}"
-        try:
-            done = archive.manifest(spark, path).where(F.col("src") == src).take(1)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            done = []
-        if done:
-            return
-        rows = lines_of(batch).withColumn("_m", F.monotonically_increasing_id())
-        recs = numbered(rows.select(F.lit(src).alias("src"), F.col("src").alias("_file"), "_m", parsed(F.col("value"), lenient).alias("rec")).where(F.col("rec").isNotNull()).withColumnRenamed("_m", "_k"), ["_file", "_k"])
-        archive.append(by_count(recs.select("src", "record_idx", "rec"), target), path, hint="ndjson")
+        rows = lines_of(batch).withColumn("_k", F.monotonically_increasing_id())
+        recs = numbered(rows.select(F.lit(src).alias("src"), F.col("src").alias("_file"), "_k", parsed(F.col("value"), lenient).alias("rec")).where(F.col("rec").isNotNull()), ["_file", "_k"])
+        archive.append(by_count(recs.select("src", "record_idx", "rec"), target), path, src, hint="ndjson")
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
