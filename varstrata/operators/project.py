@@ -61,6 +61,10 @@ def resolve_format(asked: str, hint: str) -> str:
     return {"json_array": "json_array"}.get(hint, "ndjson") if asked == "auto" else asked
 
 
+def _batch(lines) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], schema=pa.schema([("line", pa.string())]))
+
+
 def _ordered(lines: DataFrame) -> DataFrame:
     return lines.repartitionByRange("src", "record_idx").sortWithinPartitions("src", "record_idx").select("line")
 
@@ -73,9 +77,9 @@ def write_lines(lines: DataFrame, path: str, header: str | None = None, mode: st
         first = True
         for b in batches:
             if first and b.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array([header])], names=["line"])
+                yield _batch([header])
                 first = False
-            yield b
+            yield _batch(b.column("line"))
 
     rows = _ordered(lines)
     (rows if header is None else rows.mapInArrow(headed, "line string")).write.mode(mode).text(path)
@@ -90,13 +94,13 @@ def write_arrays(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
             if not b.num_rows:
                 continue
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array([x + "," for x in held])], names=["line"])
+                yield _batch([x + "," for x in held])
                 held = b.column("line").to_pylist()
             else:
                 held = b.column("line").to_pylist()
                 held[0] = "[" + held[0]
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([*(x + "," for x in held[:-1]), held[-1] + "]"])], names=["line"])
+            yield _batch([*(x + "," for x in held[:-1]), held[-1] + "]"])
 
     _ordered(lines).mapInArrow(bracketed, "line string").write.mode(mode).text(path)
 

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from varstrata.functions import scalars, tags
+from varstrata.limits import Limits
 from varstrata.model import cells, field, from_rows
 from varstrata.operators import blocks, encoding, inspect, project, wrappers
 from varstrata.scratch import scratch
@@ -147,10 +148,21 @@ def block_assign(spark, sf_dir):
     return blocks.by_count(recs, BLOCK).groupBy("block_idx").agg(F.count("*").alias("n"), F.min("record_idx").alias("first"), F.max("record_idx").alias("last"))
 
 
-@query()
+#: Of the columns of block_greedy, o_orderpriority grows fastest, so that its segment is full first; SEGMENT holds fewer
+#: records than FEW where priorities are long, and more where they are short.
+SEGMENT, FEW = 4096, 420
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT i, o_orderkey, sum(n) OVER (ORDER BY i) AS s FROM (SELECT row_number() OVER (ORDER BY o_orderkey) AS i, o_orderkey, 1 + strlen(o_orderpriority) AS n FROM orders)),
+ends AS (SELECT a.i AS first, max(b.i) AS last FROM (SELECT i, o_orderkey, lag(s, 1, 0) OVER (ORDER BY i) AS base FROM o) a JOIN o b ON b.i >= a.i AND b.i < a.i + {FEW}
+  AND b.s - a.base + (b.i - a.i + 8) // 8 + (3 * (b.i - a.i + 1) + 7) // 8 <= {SEGMENT} GROUP BY a.i),
+cut(block_idx, first, last, by_field) AS (SELECT 0::BIGINT, first, last, false FROM ends WHERE first = 1
+  UNION ALL SELECT block_idx + 1, ends.first, ends.last, cut.last - cut.first + 1 < {FEW} FROM cut JOIN ends ON ends.first = cut.last + 1)
+SELECT block_idx, last - first + 1 AS n, o_orderkey AS first, CASE WHEN by_field THEN 'o_orderpriority' END AS cut_by FROM cut JOIN o ON o.i = cut.first""")
 def block_greedy(spark, sf_dir):
-    cut = blocks.greedy(orders(spark, sf_dir), BLOCK)
-    return cut.groupBy("block_idx").agg(F.count("*").alias("n"), F.count("error").alias("errors"))
+    rows = t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    cut = blocks.greedy(from_rows(rows, "orders", F.col("o_orderkey")), FEW, Limits(segment_bytes=SEGMENT))
+    return cut.groupBy("block_idx").agg(F.count("*").alias("n"), F.min("record_idx").alias("first"), F.max("cut_by").alias("cut_by"))
 
 
 @query(f"SELECT event_id // {BLOCK} + 1 AS block, count(*) AS record_count, (2 + max((event_id % 8 <> 0)::INT))::BIGINT AS field_count FROM events GROUP BY 1")
@@ -163,7 +175,11 @@ def ls_field_directory(spark, sf_dir):
     return inspect.field_directory(blocks.by_count(drifted(spark, sf_dir), BLOCK))
 
 
-@query("SELECT field FROM (VALUES ('event_id'), ('user_id'), ('v')) f(field)")
+#: A row for each field that an event's record has, with its tag.
+_EVENT_CELLS = f"""SELECT event_id, field, tag FROM (SELECT event_id, unnest(['event_id', 'user_id', 'v']) AS field, unnest(['int', 'int', {DRIFT_TAG}]) AS tag FROM events) WHERE tag IS NOT NULL"""
+
+
+@query(f"SELECT DISTINCT field FROM ({_EVENT_CELLS})")
 def fields_only(spark, sf_dir):
     return inspect.fields(drifted(spark, sf_dir))
 
@@ -171,8 +187,7 @@ def fields_only(spark, sf_dir):
 def _stats(sample: int | None) -> str:
     keep = "true" if sample is None else f"rn <= {sample}"
     kinds = ", ".join(f"count(*) FILTER ({keep} AND tag = '{k}') AS {'null_count' if k == 'null' else 'n_' + k}" for k in tags.TAGS)
-    return f"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY event_id) AS rn FROM (SELECT event_id, 'event_id' AS field, 'int' AS tag FROM events
-  UNION ALL SELECT event_id, 'user_id', 'int' FROM events UNION ALL SELECT event_id, 'v', {DRIFT_TAG} FROM events WHERE event_id % 8 <> 0))
+    return f"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY event_id) AS rn FROM ({_EVENT_CELLS}))
 SELECT field, (SELECT count(*) FROM events) AS total_records, count(*) AS present, (SELECT count(*) FROM events) - count(*) AS absent, {kinds},
   count(*) FILTER ({keep}) AS sample_size, count(*) FILTER ({keep}) < count(*) AS sampled FROM c GROUP BY field"""
 
@@ -187,7 +202,7 @@ def field_stats_sampled(spark, sf_dir):
     return inspect.field_stats(drifted(spark, sf_dir), 5003)
 
 
-@query("SELECT 'user_id' AS field")
+@query(f"SELECT field FROM ({_EVENT_CELLS}) GROUP BY field ORDER BY count(*) DESC, field DESC LIMIT 1")
 def most_populated(spark, sf_dir):
     return spark.createDataFrame([(inspect.most_populated(inspect.field_stats(drifted(spark, sf_dir))),)], "field string")
 
@@ -449,6 +464,61 @@ def writer_metrics(spark, sf_dir):
     return wire_source.writer_metrics(spark, path).select("field", "blocks", "records")
 
 
-@query("SELECT event_id AS record_idx, CASE event_id % 8 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN CASE WHEN event_id % 16 = 2 THEN 'true' ELSE 'false' END WHEN 3 THEN event_id::VARCHAR WHEN 4 THEN concat(event_id::VARCHAR, '.5') WHEN 5 THEN event_type WHEN 6 THEN concat('{\"k\":', user_id::VARCHAR, '}') ELSE concat('\"[', user_id::VARCHAR, ',null]\"') END AS line FROM events")
+@query(f"""SELECT event_id AS record_idx, {_CELL.format(c="v")} AS line FROM (SELECT event_id, CASE event_id % 8 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 5 THEN event_type ELSE {DRIFT.format(s="VARCHAR")} END AS v FROM events)""")
 def csv_of_every_kind(spark, sf_dir):
-    return project.csv_lines(drifted(spark, sf_dir), ["v"]).select("record_idx", "line").withColumn("line", F.when(F.col("line").startswith('"{'), F.expr("replace(substring(line, 2, length(line) - 2), '\"\"', '\"')")).otherwise(F.col("line")))
+    return project.csv_lines(drifted(spark, sf_dir), ["v"]).select("record_idx", "line")
+
+
+# Strict scans, files, and the interchange format over fields that are absent, null or of any kind ---------------------
+
+
+@query("SELECT record_idx, o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS record_idx FROM orders) WHERE o_orderkey % 7 > 3")
+def ndjson_strict(spark, sf_dir):
+    """Of seven lines, one has text after its object, one holds two objects, one no object, one ends early."""
+    path, one, k = scratch(spark, "strict"), F.to_json(F.struct("o_orderkey")), F.col("o_orderkey") % 7
+    bad = F.when(k == 0, F.concat(one, F.lit(" trailing"))).when(k == 1, F.concat(one, one)).when(k == 2, F.concat(F.lit("["), one, F.lit("]"))).when(k == 3, F.expr("left(to_json(struct(o_orderkey)), 9)"))
+    t(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(bad, one).alias("value")).repartition(1).sortWithinPartitions("o_orderkey").select("value").write.text(path)
+    return text.read_ndjson(spark, path, lenient=True).select("record_idx", long("o_orderkey"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_returnflag FROM (SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_returnflag FROM lineitem)")
+def json_array_large(spark, sf_dir):
+    """One file with one array, split in chunks that cut elements anywhere."""
+    path = scratch(spark, "large")
+    rows = t(spark, sf_dir, "lineitem").select(F.lit("s").alias("src"), F.lit(0).alias("record_idx"), F.to_json(F.struct("l_orderkey", "l_linenumber", "l_returnflag")).alias("line"))
+    project.write_arrays(rows, path)
+    return text.read_json_array(spark, path, chunk=1000).select(long("l_orderkey"), long("l_linenumber"), string("l_returnflag"))
+
+
+@query(f"""SELECT concat({_CELL.format(c="name")}, ',', c_custkey::VARCHAR) AS line FROM (SELECT c_custkey, concat(c_name, ', "', c_mktsegment, '"') AS name FROM customer)""")
+def csv_file_sink(spark, sf_dir):
+    path = scratch(spark, "csv")
+    rows = t(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"')).alias("name"))
+    project.write_lines(project.csv_lines(from_rows(rows, "customer", F.col("c_custkey")), ["name", "c_custkey"]), path, header="name,c_custkey")
+    return spark.read.text(path).where("value <> 'name,c_custkey'").withColumnRenamed("value", "line")
+
+
+@query(f"SELECT event_id // {BLOCK} AS block_idx, concat('{{\"event_id\":', event_id::VARCHAR, ',\"user_id\":', user_id::VARCHAR, CASE WHEN v IS NULL THEN '' ELSE concat(',\"v\":', v) END, '}}') AS json FROM (SELECT *, {DRIFT.format(s='VARCHAR')} AS v FROM events)")
+def wire_every_kind(spark, sf_dir):
+    path = scratch(spark, "wire", ".arc")
+    wire_source.write(blocks.by_count(drifted(spark, sf_dir), BLOCK), path, hint="ndjson")
+    return wire_source.read(spark, path).select("block_idx", F.to_json("rec").alias("json"))
+
+
+@query(f"""SELECT event_id // {BLOCK} + 1 AS block, field, count(*) AS present_count, any_value(r) AS records,
+  CASE WHEN field = 'v' AND count(DISTINCT s) > 0 AND count(DISTINCT s) <= greatest(2, count(s) // 8) THEN count(DISTINCT s) ELSE 0 END AS dict_entries
+FROM (SELECT c.event_id, field, CASE WHEN tag = 'string' THEN event_type END AS s, count(DISTINCT c.event_id) OVER (PARTITION BY c.event_id // {BLOCK}) AS r FROM ({_EVENT_CELLS}) c JOIN events USING (event_id)) GROUP BY 1, 2""")
+def wire_every_kind_directory(spark, sf_dir):
+    path = scratch(spark, "wire", ".arc")
+    wire_source.write(blocks.by_count(drifted(spark, sf_dir), BLOCK), path)
+    return wire_source.describe(spark, path).select("block", "field", "present_count", "records", "dict_entries")
+
+
+@query(f"SELECT event_id AS record_idx, {DRIFT.format(s='VARCHAR')} AS line FROM events WHERE event_id % 8 <> 0 AND event_id // 250 BETWEEN 1 AND 2")
+def wire_cat_blocks(spark, sf_dir):
+    """One field of two blocks, without unpacking the others."""
+    path = scratch(spark, "wire", ".arc")
+    wire_source.write(blocks.by_count(drifted(spark, sf_dir), 250), path)
+    rows = wire_source.read(spark, path, ["v"], firstBlock=1, lastBlock=2)
+    start = t(spark, sf_dir, "events").agg(F.min("event_id").alias("start"))
+    return project.values(rows, "v").join(F.broadcast(start)).select((F.col("record_idx") + F.col("start")).alias("record_idx"), project.value_text(F.col("value")).alias("line"))
