@@ -30,23 +30,25 @@ metrics AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {q
 
 
 def quality_cuts() -> str:
-    """CTEs after metrics that end in cuts: fences per language, source and metric."""
-    spec = ", ".join(f"('{k}', {up}, {'NULL' if down is None else down})" for k, (up, down) in quality.METRICS.items())
-    level = """SELECT {k} metric, max(n) AS n, min(b) FILTER (c >= 0.25 * n) AS q25, min(b) FILTER (c >= 0.5 * n) AS q50, min(b) FILTER (c >= 0.75 * n) AS q75
-  FROM (SELECT {k} metric, b, row_number() OVER (PARTITION BY {k} metric ORDER BY b) AS c, count(*) OVER (PARTITION BY {k} metric) AS n FROM long) GROUP BY ALL"""
+    """CTEs after metrics that end in judged: fences per language, source and metric, and every document's verdict."""
     cols = ", ".join(quality.METRICS)
+    spec = ", ".join(f"('{k}', {'NULL' if low is None else low}, {high})" for k, (low, high) in quality.METRICS.items())
+    weight = lambda n: f"({n} * {1000 * quality.PRIOR}) // (sum({n}) OVER (PARTITION BY lang, source, metric))::BIGINT"
+    width = lambda b: f"(1::BIGINT << greatest(length(bin({b})) - 6, 0))"
+    cut = lambda q, name: f"min(b) FILTER (100 * below >= {q} * total) AS {name}"
     return f"""
-long AS (SELECT lang, source, metric, v, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS b
-  FROM (UNPIVOT (SELECT lang, source, {cols} FROM metrics WHERE NOT base_failed) ON {cols} INTO NAME metric VALUE v)),
-g AS ({level.format(k="lang, source,")}), la AS ({level.format(k="lang,")}), al AS ({level.format(k="")}),
-spec(metric, up, down) AS (VALUES {spec}),
-picked AS (SELECT g.lang, g.source, g.metric, up, down,
-  CASE WHEN g.n >= {quality.LEAST_ROWS} THEN g.q25 WHEN la.n >= {quality.LEAST_ROWS} THEN la.q25 ELSE al.q25 END AS q25,
-  CASE WHEN g.n >= {quality.LEAST_ROWS} THEN g.q50 WHEN la.n >= {quality.LEAST_ROWS} THEN la.q50 ELSE al.q50 END AS q50,
-  CASE WHEN g.n >= {quality.LEAST_ROWS} THEN g.q75 WHEN la.n >= {quality.LEAST_ROWS} THEN la.q75 ELSE al.q75 END AS q75
-  FROM g JOIN la ON g.lang IS NOT DISTINCT FROM la.lang AND g.metric = la.metric JOIN al ON g.metric = al.metric JOIN spec ON g.metric = spec.metric),
-cuts AS (SELECT lang, source, metric, q50 + greatest(up, {quality.SPREADS} * (q75 - q50)) AS hi,
-  CASE WHEN down IS NOT NULL THEN q50 - greatest(down, {quality.SPREADS} * (q50 - q25)) END AS lo FROM picked),
+long AS (SELECT lang, source, metric, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS b, count(*) AS n
+  FROM (UNPIVOT (SELECT lang, source, {cols} FROM metrics WHERE NOT base_failed) ON {cols} INTO NAME metric VALUE v) GROUP BY ALL),
+gs AS (SELECT DISTINCT lang, source, metric FROM long),
+la AS (SELECT lang, metric, b, sum(n)::BIGINT AS n FROM long GROUP BY ALL), al AS (SELECT metric, b, sum(n)::BIGINT AS n FROM long GROUP BY ALL),
+blend AS (SELECT lang, source, metric, b, 1000 * n AS w FROM long
+  UNION ALL SELECT g.lang, g.source, g.metric, b, {weight("n")} FROM (SELECT g.lang, g.source, g.metric, b, n FROM gs g JOIN la ON g.lang IS NOT DISTINCT FROM la.lang AND g.metric = la.metric) g
+  UNION ALL SELECT g.lang, g.source, g.metric, b, {weight("n")} FROM (SELECT g.lang, g.source, g.metric, b, n FROM gs g JOIN al ON g.metric = al.metric) g),
+run AS (SELECT lang, source, metric, b, sum(w) OVER (PARTITION BY lang, source, metric ORDER BY b) AS below, sum(w) OVER (PARTITION BY lang, source, metric) AS total FROM blend),
+spec(metric, p_low, p_high) AS (VALUES {spec}),
+quant AS (SELECT lang, source, metric, {cut("p_low", "low")}, {cut(quality.MIDDLE, "mid")}, {cut("p_high", "high")} FROM run JOIN spec USING (metric) GROUP BY ALL),
+cuts AS (SELECT lang, source, metric, high + greatest({quality.SPREADS} * (high - mid), {width("high")}) AS hi,
+  low - greatest({quality.SPREADS} * (mid - low), {width("low")}) AS lo FROM quant),
 flat AS (SELECT rid, lang, source, metric, v FROM (UNPIVOT (SELECT rid, lang, source, {cols} FROM metrics) ON {cols} INTO NAME metric VALUE v)),
 bad AS (SELECT DISTINCT rid FROM flat JOIN cuts ON flat.lang IS NOT DISTINCT FROM cuts.lang AND flat.source IS NOT DISTINCT FROM cuts.source
   AND flat.metric = cuts.metric WHERE v > hi OR v < lo),

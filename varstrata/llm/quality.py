@@ -3,32 +3,29 @@
 A sketch is a histogram over integer buckets of bounded relative width (values below 64 exactly, above that six
 significant bits), so sketches merge by adding counts, do not depend on the order of rows or on partitions, and hold
 at most some hundred buckets per metric however many rows they cover. Each document is measured once; the narrow
-measurements are stashed, sketched per (lang, source) with map-side partial counts, merged to (lang) and to everything
-for groups with few rows, and the resulting fences are joined back to the measurements.
+measurements are sketched per (lang, source) with map-side partial counts. To each group's sketch those of its language
+and of the whole table are added with the weight of PRIOR rows each: a group of one row has nearly its language's
+fences, a large one its own, and none is treated apart. Fences follow from the quantiles of the blend alone and are
+joined back to the measurements.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from varstrata.llm.common import BLANKS, UPPER, let, small_join, stash, words_of
 
 SYMBOLS = "#*$%&|<>"
-#: Metric: (least gap above the median, least gap below the median or None for no lower fence).
-#: Shares are per mille of the characters in words; word_len is in tenths of a character.
-METRICS: dict[str, tuple[int, int | None]] = {
-    "symbol_share": (25, None),
-    "upper_share": (300, None),
-    "bang_share": (60, None),
-    "repeat_share": (450, None),
-    "word_len": (60, 25),
-}
-#: A fence lies this many times the distance from the median to the quartile away from the median.
-SPREADS = 6
-#: A group with fewer rows takes the fences of its language; a language with fewer, those of all rows.
-LEAST_ROWS = 100
+#: Metrics, and the per cent at which their outer quantiles are read off a blended sketch: (lower or None without a lower
+#: fence, upper). What sound texts hardly ever have is read nearer to the middle, so that more rows of a group may be bad.
+#: Shares are per mille of the characters in words (of the words for repeat_share); word_len is in tenths of a character.
+METRICS: dict[str, tuple[int | None, int]] = {"symbol_share": (None, 85), "upper_share": (None, 90), "bang_share": (None, 85), "repeat_share": (None, 93), "word_len": (10, 90)}
+#: A fence lies SPREADS times the distance from the median to the outer quantile beyond the outer quantile, and one
+#: bucket beyond it at least.
+MIDDLE, SPREADS = 50, 8
+#: Rows that the sketches of the language and of the whole table count for in a group's blend.
+PRIOR = 100
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 
@@ -96,34 +93,64 @@ def sketches(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, pairs.alias("p")).groupBy(*keys, "p.metric", "p.bucket").agg(F.count("*").alias("n"))
 
 
-def quantiles(sketch: DataFrame, keys: list[str], at: dict[str, float]) -> DataFrame:
-    """(keys, metric, rows, one column per entry of at): the bucket where the cumulated count reaches the share."""
-    by = W.partitionBy(*keys, "metric")
-    run = sketch.withColumn("below", F.sum("n").over(by.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))).withColumn("rows", F.sum("n").over(by))
-    cut = [F.min(F.when(F.col("below") >= q * F.col("rows"), F.col("bucket"))).alias(name) for name, q in at.items()]
-    return run.groupBy(*keys, "metric").agg(F.max("rows").alias("rows"), *cut)
+def width(b: Column) -> Column:
+    """How many values the bucket with lower end b holds."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin(b)) - 6, F.lit(0)))
 
 
-def fences(rows: DataFrame, spreads: int = SPREADS, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """(lang, source, lo_<metric>, hi_<metric>): one row per group of rows, null keys included."""
-    own = stash(sketches(rows, ["lang", "source"]), "sketches")
-    at = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+def _packed(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, metric, rows, part): a row per sketch, its buckets as an array of (bucket, n)."""
+    merged = sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
+    return merged.groupBy(*keys, "metric").agg(F.sum("n").alias("rows"), F.collect_list(F.struct("bucket", "n")).alias("part"))
+
+
+def _weighted(part: Column, rows: Column | None, prior: int) -> Column:
+    """Counts in thousandths of a row: as they are, or scaled to prior rows in all."""
+    n = (lambda x: x["n"] * 1000) if rows is None else (lambda x: F.call_function("div", x["n"] * (1000 * prior), rows))
+    return F.transform(part, lambda x: F.struct(x["bucket"].alias("bucket"), n(x).alias("n")))
+
+
+def _reached(blend: Column, total: Column, percent: Column) -> Column:
+    """The first bucket of an ordered blend at which the cumulated count is percent of the total."""
 
-    def level(keys: list[str], tag: str) -> DataFrame:
-        merged = own.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
-        return quantiles(merged, keys, at).select(*[F.col(k).alias(f"{tag}_{k}") for k in keys], F.col("metric").alias(f"{tag}_metric"), F.struct("rows", *at).alias(tag))
+    def step(acc: Column, x: Column) -> Column:
+        below = acc["below"] + x["n"]
+        return F.struct(below.alias("below"), F.coalesce(acc["at"], F.when(100 * below >= percent * total, x["bucket"])).alias("at"))
 
-    g, la, al = quantiles(own, ["lang", "source"], at), level(["lang"], "la"), level([], "al")
-    joined = g.join(la, F.col("lang").eqNullSafe(F.col("la_lang")) & (F.col("metric") == F.col("la_metric"))).join(al, F.col("metric") == F.col("al_metric"))
-    pick = F.when(F.col("rows") >= least_rows, F.struct("rows", *at)).when(F.col("la.rows") >= least_rows, F.col("la")).otherwise(F.col("al"))
-    spec = F.create_map(*[x for k, (up, down) in METRICS.items() for x in (F.lit(k), F.array(F.lit(up), F.lit(down).cast("int")))])
-    fenced = joined.select("lang", "source", "metric", pick.alias("q"), spec[F.col("metric")].alias("gap")).select(
+    return F.aggregate(blend, F.struct(F.lit(0).cast("long").alias("below"), F.lit(None).cast("long").alias("at")), step)["at"]
+
+
+def fence_rows(rows: DataFrame, spreads: int = SPREADS, prior: int = PRIOR) -> DataFrame:
+    """(lang, source, metric, low, mid, high, lo, hi, floored): quantiles of each group's blend and its fences, null keys
+    included; floored is whether the upper fence is as near as a bucket's width
+    allows. low and lo are null without a lower fence."""
+    own = stash(sketches(rows, ["lang", "source"]), "sketches")
+    la = _packed(own, ["lang"]).select(F.col("lang").alias("la_lang"), F.col("metric").alias("la_metric"), F.col("rows").alias("la_rows"), F.col("part").alias("la_part"))
+    al = _packed(own, []).select(F.col("metric").alias("al_metric"), F.col("rows").alias("al_rows"), F.col("part").alias("al_part"))
+    joined = _packed(own, ["lang", "source"]).join(la, F.col("lang").eqNullSafe(F.col("la_lang")) & (F.col("metric") == F.col("la_metric"))).join(F.broadcast(al), F.col("metric") == F.col("al_metric"))
+    parts = F.concat(_weighted(F.col("part"), None, prior), _weighted(F.col("la_part"), F.col("la_rows"), prior), _weighted(F.col("al_part"), F.col("al_rows"), prior))
+    blend = joined.select("lang", "source", "metric", F.sort_array(parts).alias("blend"))
+    blend = blend.withColumn("total", F.aggregate("blend", F.lit(0).cast("long"), lambda s, x: s + x["n"]))
+    spec = F.create_map(*[x for k, (low, high) in METRICS.items() for x in (F.lit(k), F.array(F.lit(low).cast("int"), F.lit(MIDDLE), F.lit(high)))])
+    blend = blend.withColumn("percent", spec[F.col("metric")])
+    at = blend.select("lang", "source", "metric", *[_reached(F.col("blend"), F.col("total"), F.col("percent")[k]).alias(name) for k, name in enumerate(("low", "mid", "high"))])
+    up, down = spreads * (F.col("high") - F.col("mid")), spreads * (F.col("mid") - F.col("low"))
+    return at.select(
         "lang",
         "source",
         "metric",
-        (F.col("q.q50") + F.greatest(F.col("gap")[0], spreads * (F.col("q.q75") - F.col("q.q50")))).alias("hi"),
-        F.when(F.col("gap")[1].isNotNull(), F.col("q.q50") - F.greatest(F.col("gap")[1], spreads * (F.col("q.q50") - F.col("q.q25")))).alias("lo"),
+        "low",
+        "mid",
+        "high",
+        F.when(F.col("low").isNotNull(), F.col("low") - F.greatest(down, width(F.col("low")))).alias("lo"),
+        (F.col("high") + F.greatest(up, width(F.col("high")))).alias("hi"),
+        (up <= width(F.col("high"))).alias("floored"),
     )
+
+
+def fences(rows: DataFrame, spreads: int = SPREADS, prior: int = PRIOR) -> DataFrame:
+    """(lang, source, lo_<metric>, hi_<metric>): one row per group of rows."""
+    fenced = fence_rows(rows, spreads, prior)
     return fenced.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == k, F.col(end))).alias(f"{end}_{k}") for k in METRICS for end in ("lo", "hi")])
 
 
@@ -136,7 +163,7 @@ def within(values: dict[str, Column], fence) -> Column:
     ok = F.lit(True)
     for k, v in values.items():
         ok = ok & (v <= fence(f"hi_{k}"))
-        if METRICS[k][1] is not None:
+        if METRICS[k][0] is not None:
             ok = ok & (v >= fence(f"lo_{k}"))
     return ok
 
