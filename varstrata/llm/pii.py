@@ -9,7 +9,7 @@ reliable each labeler is for each kind, without any labelled row, and how likely
 logistic regression on votes and length, fitted to these, decides. Candidates that it accepts and that overlap no base
 span are added.
 
-Every document is scanned by expressions alone. What reaches the driver are the counts of distinct vote patterns, at
+Every document is scanned by expressions alone, in a time that grows little faster than its matches (see common.scan). What reaches the driver are the counts of distinct vote patterns, at
 most len(KINDS) * 3**4 * LENGTHS rows; what goes back are the weights, as literals.
 """
 
@@ -21,13 +21,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varstrata.llm.common import let, stash
+from varstrata.llm.common import RUN, let, runs, scan, stash
 
 #: The first four are the base's; the order is that of results.
 KINDS = ("email", "ip", "card", "phone", "secret")
 EMAIL, IP, CARD, PHONE, SECRET = range(5)
 LABELERS = ("format", "shape", "gazetteer", "context")
 LENGTHS, AROUND = 4, 40
+#: Kinds whose format is an exact check.
+CHECKED = (IP, CARD)
 
 #: Patterns with possessive quantifiers and look-behinds find the same leftmost matches as the plain ones, without
 #: recursion and in linear time on long runs.
@@ -118,11 +120,13 @@ def votes(kind: int, wider: bool, ok: Column, t: Column, before: Column, after:
     }
 
 
+FIELDS = "array<struct<s:int,e:int,kind:tinyint,base:boolean," + ",".join(f"{x}:tinyint" for x in LABELERS) + ",size:tinyint>>"
+
+
 def found(text: Column, kind: int, pattern: str, hint: str, wider: bool = False) -> Column:
-    """Candidates of one pattern, leftmost and without overlaps: kind, start, end (code points, end exclusive), whether
+    """Candidates of one pattern, leftmost and without overlaps: start, end (code points, end exclusive), kind, whether
     the base has it, the votes and the length's class. Places follow from the lengths of matches and of what is between."""
-    fields = "array<struct<kind:tinyint,s:int,e:int,base:boolean," + ",".join(f"{x}:tinyint" for x in LABELERS) + ",size:tinyint>>"
-    empty = F.array().cast(fields)
+    empty = F.array().cast(FIELDS)
 
     def candidate(z: Column, i: Column, start: Column) -> Column:
         t, before, after = z["m"][i], F.right(z["p"][i], F.lit(AROUND)), F.left(z["p"][i + 1], F.lit(AROUND))
@@ -130,31 +134,37 @@ def found(text: Column, kind: int, pattern: str, hint: str, wider: bool = False)
         v = votes(kind, wider, ok, t, before, after)
         n = F.length(t)
         size = F.when(n < 10, 0).when(n < 16, 1).when(n < 24, 2).otherwise(3).cast("tinyint")
-        return F.struct(F.lit(kind).cast("tinyint").alias("kind"), start.alias("s"), (start + n).alias("e"), ok.alias("base"), *[v[x].alias(x) for x in LABELERS], size.alias("size"))
+        return F.struct(start.alias("s"), (start + n).alias("e"), F.lit(kind).cast("tinyint").alias("kind"), ok.alias("base"), *[v[x].alias(x) for x in LABELERS], size.alias("size"))
 
     def places(z: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(z["p"][i])
-            return F.struct((start + F.length(z["m"][i])).alias("at"), F.concat(acc["out"], F.array(candidate(z, i, start))).cast(fields).alias("out"))
-
-        zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-        return F.when(F.size(z["m"]) == 0, empty).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(z["m"]) - 1), zero, step)["out"])
+        steps = F.transform(z["m"], lambda m, i: F.length(z["p"][i]) + F.length(m))
+        at = scan(steps, 0, lambda a, b: a + b)
+        made = let(at, lambda starts: F.transform(starts, lambda x, i: candidate(z, i, x.cast("int") + F.length(z["p"][i]))))
+        return F.when(F.size(z["m"]) == 0, empty).otherwise(made.cast(FIELDS))
 
     cut = F.struct(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("m"))
     return F.when(text.rlike(hint), let(cut, places)).otherwise(empty)
 
 
+#: Beyond every place in a text.
+FAR = (1 << 31) - 1
+
+
+def outside_of_base(c: Column) -> Column:
+    """Candidates in order of their starts, without those that overlap a base span: one that begins before ends after
+    them, or one that begins later begins within them."""
+    ends = scan(F.transform(c, lambda x: F.when(x["base"], x["e"]).otherwise(0)), 0, F.greatest)
+    starts = F.reverse(scan(F.reverse(F.transform(c, lambda x: F.when(x["base"], x["s"]).otherwise(FAR))), FAR, F.least))
+    return let(F.struct(ends.alias("ends"), starts.alias("starts")), lambda z: F.filter(c, lambda x, i: x["base"] | ((z["ends"][i] <= x["s"]) & (z["starts"][i] >= x["e"]))))
+
+
 def candidates(text: Column) -> Column:
-    """All candidates of a text, without those of the wider patterns that overlap a base span."""
+    """All candidates of a text, by start, without those that overlap a base span and aren't base spans."""
     t = F.coalesce(text, F.lit(""))
     plain = F.concat(*[found(t, k, p, HINT[k]) for k, p in BASE.items()])
     wide = F.concat(*[found(t, k, p, WIDER_HINT[k], wider=True) for k, p in WIDER.items()])
-    both = let(F.concat(plain, wide), lambda c: let(F.filter(c, lambda x: x["base"]), lambda b: F.filter(c, lambda x: x["base"] | ~F.exists(b, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))))
-    return F.when(t.rlike("[0-9@]|[\\[({]at[\\])}]"), both).otherwise(F.array().cast(both_type()))
-
-
-def both_type() -> str:
-    return "array<struct<kind:tinyint,s:int,e:int,base:boolean," + ",".join(f"{x}:tinyint" for x in LABELERS) + ",size:tinyint>>"
+    both = let(F.sort_array(F.concat(plain, wide)), lambda c: F.when(F.size(c) > 1, outside_of_base(c)).otherwise(c))
+    return F.when(t.rlike("[0-9@]|[\\[({]at[\\])}]"), both).otherwise(F.array().cast(FIELDS))
 
 
 def expectation_maximisation(counts: list[tuple[tuple[int, ...], int]], rounds: int = 40) -> dict[tuple[int, ...], float]:
@@ -164,15 +174,13 @@ def expectation_maximisation(counts: list[tuple[tuple[int, ...], int]], rounds:
     that holds each to be better than chance.
     """
     prior = {1: {1: 6.0, 0: 3.0, -1: 1.0}, 0: {1: 1.0, 0: 3.0, -1: 6.0}}
-    # A number that fails its check digit, or an address part above 255, is known not to be one, however often seen.
-    strict = {1: {1: 1e9, 0: 1e9, -1: 1.0}, 0: {1: 1e6, 0: 1e6, -1: 1e9}}
     out: dict[tuple[int, ...], float] = {}
     for kind in sorted({p[0] for p, _ in counts}):
         rows = [(p, n) for p, n in counts if p[0] == kind]
         post = {p: 1 / (1 + math.exp(-1.5 * sum(p[1:-1]))) for p, _ in rows}
         for _ in range(rounds):
             share = {1: 2.0, 0: 2.0}
-            rate = {y: [dict((strict if k == 0 and kind in (IP, CARD) else prior)[y]) for k in range(len(LABELERS))] for y in (0, 1)}
+            rate = {y: [dict(prior[y]) for _ in LABELERS] for y in (0, 1)}
             for p, n in rows:
                 for y, w in ((1, post[p]), (0, 1 - post[p])):
                     share[y] += w * n
@@ -217,12 +225,36 @@ def counts_of(spans: DataFrame, column: str = "candidates") -> list[tuple[tuple[
     return sorted((tuple(int(r[k]) for k in keys), r["n"]) for r in rows)
 
 
+SPANS = "array<struct<kind:tinyint,s:int,e:int,base:boolean>>"
+
+
+def _span(c: Column) -> Column:
+    return F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e"), c["base"].alias("base"))
+
+
+def apart(spans: Column) -> Column:
+    """Of ordered spans each that begins after the end of the last one taken."""
+
+    def sweep(acc: Column, c: Column) -> Column:
+        free = c["s"] >= acc["end"]
+        return F.struct(F.when(free, c["e"]).otherwise(acc["end"]).alias("end"), F.when(free, F.concat(acc["out"], F.array(c))).otherwise(acc["out"]).cast(SPANS).alias("out"))
+
+    def run(acc: Column, r: Column) -> Column:
+        part = F.aggregate(r, F.struct(acc["end"].alias("end"), F.array().cast(SPANS).alias("out")), sweep)
+        return let(part, lambda x: F.struct(x["end"].alias("end"), F.concat(acc["out"], F.array(x["out"])).cast(f"array<{SPANS}>").alias("out")))
+
+    return F.flatten(F.aggregate(runs(spans), F.struct(F.lit(0).alias("end"), F.array().cast(f"array<{SPANS}>").alias("out")), run)["out"])
+
+
 def accepted(cands: Column, weights: dict[int, list[float]]) -> Column:
     """The candidates that are base spans or that the classifier takes, by kind and start; of overlapping added ones the
-    first stays. An array of (kind, s, e, base)."""
-    short = F.transform(cands, lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e"), c["base"].alias("base")))
+    first stays. An array of (kind, s, e, base). Candidates come in order of their starts.
+
+    What fails an exact check, an address part above 255 or a card's check digit, is never added, whatever the classifier
+    says: format votes against it.
+    """
     if not weights:
-        return F.sort_array(short)
+        return F.sort_array(F.transform(cands, _span))
 
     def takes(c: Column) -> Column:
         said = F.lit(False)
@@ -232,20 +264,11 @@ def accepted(cands: Column, weights: dict[int, list[float]]) -> Column:
                 z = z + w[k] * c[name].cast("double")
             for k in range(LENGTHS):
                 z = z + F.when(c["size"] == k, w[1 + len(LABELERS) + k]).otherwise(0.0)
-            said = F.when(c["kind"] == kind, z > 0).otherwise(said)
+            said = F.when(c["kind"] == kind, (z > 0) & (c["format"] >= 0) if kind in CHECKED else z > 0).otherwise(said)
         return said
 
-    kept = F.filter(cands, lambda c: c["base"] | takes(c))
-    order = F.sort_array(F.transform(F.filter(kept, lambda c: ~c["base"]), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["kind"].alias("kind"))))
-    fields = "array<struct<kind:tinyint,s:int,e:int,base:boolean>>"
-
-    def sweep(acc: Column, c: Column) -> Column:
-        one = F.array(F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e"), F.lit(False).alias("base"))).cast(fields)
-        free = c["s"] >= acc["end"]
-        return F.struct(F.when(free, c["e"]).otherwise(acc["end"]).alias("end"), F.when(free, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
-
-    added = F.aggregate(order, F.struct(F.lit(0).alias("end"), F.array().cast(fields).alias("out")), sweep)["out"]
-    plain = F.transform(F.filter(kept, lambda c: c["base"]), lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e"), c["base"].alias("base"))).cast(fields)
+    added = apart(F.transform(F.filter(cands, lambda c: ~c["base"] & takes(c)), _span).cast(SPANS))
+    plain = F.transform(F.filter(cands, lambda c: c["base"]), _span).cast(SPANS)
     return F.sort_array(F.concat(plain, added))
 
 
@@ -275,21 +298,27 @@ def masked(text: Column, spans: Column, label: Callable[[Column], Column] | None
     """text with every span replaced by its kind in brackets; overlapping spans are replaced once, by the first."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     by_start = F.sort_array(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].cast("int").alias("kind"))))
-    fields = "array<struct<s:int,e:int,kind:int>>"
+    name = (lambda k: names[k]) if label is None else label
 
-    def merge(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"), last["kind"].alias("kind"))))
-        return F.when(F.size(acc) == 0, F.array(x)).when(x["s"] < last["e"], joined).otherwise(F.concat(acc, F.array(x))).cast(fields)
+    def merged(x: Column) -> Column:
+        """The first of each row of spans that overlap, up to the end of them all."""
+        reach = scan(F.transform(x, lambda v: v["e"]), 0, F.greatest)
+        first = let(reach, lambda r: F.filter(F.transform(x, lambda v, i: F.struct(i.alias("i"), r[i].cast("int").alias("reach"), v.alias("v"))), lambda v: v["v"]["s"] >= v["reach"]))
+        last = F.array_max(F.transform(x, lambda v: v["e"]))
+        return let(first, lambda f: F.transform(f, lambda v, k: F.struct(v["v"]["s"].alias("s"), F.coalesce(F.get(f, k + 1)["reach"], last).alias("e"), v["v"]["kind"].alias("kind"))))
 
     def rebuilt(m: Column) -> Column:
-        end = lambda i: F.when(i == 0, F.lit(0)).otherwise(m[i - 1]["e"])
-        name = (lambda i: names[m[i]["kind"]]) if label is None else (lambda i: label(m[i]["kind"]))
-        parts = F.transform(F.sequence(F.lit(0), F.size(m) - 1), lambda i: F.concat(F.substring(text, end(i) + 1, m[i]["s"] - end(i)), name(i)))
-        return F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(m, -1)["e"] + 1, F.length(text)))
+        """Runs of spans are cut out of the text, then the spans out of their run, so that no cut goes far."""
+
+        def one(r: Column, k: Column) -> Column:
+            begin = F.when(k == 0, F.lit(0)).otherwise(m[k * RUN - 1]["e"])
+            part = F.struct(begin.alias("at"), F.substring(text, begin + 1, F.element_at(r, -1)["e"] - begin).alias("text"))
+            cut = lambda z, i: F.substring(z["text"], F.when(i == 0, z["at"]).otherwise(r[i - 1]["e"]) - z["at"] + 1, r[i]["s"] - F.when(i == 0, z["at"]).otherwise(r[i - 1]["e"]))
+            return let(part, lambda z: F.array_join(F.transform(r, lambda x, i: F.concat(cut(z, i), name(x["kind"]))), ""))
+
+        return F.concat(F.array_join(F.transform(runs(m), one), ""), F.substring(text, F.element_at(m, -1)["e"] + 1, F.length(text)))
 
-    merged = F.aggregate(by_start, F.array().cast(fields), merge)
-    return F.when(text.isNull() | (F.size(spans) == 0), text).otherwise(let(merged, rebuilt))
+    return F.when(text.isNull() | (F.size(spans) == 0), text).otherwise(let(let(by_start, merged), rebuilt))
 
 
 def redact(docs: DataFrame) -> DataFrame:
