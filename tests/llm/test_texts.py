@@ -190,6 +190,64 @@ def test_language(spark, small):
     assert again == {r["doc_id"]: r["lang_pred"] for r in told}
 
 
+def plain_features(text, dim):
+    raw = " ".join(["", *re.sub("[^A-Za-z\x80-\U0010ffff]", " ", text.lower()).split(" "), ""])
+    raw = re.sub(" +", " ", raw).encode()
+    n = Counter()
+    for a, b, c in zip(raw, raw[1:], raw[2:], strict=False):
+        n[(((a * 0x9E3779B1 ^ b * 0x85EBCA77 ^ c * 0xC2B2AE3D) & 0xFFFFFFFF) >> 7) % dim] += 1
+    size = sum(n.values()) ** 0.5
+    return {k: v**0.5 / size for k, v in n.items()}
+
+
+def test_language_against_plain_python(spark, small):
+    """Features and predictions text by text; the trained machines' losses are as small as plain descent can make them."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = langid.train(docs, per_lang=40, dim=512)
+    told = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    many = len(model.families) if len(model.families) > 1 else 0
+    for r in docs.collect():
+        f = plain_features(r["text"], 512)
+        z = [1 / (1 + np.exp(-4 * (sum(v * float(w[k]) for k, v in f.items()) + float(b)))) for w, b in zip(model.weights, model.bias, strict=True)]
+        best = max(range(len(model.families)), key=lambda k: z[k]) if many else 0
+        name, share = model.families[best], z[best] if many else 1.0
+        votes = dict.fromkeys(model.of[name], 0.0)
+        for j, (g, a, b) in enumerate(model.pairs, many):
+            if g == name:
+                votes[a] += z[j]
+                votes[b] += 1 - z[j]
+        lang = max(votes, key=lambda k: (votes[k], k))
+        assert told[r["doc_id"]]["lang_pred"] == lang and abs(told[r["doc_id"]]["score"] - share * (votes[lang] / (len(votes) - 1) if len(votes) > 1 else 1)) < 1e-3
+    # A tiny problem, descended on with the smallest of steps.
+    rng = np.random.default_rng(1)
+    x = np.abs(rng.normal(size=(40, 6))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    signs = np.where(x[:, :2] + 0.1 * rng.normal(size=(40, 2)) > 0.35, 1, -1)
+    signs[:7, 1] = 0
+    w, b = langid.machines(x, signs)
+    for k in range(2):
+        loss = lambda u, c, k=k: 0.5 * (u @ u + c * c) + sum(max(0.0, 1 - s * (u @ v + c)) ** 2 for s, v in zip(signs[:, k], x, strict=True) if s)
+        u, c = np.zeros(6), 0.0
+        for _ in range(6000):
+            short = [s * max(0.0, 1 - s * (u @ v + c)) for s, v in zip(signs[:, k], x, strict=True)]
+            u, c = u - 0.004 * (u - 2 * sum(h * v for h, v in zip(short, x, strict=True))), c - 0.004 * (c - 2 * sum(short))
+        assert loss(w[k], b[k]) <= 1.001 * loss(u, c)
+
+
+def test_no_language_is_left_out(spark):
+    """Many languages share the sample; rows without a letter take no place in it."""
+    rnd = random.Random(3)
+    rows = []
+    for k in range(600):
+        word = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+        rows += [(k * 50 + j, f"{word} {word}{j % 3} {word[::-1]}" if j % 2 else (None, "", "123")[j % 3], f"x{k:03d}") for j in range(14)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, dim=256, sample=1200)
+    assert len(model.families) == 600
+    told = langid.identify(docs.where("doc_id % 2 = 1"), model, ["lang"]).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in told) >= 0.9 * len(told)
+
+
 def test_families():
     assert langid.family_of("en") == langid.family_of("de") != langid.family_of("fr") and langid.family_of("zz") == "zz"
 
@@ -233,3 +291,25 @@ def test_operators_return_their_ids(spark, odd, coding):
         assert sequences[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]] == r["ids"]
         whole.setdefault(r["doc_id"], []).extend(r["ids"])
     assert whole == {k: [*t.encode(texts[k], add_special_tokens=False).ids, 0] for k in whole} and sum(map(len, sequences.values())) == sum(r["length"] for r in rows)
+
+
+def test_many_matches_in_one_text(spark):
+    """A hundred thousand spans in one text take seconds, not hours; places and masks stay right."""
+    text = " ".join(f"u{k}@ex.org" for k in range(100_000))
+    docs = spark.createDataFrame([(1, text), (2, "+1 22 33 44 55 " * 700 + "é x")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.digest(pii.find(docs)).collect()}
+    spans = [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"\S+", text)]
+    assert got[1]["n_email"] == 100_000 and got[1]["base_sha256"] == hashlib.sha256(",".join(spans).encode()).hexdigest()
+    left = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert left[1] == " ".join(["[EMAIL]"] * 100_000) and left[2].endswith("é x")
+
+
+def test_scans(spark):
+    from pyspark.sql import functions as F
+
+    from varstrata.llm.common import runs, scan
+
+    rows = [[], [5], list(range(128)), list(range(1000, 0, -1)), [7] * 129]
+    df = spark.createDataFrame([(r,) for r in rows], "a array<int>")
+    got = df.select(scan(F.col("a"), 0, lambda x, y: x + y), scan(F.col("a"), 0, F.greatest), F.flatten(runs(F.col("a")))).collect()
+    assert [(list(x[0]), list(x[1]), list(x[2])) for x in got] == [([sum(r[:k]) for k in range(len(r))], [max([0, *r[:k]]) for k in range(len(r))], r) for r in rows]

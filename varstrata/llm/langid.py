@@ -2,8 +2,9 @@
 machines choose among the languages of that family.
 
 Features are hashed byte trigrams of the lower-cased whole text, in which everything but letters is a space. Training
-takes at most PER_LANG labelled rows of each language, those with the smallest hashes of their ids; their feature
-vectors, at most DIM numbers each, are gathered on the driver. Prediction is one pass over the texts, without a shuffle.
+takes SAMPLE labelled rows, dealt evenly among the languages, at most PER_LANG and at least one of each: those with the
+smallest hashes of their ids. Their feature vectors, at most DIM numbers each, are gathered on the driver, where all
+machines are trained side by side on the vectors themselves. Prediction is one pass over the texts, without a shuffle.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from varstrata.llm.arrow import mapped, mapper
+from varstrata.llm.common import small_join, stash
 
-DIM, PER_LANG, MAX_LANGS = 8192, 300, 500
+DIM, PER_LANG, SAMPLE = 8192, 300, 6000
 UNKNOWN = "und"
 #: ISO 639-1 codes by family; a language that isn't listed is a family of its own.
 FAMILIES = {
@@ -56,21 +58,33 @@ def features(text: str, dim: int = DIM) -> np.ndarray:
     return x / np.float32(np.linalg.norm(x))
 
 
-def machine(gram: np.ndarray, sign: np.ndarray, cost: float = 10.0, rounds: int = 30) -> np.ndarray:
-    """Dual coordinate ascent for a linear support vector machine with squared hinge loss; gram is the matrix of inner
-    products, with 1 added for the bias. Returns the dual weights times their signs. The order of the steps is fixed."""
-    n = len(sign)
-    alpha, out = np.zeros(n), np.zeros(n)
-    diag = gram.diagonal() + 0.5 / cost
-    order = np.random.default_rng(0)
+def machines(x: np.ndarray, signs: np.ndarray, cost: float = 1.0, rounds: int = 150) -> tuple[np.ndarray, np.ndarray]:
+    """Linear support vector machines with squared hinge loss, one for each column of signs: 1, -1, or 0 for a row that
+    plays no part. Weights (a row for each machine) and biases.
+
+    Accelerated gradient steps on all machines at once; the bias is the weight of a feature that is always 1. Memory is
+    that of x and of a number for each row and machine, time is in proportion to their product.
+    """
+    signs = signs.astype(np.float32)
+    # The largest eigenvalue of x'x (with the constant feature) bounds the steps.
+    v, top = np.ones(x.shape[1] + 1), 1.0
+    for _ in range(12):
+        y = x @ v[:-1] + v[-1]
+        v = np.append(y @ x, y.sum())
+        top = float(np.linalg.norm(v))
+        v /= max(top, 1e-12)
+    step = 1 / (1 + 2.2 * cost * top)
+    w, b = np.zeros((signs.shape[1], x.shape[1]), np.float32), np.zeros(signs.shape[1], np.float32)
+    w_at, b_at, pace = w, b, 1.0
     for _ in range(rounds):
-        for i in order.permutation(n):
-            grad = sign[i] * out[i] - 1 + alpha[i] * 0.5 / cost
-            new = max(0.0, alpha[i] - grad / diag[i])
-            if new != alpha[i]:
-                out += (new - alpha[i]) * sign[i] * gram[i]
-                alpha[i] = new
-    return alpha * sign
+        short = np.maximum(0, 1 - signs * (x @ w_at.T + b_at)) * signs
+        new_w = w_at - step * (w_at - 2 * cost * (short.T @ x))
+        new_b = b_at - step * (b_at - 2 * cost * short.sum(0))
+        next_pace = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        lead = np.float32((pace - 1) / next_pace)
+        w_at, b_at = new_w + lead * (new_w - w), new_b + lead * (new_b - b)
+        w, b, pace = new_w, new_b, next_pace
+    return w, b
 
 
 @dataclass
@@ -92,14 +106,16 @@ class Model:
         many = len(self.families) if len(self.families) > 1 else 0
         family = margin[:, :many].argmax(1) if many else np.zeros(len(x), int)
         share = margin[np.arange(len(x)), family] if many else np.ones(len(x))
+        duels: dict[str, list[tuple[int, str, str]]] = {}
+        for j, (g, a, b) in enumerate(self.pairs, many):
+            duels.setdefault(g, []).append((j, a, b))
         langs, scores = [], []
         for i, f in enumerate(family):
             name = self.families[f]
             votes = dict.fromkeys(self.of[name], 0.0)
-            for j, (g, a, b) in enumerate(self.pairs, many):
-                if g == name:
-                    votes[a] += margin[i, j]
-                    votes[b] += 1 - margin[i, j]
+            for j, a, b in duels.get(name, ()):
+                votes[a] += margin[i, j]
+                votes[b] += 1 - margin[i, j]
             best = max(votes, key=lambda k: (votes[k], k))
             langs.append(best)
             scores.append(float(share[i] * (votes[best] / (len(votes) - 1) if len(votes) > 1 else 1.0)))
@@ -111,23 +127,16 @@ def fit(langs: list[str], x: np.ndarray) -> Model:
         return Model()
     y, fam = np.array(langs), np.array([family_of(v) for v in langs])
     m = Model(sorted(set(fam)), {f: sorted(set(y[fam == f])) for f in set(fam)})
-    gram = (x @ x.T).astype(np.float64) + 1.0
-    rows, bias = [], []
-
-    def add(use: np.ndarray, positive: np.ndarray) -> None:
-        dual = machine(gram[np.ix_(use, use)], np.where(positive[use], 1.0, -1.0))
-        rows.append(dual @ x[use])
-        bias.append(dual.sum())
-
-    if len(m.families) > 1:
-        for f in m.families:
-            add(np.arange(len(y)), fam == f)
+    signs = [np.where(fam == f, 1, -1) for f in m.families] if len(m.families) > 1 else []
     for f in m.families:
         for i, a in enumerate(m.of[f]):
             for b in m.of[f][i + 1 :]:
                 m.pairs.append((f, a, b))
-                add(np.flatnonzero((y == a) | (y == b)), y == a)
-    m.weights, m.bias = np.array(rows, np.float32).reshape(len(rows), x.shape[1]), np.array(bias)
+                signs.append((y == a).astype(int) - (y == b))
+    if signs:
+        m.weights, m.bias = machines(x, np.array(signs).T)
+    else:
+        m.weights, m.bias = np.zeros((0, x.shape[1]), np.float32), np.zeros(0, np.float32)
     return m
 
 
@@ -136,16 +145,30 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def train(docs: DataFrame, per_lang: int = PER_LANG, dim: int = DIM) -> Model:
-    """Learns from text and lang of rows that aren't held out; at most per_lang rows of each of MAX_LANGS languages."""
-    rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = rows.select("doc_id", "lang").withColumn("_r", rank).where(F.col("_r") <= per_lang)
-    top = picked.groupBy("lang").agg(F.max(F.xxhash64("doc_id")).alias("top")).orderBy("lang").limit(MAX_LANGS).collect()
-    if not top:
+#: Parts of a language that are ranked apart before their best are ranked together.
+PARTS = 64
+
+
+def train(docs: DataFrame, per_lang: int = PER_LANG, dim: int = DIM, sample: int = SAMPLE) -> Model:
+    """Learns from text and lang of rows that aren't held out and whose text has a letter: sample rows in all, dealt evenly
+    among the languages, with at most per_lang and at least one row of each, so that no language is left out.
+
+    Rows are taken by the hash of their id, then by that of their text; repeated rows count as often as they occur, and
+    which of equal rows is taken makes no difference. With no such row the model knows no language.
+    """
+    rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    order = [F.col("h"), F.col("doc_id")]
+    keys = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
+    some = keys.withColumn("r", F.row_number().over(W.partitionBy("lang", F.pmod(F.col("h"), F.lit(PARTS))).orderBy(*order))).where(F.col("r") <= per_lang)
+    best = stash(some.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("r") <= per_lang), "ranked")
+    langs = best.select("lang").distinct().count()
+    if not langs:
         return Model()
-    limit = F.create_map(*[F.lit(v) for r in top for v in (r["lang"], r["top"])])
-    sample = rows.where((F.xxhash64("doc_id") <= limit[F.col("lang")]) & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    each = max(1, min(per_lang, sample // langs))
+    top = stash(best.where(F.col("r") <= each).groupBy("lang").agg(F.max("h").alias("top")), "top")
+    near = small_join(rows.select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("h")), top, "lang", "inner").where("h <= top")
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(*order, F.xxhash64("text")))
+    taken = near.withColumn("r", rank).where(F.col("r") <= each).select("doc_id", "lang", "text")
 
     def vectors(b: pa.RecordBatch) -> list:
         x = [features(t, dim) for t in b.column("text").to_pylist()]
@@ -153,26 +176,22 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, dim: int = DIM) -> Model:
         return [b.column("doc_id"), b.column("lang"), [i.astype("<u4").tobytes() for i in at], [v[i].astype("<f4").tobytes() for v, i in zip(x, at, strict=True)]]
 
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("at", pa.binary()), ("v", pa.binary())])
-    got = mapped(sample, mapper(vectors, schema), "doc_id long, lang string, at binary, v binary").collect()
-    # Copies of an id beyond the bound are left out; what is kept doesn't depend on the order of rows.
-    kept, count = [], {}
-    for r in sorted(got, key=lambda r: (r["lang"], r["doc_id"], bytes(r["at"]), bytes(r["v"]))):
-        count[r["lang"]] = count.get(r["lang"], 0) + 1
-        if count[r["lang"]] <= per_lang and len(r["at"]):
-            kept.append(r)
+    got = mapped(taken, mapper(vectors, schema), "doc_id long, lang string, at binary, v binary").collect()
+    kept = sorted((r for r in got if len(r["at"])), key=lambda r: (r["lang"], r["doc_id"], bytes(r["at"]), bytes(r["v"])))
     x = np.zeros((len(kept), dim), np.float32)
     for row, r in zip(x, kept, strict=True):
         row[np.frombuffer(r["at"], "<u4")] = np.frombuffer(r["v"], "<f4")
     return fit([r["lang"] for r in kept], x)
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns keep of docs (doc_id alone if none are given), with lang_pred and score.
+def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns keep of docs (doc_id alone if none are given), with lang_pred and score, or what names calls them.
 
     Null texts and texts without a letter get UNKNOWN with score 0, as does everything if nothing was learned. lang,
-    source and doc_id play no part in a prediction. The new columns replace columns of docs with these names.
+    source and doc_id play no part in a prediction, so that repeated texts get one answer; of languages with equal votes
+    the last by name wins. The new columns replace columns of docs with these names.
     """
-    keep = [c for c in (["doc_id"] if keep is None else keep) if c not in ("lang_pred", "score")]
+    keep = [c for c in (["doc_id"] if keep is None else keep) if c not in names]
     packed = pickle.dumps(model)
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if "text" in keep else ["text"]))
     fields = rows.select(*[f"`{c}`" for c in keep]).schema
@@ -189,6 +208,6 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
                     for i, lang, score in zip(lettered, *m.predict(np.stack([features(texts[i], m.weights.shape[1]) for i in lettered])), strict=True):
                         langs[i], scores[i] = lang, score
                 arrays = [*b.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *names])
 
-    return mapped(rows, run, StructType([*fields.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return mapped(rows, run, StructType([*fields.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
