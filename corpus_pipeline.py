@@ -17,10 +17,18 @@ from varstrata.llm.common import stash, table
 LEAST_SCORE = 0.2
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """name, with as many underscores after it as make it a new column."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that are null, have no letter or fit no language go. Learns from docs itself."""
-    told = langid.identify(docs, langid.train(docs), docs.columns)
-    return told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    lang, score = (unused(docs, name) for name in ("lang_pred", "score"))
+    told = langid.identify(docs, langid.train(docs), docs.columns, names=(lang, score))
+    return told.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
