@@ -38,9 +38,11 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     """rows with record_idx: places in the order of columns, counted from 0 over all partitions.
 
     Rows are sorted into ranges and written with their place within the range; what stands before a range is added from
-    the ranges' counts. No task sees all rows, and the numbers hold if a task runs again.
+    the ranges' counts. Rows that are equal in these columns are ordered by a hash of their record, so that a value which
+    many rows have is dealt to several ranges. No task sees all rows, and the numbers hold if a task runs again.
     """
-    part = rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows
+    by = [*order, F.xxhash64(F.to_json("rec"))]
+    part = rows.repartitionByRange(*by).sortWithinPartitions(*by) if order else rows
     held = stash(part.withColumn("_m", F.monotonically_increasing_id()), "numbered")
     held = held.withColumn("_p", F.call_function("shiftright", "_m", F.lit(33)))
     offsets = held.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)))

@@ -15,10 +15,13 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares for intermediate tables: spark.checkpoint.dir.
 
-    Where the session has none (tests on one machine), a temporary folder is used.
+    Where a session on one machine has none (tests), a temporary folder is used. On a cluster that would lie on every
+    executor's own disk, so there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{os.path.join(tempfile.gettempdir(), 'varstrata')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
