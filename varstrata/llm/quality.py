@@ -187,13 +187,17 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that judge() keeps, with all columns of docs. Fences come from docs itself."""
-    rows = stash(measured(docs.select("lang", "source", "text")).select("lang", "source", F.col("m.*")), "measured")
-    m = {c: F.col(c) for c in rows.columns}
+    """The rows of docs that judge() keeps, with all columns of docs. Fences come from docs itself.
+
+    The rows are written once beside their measurements, so that no text is measured twice: sketches and the filter read
+    the narrow columns.
+    """
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "lang", "source", "text")
+    rows = stash(measured(packed).select("_row", "lang", "source", "m"), "measured")
+    m = F.col("m")
     values = rows.where(~base_failed(m)).select("lang", "source", *[v.alias(k) for k, v in metrics_of(m).items()])
     cut = stash(fences(values), "fences").select(F.col("lang").alias("_f_lang"), F.col("source").alias("_f_source"), F.struct(*[f"{e}_{k}" for k in METRICS for e in ("lo", "hi")]).alias("_f"))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "lang", "source", "text")
     on = F.col("lang").eqNullSafe(F.col("_f_lang")) & F.col("source").eqNullSafe(F.col("_f_source"))
-    judged = small_join(measured(packed), cut, on)
-    good = ~base_failed(F.col("m")) & F.coalesce(within(metrics_of(F.col("m")), lambda k: F.col("_f")[k]), F.lit(True))
+    judged = small_join(rows.where(~base_failed(m)), cut, on)
+    good = F.coalesce(within(metrics_of(m), lambda k: F.col("_f")[k]), F.lit(True))
     return judged.where(good).select("_row.*")
