@@ -323,10 +323,9 @@ def masked(text: Column, spans: Column, label: Callable[[Column], Column] | None
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with all personal data in text masked; other columns as they were, except that n_chars, where there is
-    one, counts the new text."""
-    held = stash(docs.select(candidates(F.col("text")).alias("candidates")).where(F.size("candidates") > 0), "candidates")
-    weights = train(counts_of(held))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), candidates(F.col("text")).alias("_found"))
-    spans = packed.select("_row", accepted(F.col("_found"), weights).alias("_found")).withColumn("_text", masked(F.col("_row.text"), F.col("_found")))
+    one, counts the new text. Rows are written once beside their candidates, so that no text is scanned twice."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), candidates(F.col("text")).alias("candidates"))
+    held = stash(packed, "candidates")
+    spans = held.select("_row", accepted(F.col("candidates"), train(counts_of(held))).alias("_found")).withColumn("_text", masked(F.col("_row.text"), F.col("_found")))
     new = {"text": F.col("_text"), "n_chars": F.when(F.size("_found") > 0, F.length("_text").cast("long")).otherwise(F.col("_row")["n_chars"]) if "n_chars" in docs.columns else None}
     return spans.select(*[(new[c] if c in new else F.col("_row")[c]).alias(c) for c in docs.columns])
