@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from varstrata.llm import embeddings, jaccard
 from varstrata.llm.components import connected_components
@@ -126,10 +127,12 @@ def vectors(seed):
     return rows
 
 
-def test_vectors_against_all_pairs(spark):
-    rows = vectors(3)
-    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<double>, label int, rep int, cell string")
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.vector_links(df, block=16).collect() if r["vec_id"] is not None}
+def unit_rows(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def brute_links(rows):
+    """(links by id, components) of sound rows (id, vector, label)."""
     sound = [r for r in rows if r[0] is not None and r[2] is not None and r[1] and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])]
     unit = {r[0]: (np.array(r[1]) / np.abs(r[1]).max()) / np.linalg.norm(np.array(r[1]) / np.abs(r[1]).max()) for r in sound}
     links, comps = {}, Sets()
@@ -138,38 +141,80 @@ def test_vectors_against_all_pairs(spark):
             comps.join(a[0], b[0])
             for x in (a[0], b[0]):
                 links[x] = links.get(x, 0) + 1
-    ids = [r[0] for r in rows if r[0] is not None]
-    found = sum(n for n, _, _ in got.values())
-    assert found >= 0.9 * sum(links.values()) and all(got[k][0] <= links.get(k, 0) for k in ids)
-    assert got == {k: (links.get(k, 0), comps.top(k), comps.top(k) == k) for k in ids} or found < sum(links.values())
+    return links, comps
+
+
+@pytest.mark.parametrize("codes", [None, 3])
+def test_vectors_against_all_pairs(spark, codes):
+    rows = vectors(3)
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<double>, label int, rep int, cell string")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.vector_links(df, recall=1.0, codes=codes, block=16).collect() if r["vec_id"] is not None}
+    links, comps = brute_links(rows)
+    assert got == {k: (links.get(k, 0), comps.top(k), comps.top(k) == k) for k in (r[0] for r in rows) if k is not None}
     assert embeddings.vector_links(df.where("false")).collect() == []
     assert embeddings.vector_links(df.where("embedding is null")).count() == 1
 
 
-def test_traversal_is_by_distance(spark):
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(500, 8))
-    index = embeddings.MultiIndex(x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros(500, int), 0.5, codes=4)
-    for cell in range(16):
-        visits = index.visits(cell)
-        far = index.distance(np.full(16, cell), np.arange(16))
-        assert visits[0] == cell and sorted(visits) == np.flatnonzero(far <= index.radius + 1e-9).tolist()
-        assert np.all(np.diff(far[visits]) >= -1e-9)
+def test_many_lengths(spark):
+    """Vectors of any number of lengths, each compared with its like."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(150):
+        x = rng.normal(size=k + 1)
+        rows += [(3 * k, x.tolist(), 0), (3 * k + 1, (x * 2 + 1e-3).tolist(), 0), (3 * k + 2, (-x).tolist(), 0)]
+    links, comps = brute_links(rows)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.vector_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {k: (links.get(k, 0), comps.top(k)) for k in range(450)}
 
 
-def test_large_group_hides_no_pairs(spark):
-    """Links of pairs are found whatever share of the vectors is one group of near copies."""
+def test_traversal_is_by_distance():
+    rng = np.random.default_rng(0)
+    x = unit_rows(rng.normal(size=(500, 8)))
+    index = embeddings.MultiIndex(x, np.zeros(500, int), 0.5, codes=4)
+    y = x[:40]
+    first, second = index.bounds(y)
+    for k in range(len(y)):
+        cells = index.visits(first[k], second[k])
+        far = [first[k, i] ** 2 + second[k, j] ** 2 for i, j in cells]
+        assert far[0] == 0 and far == sorted(far)
+        assert sorted(cells) == [(i, j) for i in range(4) for j in range(4) if index.visited(y[k : k + 1], i)[0, j]]
+        assert set(index.lists(y)[k].tolist()) == {i for i, _ in cells}
+
+
+def test_bounds_are_never_too_large():
+    """No vector in another cell is nearer than its bound; so a radius of the chord loses nothing."""
+    rng = np.random.default_rng(1)
+    x = unit_rows(rng.normal(size=(300, 6)))
+    index = embeddings.MultiIndex(x, np.zeros(300, int), 0.9, codes=5, recall=1.0)
+    first, second = index.bounds(x)
+    a, b = index.codes(x)
+    far = np.sqrt(first[:, a] ** 2 + second[:, b] ** 2)
+    assert (far <= np.sqrt(np.maximum(2 - 2 * x @ x.T, 0)) + 1e-6).all()
+
+
+@pytest.mark.parametrize("noise", [0.12, 0.3])
+def test_recall_of_probes(spark, monkeypatch, noise):
+    """Every id that 20 divides against all rows, by brute force: links are found whatever share of the vectors is one
+    group of near copies, with a sample far smaller than the table and codebooks that grow with it."""
+    monkeypatch.setattr(embeddings, "PER_CODE", 8)
     rng = np.random.default_rng(7)
-    group = rng.normal(size=64) + rng.normal(size=(1500, 64)) * 0.01
-    first = rng.normal(size=(250, 64))
-    x = np.concatenate([group, first, first + rng.normal(size=(250, 64)) * 0.3])
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    group = rng.normal(size=64) + rng.normal(size=(1500, 64)) * 0.02
+    first = rng.normal(size=(2000, 64))
+    x = np.concatenate([group, first, first + rng.normal(size=first.shape) * noise])
+    unit = unit_rows(x)
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    index, n = embeddings.trained(df.selectExpr("vec_id rep", "label", "embedding", "64 width"), 0.93, embeddings.RECALL)
+    assert len(index[64].words[0]) == 27 and n == len(x) > 2 * 8 * 64 and index[64].radius < 0.6 * index[64].chord
+    visits = np.mean([len(index[64].visits(*v)) for v in zip(*index[64].bounds(unit[1500:1600]), strict=True)])
+    assert visits < 0.12 * 27 * 27
+    got = {r["vec_id"]: r for r in embeddings.vector_links(df).collect()}
     linked = unit @ unit.T >= 0.93
     np.fill_diagonal(linked, False)
-    assert linked[1500:].sum() > 300
-    got = {r["vec_id"]: r for r in embeddings.vector_links(spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()}
-    assert [got[k]["n_links"] for k in range(len(x))] == linked.sum(1).tolist()
-    assert all(got[k + 250]["component_id"] == k and not got[k + 250]["kept"] for k in range(1500, 1750) if linked[k, k + 250])
+    want = linked.sum(1)
+    assert all(got[k]["n_links"] <= want[k] for k in range(len(x)))
+    for probes in (range(0, 1500, 20), range(1500, len(x), 20)):
+        assert sum(got[k]["n_links"] for k in probes) >= 0.97 * sum(want[k] for k in probes) > 0
+    assert len({got[k]["component_id"] for k in range(1500)}) == 1
 
 
 def test_one_id_with_two_texts(spark):
@@ -182,3 +227,27 @@ def test_one_id_with_two_texts(spark):
     left = sorted((r["doc_id"], r["text"]) for r in jaccard.first_of_each(docs).collect())
     assert left[:2] == [(1, a), (7, b)] and len(left) == 3 and left[2] in [(9, c), (9, c + " x")]
     assert left == sorted((r["doc_id"], r["text"]) for r in jaccard.first_of_each(docs.repartition(7)).collect())
+
+
+def test_long_words_and_texts_hash_alike(monkeypatch):
+    """However bytes are cut into pieces, n-grams are the same."""
+    texts = ["x" * 10_000 + " y " + "z" * 300, "", "a b c " * 700, "\x0b é" * 50, "x" * 10_000 + " y " + "z" * 301]
+    want = jaccard.token_lists(texts, 3)
+    for piece, at_once in ((1, 1), (7, 20), (300, 299), (1 << 20, 1 << 20)):
+        monkeypatch.setattr(jaccard, "PIECE", piece)
+        monkeypatch.setattr(jaccard, "AT_ONCE", at_once)
+        got = jaccard.token_lists(texts, 3)
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+    assert want[0][0] != want[0][-1]
+
+
+@pytest.mark.parametrize("percent", [76, 80, 90, 97, 100])
+def test_linked_sizes_lie_in_neighbouring_bands(spark, percent):
+    pairs = [(n, m) for n in (1, 2, 9, 10, 81, 90, 729, 1000, 99_999, 10**9) for m in (-(-percent * n // 100), n, 100 * n // percent)]
+    got = spark.createDataFrame(pairs, "n long, m long").select(jaccard.band(F.col("n"), percent) - jaccard.band(F.col("m"), percent)).collect()
+    assert all(abs(r[0]) <= 1 for r in got)
+
+
+def test_low_percents_are_refused(spark):
+    with pytest.raises(ValueError, match="percent"):
+        jaccard.jaccard_components(spark.createDataFrame([], "doc_id long, text string"), percent=75)
