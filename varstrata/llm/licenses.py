@@ -1,11 +1,14 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
 A block is a line of a text, or any window of its words, across lines, that is a quarter longer than the template. A
-template matches a block if at least CONTAINMENT of the template's distinct words occur in it. Words are ordered by document frequency in the whole corpus, rarest first (ties by spelling); a block can only
-match if it holds one of the template's first |T| - need + 1 words (prefix filter), at least need distinct words (length
-filter), and if enough words of the template are left from the first shared one on (positional filter). Candidates are
-then verified exactly. Windows are looked at only for templates that the whole text's words match. The templates are a fixed small table, so the index lives in each task and nothing is shuffled
-but the counts of the templates' words.
+template matches a block if at least CONTAINMENT of the template's distinct words occur in it. Words have one global
+order, by document frequency in the whole corpus, rarest first (ties by spelling), and both sides are sorted by it; a
+block's words that no template holds are left out. Their first shared word then stands within the first |T| - need + 1
+words of the template and the first |B| - need + 1 of the block (prefix filter, both sides), blocks of fewer than need
+words match nothing (length filter), and a pair is dropped unless enough words are left on both sides from that word on
+(positional filter). What remains is verified exactly. Windows are looked at only for templates that the whole text's
+words match. The templates are a fixed small table, so the index lives in each task and nothing is shuffled but the
+counts of the templates' words.
 """
 
 from __future__ import annotations
@@ -84,30 +87,37 @@ class Index:
     """The prefixes of the templates under a global order of words."""
 
     def __init__(self, templates: list[tuple[str, str]], frequency: Counter, percent: int = CONTAINMENT):
-        self.sets, self.spans, self.prefix = [], [], {}
+        self.sets, self.spans = [], []
+        vocabulary = sorted({w for _, t in templates for w in words(t)}, key=lambda w: (frequency.get(w, 0), w))
+        self.place = {w: k for k, w in enumerate(vocabulary)}
+        self.prefix: dict[int, list[tuple[int, int]]] = {}
         for label, text in templates:
-            ordered = sorted(set(words(text)), key=lambda w: (frequency.get(w, 0), w))
+            ordered = sorted(self.place[w] for w in set(words(text)))
             need = -(-percent * len(ordered) // 100)
             if not ordered or not need:
                 raise ValueError("templates need words, the threshold must be positive")
             for at, w in enumerate(ordered[: len(ordered) - need + 1]):
                 self.prefix.setdefault(w, []).append((len(self.sets), at))
-            self.sets.append((label, frozenset(ordered), need))
+            self.sets.append((label, frozenset(vocabulary[w] for w in ordered), need))
             self.spans.append(-(-5 * len(words(text)) // 4))
-        self.rare = frozenset(self.prefix)
+        self.least = min(need for *_, need in self.sets) if self.sets else 1
+        self.rare = frozenset(vocabulary[w] for w in self.prefix)
+
+    def candidates(self, block: set[bytes]) -> list[int]:
+        """Numbers of the templates that prefixes, lengths and positions don't rule out."""
+        ordered = sorted(self.place[w] for w in block if w in self.place)
+        n, first = len(ordered), {}
+        for at, w in enumerate(ordered[: max(0, n - self.least + 1)]):
+            for k, i in self.prefix.get(w, ()):
+                if k not in first:
+                    _, tokens, need = self.sets[k]
+                    first[k] = min(len(tokens) - i, n - at) >= need
+        return [k for k, possible in first.items() if possible]
 
     def matched(self, block: set[bytes]) -> list[tuple[int, int]]:
         """(number, shared words) of the templates that block matches."""
-        first: dict[int, int] = {}
-        for w in self.rare & block:
-            for k, at in self.prefix[w]:
-                first[k] = min(at, first.get(k, at))
-        out = []
-        for k, at in first.items():
-            _, tokens, need = self.sets[k]
-            if len(block) >= need and len(tokens) - at >= need and (shared := len(tokens & block)) >= need:
-                out.append((k, shared))
-        return out
+        shared = ((k, len(self.sets[k][1] & block)) for k in self.candidates(block))
+        return [(k, n) for k, n in shared if n >= self.sets[k][2]]
 
     def within(self, found: list[bytes], k: int) -> int:
         """The most words of template k that any window of found shares; 0 if no window matches."""

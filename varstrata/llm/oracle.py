@@ -70,18 +70,22 @@ SELECT doc_id, slot, names[slots[slot + 1] + 1] AS shard FROM k, place"""
 def op5() -> str:
     text = lambda x: x.decode() if isinstance(x, bytes) else x
     phrases = ", ".join(f"({p.split()}, '{label}')" for p, label in licenses.PHRASES.items())
-    templates = ", ".join(f"({sorted({text(w) for w in licenses.words(t)})}, '{label}')" for label, t in licenses.TEMPLATES)
+    templates = ", ".join(f"({k}, {sorted({text(w) for w in licenses.words(t)})}, '{label}', {-(-5 * len(licenses.words(t)) // 4)})" for k, (label, t) in enumerate(licenses.TEMPLATES))
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return rf"""WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
-p(pw, label) AS (VALUES {phrases}), tpl(tw, label) AS (VALUES {templates}),
+p(pw, label) AS (VALUES {phrases}), tpl(tid, tw, label, span) AS (VALUES {templates}),
 ws AS (SELECT *, regexp_extract_all(t, '{word}') AS w FROM docs),
 spots AS (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM ws),
 places AS (SELECT rid, i - 1 AS pos, label FROM spots, p WHERE list_slice(w, i, i + len(pw) - 1) = pw),
 base AS (SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY rid),
 ls AS (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM docs),
 bl AS (SELECT row_number() OVER () AS bid, rid, list_distinct(regexp_extract_all(line, '{word}')) AS bw FROM ls),
-hits AS (SELECT bid, rid, label, len(list_intersect(bw, tw)) AS s, len(tw) AS n FROM bl, tpl WHERE 100 * len(list_intersect(bw, tw)) >= {licenses.CONTAINMENT} * len(tw)),
-found AS (SELECT rid, max(s / n) AS score, count(DISTINCT bid) AS n_blocks FROM hits GROUP BY rid),
+lined AS (SELECT bid, rid, tid, label, len(list_intersect(bw, tw)) AS s, len(tw) AS n FROM bl, tpl WHERE 100 * len(list_intersect(bw, tw)) >= {licenses.CONTAINMENT} * len(tw)),
+near AS (SELECT rid, tid, label, w, tw, span FROM ws, tpl WHERE 100 * len(list_intersect(w, tw)) >= {licenses.CONTAINMENT} * len(tw)),
+windows AS (SELECT rid, tid, label, max(len(list_intersect(list_slice(w, i, i + span - 1), tw))) AS s, max(len(tw)) AS n FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM near) GROUP BY ALL HAVING 100 * max(len(list_intersect(list_slice(w, i, i + span - 1), tw))) >= {licenses.CONTAINMENT} * max(len(tw))),
+hits AS (SELECT rid, label, s, n, bid AS block FROM lined UNION ALL SELECT w.rid, w.label, w.s, w.n, -1 - w.tid FROM windows w WHERE NOT EXISTS (SELECT 1 FROM lined l WHERE l.rid = w.rid AND l.tid = w.tid)
+  UNION ALL SELECT w.rid, w.label, w.s, w.n, NULL FROM windows w),
+found AS (SELECT rid, max(s / n) AS score, count(DISTINCT block) AS n_blocks FROM hits GROUP BY rid),
 every AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM hits UNION ALL SELECT rid, label FROM places) GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
   CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(score, 0)::DOUBLE END AS score, coalesce(n_blocks, 0) AS n_blocks
