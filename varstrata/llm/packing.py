@@ -139,22 +139,27 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, open_bins: int = OPEN
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, first = BestFit(length, open_bins), TaskContext.get().partitionId() << 40
 
-        def placed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        def placed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             lengths = rows.column("length").to_numpy()
             at = np.empty((2, len(lengths)), np.int64)
             for k in np.argsort(-lengths, kind="stable").tolist():
                 at[:, k] = bins.place(int(lengths[k]))
-            return pa.RecordBatch.from_arrays([*rows.columns, pa.array(first + at[0]), pa.array(at[1])], schema=schema)
+            out = rows.append_column("sequence_id", pa.array(first + at[0])).append_column("offset", pa.array(at[1]))
+            for b in out.combine_chunks().to_batches():
+                yield pa.RecordBatch.from_arrays(b.columns, schema=schema)
 
+        # Windows have LOOK_AHEAD rows whatever the size of Arrow's batches, so that packing doesn't depend on it.
         held: list[pa.RecordBatch] = []
         for b in batches:
             held.append(b)
             if sum(x.num_rows for x in held) >= LOOK_AHEAD:
-                yield placed(held)
-                held = []
+                rows = pa.Table.from_batches(held)
+                whole = rows.num_rows - rows.num_rows % LOOK_AHEAD
+                for k in range(0, whole, LOOK_AHEAD):
+                    yield from placed(rows.slice(k, LOOK_AHEAD))
+                held = rows.slice(whole).to_batches()
         if sum(x.num_rows for x in held):
-            yield placed(held)
+            yield from placed(pa.Table.from_batches(held))
 
     return mapped(dealt, run, "doc_id long, piece int, start long, length long, ids array<int>, ids_crc32 long, sequence_id long, offset long")
 
