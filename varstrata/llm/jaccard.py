@@ -8,18 +8,20 @@ tokens are dealt to subclasses, and only the second (very frequent: the third) o
 counts, while every pair (triple) within the subclass is a signature. If two sets miss at most t tokens each, then one
 class of the shorter prefix holds as many shared tokens as make one signature, and both sets have it: no link is lost.
 
-Which tokens are frequent is read off a table of hashed counts over all documents, whose size is fixed. A wrong guess
-there costs time, not links.
+Which tokens are frequent is read off a table of hashed counts over all documents, which grows with the texts up to a
+size that the driver can hold. A wrong guess there costs time, not links.
 
 Candidates are found around pivots: of the sets with a signature in common, the one with the fewest rare tokens is
 compared to all others, and what is in one component by then isn't compared any more. Rounds go on as long as they find
-links; what still shares a signature across components is then compared pair by pair. So a group of thousands of near
+links; what still shares a signature across components is then compared pair by pair, within bands of sizes so that only
+sets which may link by their sizes meet at all. So a group of thousands of near
 copies costs about as many comparisons as it has members, and no link between components is missed.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 from itertools import combinations
 
@@ -33,8 +35,8 @@ from varstrata.llm.arrow import mapped, mapper, sliced, texts_of
 from varstrata.llm.common import drop, small_join, stash
 from varstrata.llm.components import connected_components
 
-#: Slots of the table of counts.
-SLOTS = 1 << 18
+#: The table of counts has a slot for every so many bytes of text, within these powers of two.
+PER_SLOT, LEAST_SLOTS, MOST_SLOTS = 1024, 18, 22
 #: A slot is frequent above its expected count plus the first number of standard deviations and the second of rows,
 #: very frequent above sixteen times that excess.
 DEVIATIONS, LEAST = 6.0, 32
@@ -45,10 +47,14 @@ LOOKS = 300_000
 BITS = (512, 2048, 8192, 32768)
 #: 64-bit numbers to which parities are folded for a first look.
 FOLDED = 4
+#: Below this similarity, small sets may run out of tokens before they have the signatures that they owe.
+LEAST_PERCENT = 76
 #: Tokens that make a signature: of rare, frequent and very frequent tokens.
 TAKEN = (1, 2, 3)
 
 
+#: Bytes of a word that are summed together; bytes of words that are gone through at once.
+PIECE, AT_ONCE = 4096, 1 << 20
 #: Multiplier of a word's bytes, and of its hash by place in the n-gram: odd 64-bit numbers.
 BASE, FIRST, SECOND = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
 
@@ -60,9 +66,33 @@ def mixed_bits(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def word_hashes(b: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each word of the bytes b, which begin at start and have these sizes.
+
+    A word is cut into pieces of PIECE bytes, whose sums are lifted by the power of their place, and pieces are gone
+    through AT_ONCE bytes at a time: numbers of eight bytes for every byte are held for these alone.
+    """
+    parts = -(-size // PIECE)
+    first = np.cumsum(parts) - parts
+    word = np.repeat(np.arange(len(size)), parts)
+    k = np.arange(len(word)) - first[word]
+    at, n = start[word] + PIECE * k, np.minimum(PIECE, size[word] - PIECE * k)
+    power = np.cumprod(np.full(PIECE, BASE, np.uint64))
+    lift = np.cumprod(np.append(np.uint64(1), np.full(int(k.max()), power[-1], np.uint64)))
+    sums, ends = np.empty(len(word), np.uint64), np.cumsum(n)
+    i = 0
+    while i < len(word):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + AT_ONCE, side="right")))
+        some, begin = n[i:j], np.cumsum(n[i:j]) - n[i:j]
+        within = np.arange(int(some.sum())) - np.repeat(begin, some)
+        sums[i:j] = np.add.reduceat((b[np.repeat(at[i:j], some) + within].astype(np.uint64) + np.uint64(1)) * power[within], begin)
+        i = j
+    return mixed_bits(np.add.reduceat(sums * lift[k], first) + size.astype(np.uint64))
+
+
 def token_lists(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the n-grams of words of all texts, in order and with repeats, and how many each text has. A text with
-    fewer than n words has one hash, of all its words; one without words none."""
+    fewer than n words has one hash, of all its words; one without words none. Memory is some twenty times the texts'."""
     raw = [t.encode("utf-8", "replace").lower() for t in texts]
     b = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)
     white = (b == 32) | (b - np.uint8(9) < 5)
@@ -70,15 +100,9 @@ def token_lists(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     start, end = edge[::2], edge[1::2]
     begin = np.cumsum([0, *(len(x) + 1 for x in raw)])
     each = np.bincount(np.searchsorted(begin, start, side="right") - 1, minlength=len(texts))
-    size = end - start
-    total = int(size.sum())
-    if not total:
+    if not len(start):
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    power = np.cumprod(np.full(int(size.max()), BASE, np.uint64))
-    first = np.cumsum(size) - size
-    within = np.arange(total) - np.repeat(first, size)
-    terms = (b[np.repeat(start, size) + within].astype(np.uint64) + np.uint64(1)) * power[within]
-    word = mixed_bits(np.add.reduceat(terms, first) + size.astype(np.uint64))
+    word = word_hashes(b, start, end - start)
     gram, count = np.zeros(len(word), np.uint64), np.minimum(each, n)
     last = np.cumsum(each)
     left = np.repeat(last, each) - np.arange(len(word))  # words from this one to the end of its text
@@ -97,7 +121,13 @@ def sets_of_texts(texts: list[str], n: int) -> list[np.ndarray]:
     return [np.unique(flat[i:j]) for i, j in zip([0, *ends], ends, strict=False)]
 
 
-def hashed_counts(docs: DataFrame, n: int, slots: int = SLOTS) -> np.ndarray:
+def slots_for(docs: DataFrame) -> int:
+    """Slots of the table of counts: a power of two that grows with the bytes of all texts."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return 1 << min(MOST_SLOTS, max(LEAST_SLOTS, (total // PER_SLOT).bit_length()))
+
+
+def hashed_counts(docs: DataFrame, n: int, slots: int) -> np.ndarray:
     """How often the tokens of each slot occur in all texts."""
     schema = pa.schema([("slot", pa.int32()), ("n", pa.int64())])
 
@@ -231,6 +261,12 @@ def near(a: str, b: str, looks: list[str], percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * apart(a, b, looks) <= (100 - percent) * (n + m))
 
 
+def band(n: Column, percent: int) -> Column:
+    """Number of the band of a size. A set and its partners lie in the same band or in neighbours; bands are a trifle wider
+    than the ratio of linked sizes, so that rounding moves none out of them."""
+    return F.floor(F.log(n) / max(math.log(100 / percent) * (1 + 1e-9), 1e-9)).cast("long")
+
+
 def similar(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs (q, pivot) whose parities differ in no more bits than linked sets may differ in tokens. Where one side
     has more bits than the other, they are folded."""
@@ -278,7 +314,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     Two documents link if 100 * intersection >= percent * union of their sets of word n-grams. Documents without words
     or text have an empty set and are components of their own. Rows without a
     doc_id get no component and link with nothing. Where a doc_id is repeated with other texts, each row gets the
-    component of its own text. Other columns are ignored.
+    component of its own text. Other columns are ignored. Repeated rows are in one component; an empty table gives an
+    empty result.
     """
     return _told(docs, n, percent).select("doc_id", "n_shingles", "component_id")
 
@@ -286,9 +323,9 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
 def _told(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The rows of jaccard_components with the key (k1, k2) of the row's set, and whether doc_id and key are the
     smallest of the component."""
-    if not 50 <= percent <= 100:
-        raise ValueError("percent must lie between 50 and 100")
-    classes = classes_of(hashed_counts(docs, n))
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent must lie between {LEAST_PERCENT} and 100")
+    classes = classes_of(hashed_counts(docs, n, slots_for(docs)))
     wide = stash(signed(docs, classes, n, percent), "signed")
     rows = stash(wide.select("doc_id", "n", "k1", "k2"), "keys")
     # q orders the members of a signature: fewest rare tokens first, then by hash.
@@ -320,10 +357,11 @@ def _told(docs: DataFrame, n: int, percent: int) -> DataFrame:
     told = small_join(members.where("several and q != low").drop("several"), parts, "q", "inner", LOOKS)
     told = small_join(told, parts.select(F.col("q").alias("low"), F.col("part").alias("main")), "low", "inner", LOOKS)
     told = stash(told.select("sig", "q", "look", "part", (F.col("part") == F.col("main")).alias("inside")), "told")
-    outside = told.where("not inside").select("sig", "q", F.col("look").alias("x"), "part")
-    others = told.select("sig", F.col("q").alias("pivot"), F.col("look").alias("y"), F.col("part").alias("other"), "inside")
+    own = band(F.col("look.n"), percent)
+    outside = told.where("not inside").select("sig", F.explode(F.array(own - 1, own, own + 1)).alias("band"), "q", F.col("look").alias("x"), "part")
+    others = told.select("sig", own.alias("band"), F.col("q").alias("pivot"), F.col("look").alias("y"), F.col("part").alias("other"), "inside")
     # All conditions belong to the join: what can't link never is a row.
-    met = outside.join(others, "sig").where((F.col("part") != F.col("other")) & (F.col("inside") | (F.col("q") < F.col("pivot"))) & near("x", "y", looks, percent))
+    met = outside.join(others, ["sig", "band"]).where((F.col("part") != F.col("other")) & (F.col("inside") | (F.col("q") < F.col("pivot"))) & near("x", "y", looks, percent))
     pairs = met.select(F.least("q", "pivot").alias("q"), F.greatest("q", "pivot").alias("pivot")).distinct()
     done = tried.select(F.least("q", "pivot").alias("q"), F.greatest("q", "pivot").alias("pivot"))
     across = stash(similar(pairs, reps, percent).join(done, ["q", "pivot"], "left_anti"), "across")
