@@ -168,6 +168,16 @@ def test_packing(spark, small):
     assert tiny >= used
 
 
+def test_packing_does_not_depend_on_batches(spark, small):
+    docs, setting = spark.read.parquet(f"{small.replace('0.001', '0.01')}/documents.parquet"), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    got = []
+    for n in ("100", "2048", "10000"):
+        spark.conf.set(setting, n)
+        got.append(sorted((r["doc_id"], r["piece"], r["sequence_id"], r["offset"]) for r in packing.places(packing.pack(docs.unionByName(docs).unionByName(docs), JSON)).collect()))
+        spark.conf.unset(setting)
+    assert got[0] == got[1] == got[2]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=300), st.integers(1, 8))
 def test_best_fit_bins(lengths, open_bins):
@@ -261,6 +271,52 @@ def test_urls(spark):
     assert (got[9]["verdict"], got[10]["verdict"]) == ("block", "allow") and got[11]["host"] == "É.com" and (got[1]["host"], got[1]["path"]) == ("a.example.org", "/en/12")
 
 
+#: Hosts and paths that the labelled table doesn't hold.
+BLOCKED = "viagra-store porn-tube lotteries gambling-zone payday-cash fake-rolexes malware-kit online-casinos sexcams cheap-cialis nudes pokerstar lottowin spammers escorts-now cracked-apps botnets pillstore".split()
+ALLOWED = "national-library art-museum oxford-university dailynews openscience cookbook gardeners musicschool historian booksellers cityhospital codeforum kirche universidad biblioteca poetry-circle".split()
+
+
+def test_urls_beyond_the_labelled_table(spark):
+    known = {h for h, _, _ in urls.LABELLED}
+    hosts = [f"{name}.{tld}" for names in (BLOCKED, ALLOWED) for name in names for tld in ("net", "co")]
+    assert known.isdisjoint(hosts)
+    rows = [(k, f"http://{h}/list/7") for k, h in enumerate(hosts)] + [(1000, "http://acme.net/casino-bonus/free-spins"), (1001, "http://acme.net/nude-videos/1"), (1002, "http://acme.net/docs/api"), (1003, "http://acme.net/en/1")]
+    got = {r["page_id"]: r["verdict"] for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    right = sum(got[k] == ("block" if k < 2 * len(BLOCKED) else "allow") for k in range(len(hosts)))
+    assert right >= 0.9 * len(hosts)
+    assert [got[k] for k in range(1000, 1004)] == ["block", "block", "allow", "allow"]
+    empty = urls.filter_urls(spark.createDataFrame([], "page_id long, url string"))
+    assert empty.collect() == []
+
+
+def test_prefixes_and_positions_prune(spark):
+    """Both sides' prefixes and the words left on both sides rule out most blocks that share a rare word; no match is lost."""
+    rnd = random.Random(4)
+    vocabulary = [f"w{k}".encode() for k in range(60)]
+    templates = [(str(k), " ".join(w.decode() for w in rnd.sample(vocabulary, rnd.randint(4, 20)))) for k in range(12)]
+    frequency = Counter({w: k for k, w in enumerate(vocabulary)})
+    index = licenses.Index(templates, frequency, 90)
+    met = passed = 0
+    for _ in range(3000):
+        _, tokens, _ = rnd.choice(index.sets)
+        block = set(rnd.sample(sorted(tokens), rnd.randint(1, len(tokens)))) | set(rnd.sample(vocabulary, rnd.randint(0, 6)))
+        want = {(k, len(t & block)) for k, (_, t, need) in enumerate(index.sets) if len(t & block) >= need}
+        assert set(index.matched(block)) == want
+        met += sum(any(index.place[w] in index.prefix and any(k == x for x, _ in index.prefix[index.place[w]]) for w in block) for k in range(len(index.sets)))
+        passed += len(index.candidates(block))
+    assert passed < 0.5 * met
+
+
+def test_other_patterns_are_encoded_whole(coding):
+    import tiktoken
+
+    pattern = r"[a-z]+ ?|[^a-z]+"
+    ranks = bpe.read_ranks(RANKS)
+    library = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    texts = ["some words, and 1 2 3", "", "a  b", "don't"]
+    assert [x.tolist() for x, _ in bpe.loaded(RANKS, pattern)[1].batch(texts)] == [library.encode_ordinary(t) for t in texts]
+
+
 def test_shards(spark):
     table = sharding.lookup()
     share = Counter(table)

@@ -13,6 +13,7 @@ import re
 from collections.abc import Callable
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -352,14 +353,26 @@ def by_pattern(pattern: str, merges: Merges) -> Callable[[list[str], list[str]],
     return encode
 
 
-_loaded: dict[tuple[str, str], tuple[Merges, Words]] = {}
+class Whole:
+    """Encodes every text by itself."""
 
+    def __init__(self, encode: Callable[[list[str], list[str]], tuple[np.ndarray, np.ndarray]]):
+        self.encode = encode
 
-def loaded(path: str, pattern: str) -> tuple[Merges, Words]:
+    def batch(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
+        return [(self.encode([], [t])[0], "") for t in texts]
+
+
+_loaded: dict[tuple[str, str], tuple[Merges, Words | Whole]] = {}
+
+
+def loaded(path: str, pattern: str) -> tuple[Merges, Words | Whole]:
     """One copy for each Python worker, whatever the number of its tasks."""
     if (path, pattern) not in _loaded:
         merges = Merges(read_ranks(path))
-        _loaded[path, pattern] = merges, Words(by_pattern(pattern, merges))
+        # Words knows where matches of this one pattern begin; texts are cut by any other one as a whole.
+        kind = Words if pattern == public_tokenizers.PATTERN else Whole
+        _loaded[path, pattern] = merges, kind(by_pattern(pattern, merges))
     return _loaded[path, pattern]
 
 
@@ -367,7 +380,8 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """One row per row of docs: doc_id, ids and decoded, the text that comes back from the ids.
 
     The ids are those of the ranks in the file at path, which must be at the same place on every executor. Null text
-    counts as empty: no tokens and an empty text. Special tokens don't exist. Other columns are ignored.
+    counts as empty: no tokens and an empty text. Special tokens don't exist. Other columns are ignored, repeated rows
+    give repeated results, an empty table gives none.
     """
 
     def body(b: pa.RecordBatch) -> list:
