@@ -47,3 +47,25 @@ def test_pipeline(spark, small):
     used, total = check_packing(got, texts)
     assert used <= -(-total // 2048) * 1.05 + 1
     assert [name for name, _ in corpus_pipeline.STAGES] and P.path("byte_bpe_50k.json")
+
+
+def test_stages_take_odd_rows(spark, odd, empty):
+    """Nulls in any column, empty and long texts, repeated rows, clashing names: columns stay as they are."""
+    extra = odd.selectExpr("*", "'mine' AS score_", "7 AS lang_pred_")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, extra, None)
+        assert out.columns == extra.columns, name
+        rows = out.collect()
+        assert all(r["score_"] == "mine" and r["lang_pred_"] == 7 and r["score"] == 1 for r in rows), name
+        assert len(rows) <= extra.count()
+        assert stage(spark, empty, None).collect() == []
+    packed = corpus_pipeline.best_fit_packing(spark, odd, None)
+    assert {r["doc_id"] for r in packed.select("doc_id").collect()} == {r["doc_id"] for r in odd.select("doc_id").collect()}
+    assert corpus_pipeline.best_fit_packing(spark, empty, None).collect() == []
+
+
+def test_run_takes_odd_and_empty_tables(spark, odd, empty, tmp_path):
+    for k, docs in enumerate((odd, empty)):
+        docs.write.parquet(str(tmp_path / str(k) / "documents.parquet"))
+        ids = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path / str(k))).collect()}
+        assert ids <= {r["doc_id"] for r in docs.collect()}
