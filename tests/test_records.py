@@ -178,8 +178,10 @@ def test_blocks(spark):
     assert "LimitExceeded" in blocks.greedy(rows, 100, Limits(segment_bytes=16)).orderBy("record_idx").first()["error"]
     assert [r["block_idx"] for r in blocks.by_count(rows, 2).orderBy("record_idx").collect()] == [0, 0, 1]
     c = blocks.Cutter(10, Limits(segment_bytes=70))
-    assert [c.add({"s": "x" * 40}) for _ in range(2)] == [0, 1] and (c.flushes, c.rejected) == ({"s": 1}, {})
-    assert blocks.memory(F.parse_json(F.lit('{"a":[1,"xy"],"b":null}'))) is not None
+    assert [c.add([("s", 41, False)], 41) for _ in range(2)] == [0, 1] and (c.flushes, c.rejected) == ({"s": 1}, {})
+    sized = lambda text: spark.range(1).select(blocks.memory(F.parse_json(F.lit(text)))).first()[0]
+    assert sized('{"a":[1,"xy"],"b":null}') == 1 + 8 + 1 + 2 + 1
+    assert sized('{"q,{":"[1, \\"é\\"\\n]\\u0001","t":true,"o":{"d":-12.5,"e":[]}}') == (3 + 11) + (1 + 1) + (1 + 8) + (1 + 5) + (1 + 8)
 
 
 def test_encoding(spark):
@@ -449,3 +451,48 @@ def test_listing_reads_headers_alone(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.setattr(cli, "session", lambda: spark)
     assert cli.main(["cat", path, "--field", "k", "--blocks", "2"]) == 0
     assert capsys.readouterr().out.split() == ["4", "5", "6", "7"]
+
+
+# Remedies, metrics, exact doubles
+
+
+def test_errors_say_what_to_do(spark):
+    small = WrapperLimits(buffer_bytes=100)
+    with pytest.raises(Exception, match="PointerNotFound") as e:
+        wrappers.pointer(docs(spark, '{"a":{"c":1}}'), "/a/b~1d").collect()
+    assert '.a["b/d"]' in str(e.value) and "keys: c" in str(e.value)
+    with pytest.raises(Exception, match="BufferLimitExceeded") as e:
+        wrappers.keyed_map(docs(spark, "{" + " " * 200 + "}"), limits=small).collect()
+    assert "303B" in str(e.value)
+    assert out(wrappers.pointer(docs(spark, '{"a":[{"k":1}]}' + "\n" * 300), "/a", small)) == [{"k": 1}]
+
+
+def test_reshaping_metrics(spark):
+    doc = docs(spark, '{"users":[{"n":1},{"n":2}],"guests":[{"n":3}]}', '{"users":[],"guests":[{"n":4}]}')
+    got = wrappers.run_metrics(doc, section_specs=["users", "guests"]).first()
+    assert (got["mode"], got["documents"], got["records"], got["sections"]) == ("sections", 2, 4, {"users": 2, "guests": 2}) and got["peak_buffer"] == 46
+    got = wrappers.run_metrics(docs(spark, '[["a","b"],[1,2]]'), headers=True).first()
+    assert (got["mode"], got["records"], got["header_fields"]) == ("array_headers", 1, 2)
+    got = wrappers.run_metrics(docs(spark, '{"m":{"x":{},"y":{}}}'), map_at="/m").first()
+    assert (got["mode"], got["pointer"], got["records"]) == ("map", "/m", 2)
+
+
+@pytest.mark.parametrize(("s", "want"), [("0.5", 0.5), ("0.1", None), ("1e3", 1000.0), ("-2.25", -2.25), ("1e300", None), ("9007199254740993", None), ("9007199254740992", 2.0**53), ("1e400", None), ("0", 0.0)])
+def test_exact_doubles(spark, s, want):
+    assert scalars.double_if_exact(s) == want
+    assert spark.range(1).select(scalars.exact_double(F.lit(s))).first()[0] == want
+    if want is not None:
+        assert float(scalars.decimal_if_exact(want)) == want
+
+
+def test_doubles_without_a_decimal():
+    assert [scalars.decimal_if_exact(x) for x in (0.1, float("nan"), float("inf"), -0.0, 0.75)] == [None, None, None, None, "0.75"]
+
+
+def test_flushes_of_a_write(spark, tmp_path):
+    rows = recs(spark, *({"s": "x" * 40, "k": k} for k in range(6)))
+    cut = blocks.greedy(rows, 100, Limits(segment_bytes=100))
+    path = str(tmp_path / "a.arc")
+    wire_source.write(rows.join(cut.drop("cut_by", "error"), ["src", "record_idx"]), path, segmentBytes=100)
+    got = {r["field"]: r.asDict() for r in wire_source.writer_metrics(spark, path, cut).collect()}
+    assert (got["s"]["blocks"], got["s"]["records"], got["s"]["flushes"], got["s"]["rejections"]) == (3, 6, 2, 0) and got["k"]["flushes"] == 0

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
+from decimal import Decimal
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def zigzag(v: Column) -> Column:
@@ -88,3 +92,38 @@ def format_size(n: int) -> str:
         if n >= _UNITS[unit]:
             return f"{n / _UNITS[unit]:.1f}{unit}"
     return f"{n}B"
+
+
+def size_text(n: Column) -> Column:
+    """format_size() of a column."""
+    out = F.concat(n.cast("string"), F.lit("B"))
+    for unit in ("K", "M", "G"):
+        out = F.when(n >= _UNITS[unit], F.format_string(f"%.1f{unit}", n / _UNITS[unit])).otherwise(out)
+    return out
+
+
+#: Fixed value: digits after the point up to which a double's decimal counts as exact.
+EXACT_DIGITS = 17
+
+
+def double_if_exact(text: str) -> float | None:
+    """The double that is exactly a decimal, if there is one."""
+    d = Decimal(text)
+    f = float(d)
+    if not math.isfinite(f) or Decimal(f) != d:
+        return None
+    return f if -d.normalize().as_tuple().exponent <= EXACT_DIGITS else None
+
+
+def decimal_if_exact(value: float) -> str | None:
+    """The shortest decimal of a double, if it is exactly the double. There is none of -0.0."""
+    if not math.isfinite(value) or (value == 0 and math.copysign(1, value) < 0):
+        return None
+    text = format(Decimal(repr(value)), "f")
+    return text if double_if_exact(text) == value else None
+
+
+@F.pandas_udf(DoubleType())
+def exact_double(texts: pd.Series) -> pd.Series:
+    """double_if_exact() of a column of decimals' texts."""
+    return texts.map(lambda t: None if t is None else double_if_exact(t)).astype("Float64")

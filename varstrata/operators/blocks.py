@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,62 +19,38 @@ def by_count(records: DataFrame, target: int = TARGET) -> DataFrame:
     return records.withColumn("block_idx", F.floor(F.col("record_idx") / target).cast("long"))
 
 
+#: What counts in a record's JSON: strings (keys too), openings, booleans, numbers.
+_PARTS = r'"(?:[^"\\]|\\.)*"|[\[{]|true|false|-?[0-9][0-9.eE+-]*'
+
+
 def memory(rec: Column) -> Column:
-    """Estimate of a record's size from its JSON: the text without quotes, colons and commas stands for keys and
-    scalars, and every array and object adds eight bytes."""
-    text = F.to_json(rec)
-    opening = F.length(text) - F.length(F.translate(text, "{[", ""))
-    return F.octet_length(F.translate(text, '"{}[]:,', "")) + 8 * opening
+    """Estimate of a record's size: the bytes of its keys and strings, one for a boolean, the text's length for a number,
+    nothing for a null, and eight for every array and object within."""
+    plain = lambda x: F.regexp_replace(F.regexp_replace(x, r"\\u[0-9a-fA-F]{4}", "x"), r"\\.", "x")
+    one = lambda x: F.when(x.startswith('"'), F.octet_length(plain(x)) - 2).when(x.isin("[", "{"), 8).when(x.isin("true", "false"), 1).otherwise(F.length(x))
+    return F.aggregate(F.regexp_extract_all(F.to_json(rec), F.lit(_PARTS), 0), F.lit(-8).cast("long"), lambda n, x: n + one(x))
 
 
-def segment_sizes(blocks: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """(keys, field, size): upper bound of each column's encoded bytes: presence, tags, and values as if no dictionary
-    were used. blocks carries block_idx and records_in_block, the number of its records."""
-    keys = ["src", "block_idx"] if keys is None else keys
-    rows = cells(blocks, [*keys, "records_in_block", "record_idx"])
-    t, text = tag(F.col("value")), F.to_json("value")
+def payload(v: Column) -> Column:
+    """Bytes of a value as its column holds it, if no dictionary is used: none for nulls and booleans, which are bits."""
+    t, text = tag(v), F.to_json(v)
     digits = F.length(F.regexp_replace(F.regexp_replace(text, "[eE].*$", ""), "[^0-9]", ""))
-    size = (
-        F.when(t == "int", uleb_length(zigzag(F.col("value").cast("long"))))
+    return (
+        F.when(t == "int", uleb_length(zigzag(v.cast("long"))))
         .when(t == "decimal", 2 + uleb_length(digits.cast("long")) + digits)
-        .when(t == "string", string_length(F.variant_get("value", "$", "string")))
+        .when(t == "string", string_length(F.variant_get(v, "$", "string")))
         .when(t.isin("object", "array"), string_length(text))
         .otherwise(0)
     )
-    n = F.count("*")
-    total = F.ceil(F.max("records_in_block") / 8) + F.ceil(3 * n / 8) + F.ceil(F.count(F.when(t == "bool", 1)) / 8) + F.sum(size)
-    return rows.groupBy(*keys, "field").agg(total.cast("long").alias("size"))
-
 
-def _varint(n: int) -> int:
-    return max(1, -(-n.bit_length() // 7))
 
-
-def _value_size(v) -> tuple[int, int]:
-    """(bytes of the value, one if it is a boolean)."""
-    if v is None:
-        return 0, 0
-    if isinstance(v, bool):
-        return 0, 1
-    if isinstance(v, int) and -(1 << 63) <= v < 1 << 63:
-        return _varint((v << 1) ^ (v >> 63)), 0
-    if isinstance(v, (int, float)):
-        return 2 + len(repr(v)), 0
-    n = len((v if isinstance(v, str) else json.dumps(v, separators=(",", ":"), ensure_ascii=False)).encode())
-    return _varint(n) + n, 0
-
-
-def _weight(v) -> int:
-    if v is None:
-        return 0
-    if isinstance(v, bool):
-        return 1
-    if isinstance(v, (int, float)):
-        return len(repr(v))
-    if isinstance(v, str):
-        return len(v.encode())
-    parts = v.items() if isinstance(v, dict) else ((None, x) for x in v)
-    return 8 + sum((len(k.encode()) if k else 0) + _weight(x) for k, x in parts)
+def segment_sizes(blocks: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, field, size): upper bound of each column's encoded bytes: presence, tags, and values as if no dictionary
+    were used. blocks carries block_idx and records_in_block, the number of its records."""
+    keys = ["src", "block_idx"] if keys is None else keys
+    rows = cells(blocks, [*keys, "records_in_block", "record_idx"])
+    total = F.ceil(F.max("records_in_block") / 8) + F.ceil(3 * F.count("*") / 8) + F.ceil(F.count(F.when(tag(F.col("value")) == "bool", 1)) / 8) + F.sum(payload(F.col("value")))
+    return rows.groupBy(*keys, "field").agg(total.cast("long").alias("size"))
 
 
 class Cutter:
@@ -92,29 +66,28 @@ class Cutter:
     def _new(self) -> None:
         self.n, self.bytes, self.columns = 0, 0, {}
 
-    def _sizes(self, record: dict) -> dict[str, tuple[int, int, int]]:
+    def _sizes(self, fields: list[tuple[str, int, bool]]) -> dict[str, tuple[int, int, int]]:
         out = {}
-        for k, v in record.items():
-            payload, flag = _value_size(v)
+        for k, n, flag in fields:
             before = self.columns.get(k, (0, 0, 0))
-            out[k] = (before[0] + payload, before[1] + 1, before[2] + flag)
+            out[k] = (before[0] + n, before[1] + 1, before[2] + flag)
         return out
 
     def _full(self, sizes: dict) -> str | None:
         bits = lambda n: -(-n // 8)
         return next((k for k, (p, n, f) in sizes.items() if p + bits(self.n + 1) + bits(3 * n) + bits(f) > self.limits.segment_bytes), None)
 
-    def add(self, record: dict) -> int | str:
-        """The record's block, or the name of the field that no block can take."""
-        sizes = self._sizes(record)
-        weight = sum(len(k.encode()) + _weight(v) for k, v in record.items())
+    def add(self, fields: list[tuple[str, int, bool]], weight: int) -> int | str:
+        """The record's block, or the name of the field that no block can take. fields: name, payload, whether it is a
+        boolean; weight: the whole record's estimate."""
+        sizes = self._sizes(fields)
         self.reason = None
         if (field := self._full(sizes)) and self.n:
             self.flushes[field] = self.flushes.get(field, 0) + 1
             self.reason = field
             self.block += 1
             self._new()
-            sizes = self._sizes(record)
+            sizes = self._sizes(fields)
             field = self._full(sizes)
         if field:
             self.rejected[field] = self.rejected.get(field, 0) + 1
@@ -134,30 +107,37 @@ def greedy(records: DataFrame, target: int = TARGET, limits: Limits = Limits())
     whose segment would have grown too large, at the first record of the block that was begun instead.
 
     Where a block ends depends on all records before it, so each source is cut by one task, as a stream in the order of
-    record_idx: a partition holds whole sources, sorted, and no source is gathered in memory.
+    record_idx: a partition holds whole sources, sorted, and no source is gathered in memory. What the task sees of a
+    record are numbers alone, its fields' sizes, which expressions have found before the shuffle.
     """
-    rows = records.select("src", "record_idx", F.to_json("rec").alias("json")).repartition("src").sortWithinPartitions("src", "record_idx")
+    fields = F.transform(F.map_entries(F.col("rec").cast("map<string,variant>")), lambda e: F.struct(e["key"].alias("k"), payload(e["value"]).cast("long").alias("n"), (tag(e["value"]) == "bool").alias("flag")))
+    rows = records.select("src", "record_idx", memory(F.col("rec")).alias("weight"), F.octet_length(F.to_json("rec")).alias("bytes"), fields.alias("fields")).repartition("src").sortWithinPartitions("src", "record_idx")
+    schema = pa.schema([("src", pa.string()), ("record_idx", pa.int64()), ("block_idx", pa.int64()), ("cut_by", pa.string()), ("error", pa.string())])
 
-    def cut(frames):
+    def cut(batches):
         src, cutter = None, None
-        for f in frames:
-            blocks, reasons, errors = [], [], []
-            for s, text in zip(f["src"], f["json"], strict=True):
+        for b in batches:
+            found, reasons, errors = [], [], []
+            sizes = b.column("fields")
+            names, n, flags = (sizes.values.field(k).to_pylist() for k in ("k", "n", "flag"))
+            ends = sizes.offsets.to_pylist()
+            for i, (s, weight, size) in enumerate(zip(b.column("src").to_pylist(), b.column("weight").to_pylist(), b.column("bytes").to_pylist(), strict=True)):
                 if s != src or cutter is None:
                     src, cutter = s, Cutter(target, limits)
-                got = cutter.add(json.loads(text))
-                blocks.append(got if isinstance(got, int) else None)
+                at = slice(ends[i], ends[i + 1])
+                got = cutter.add(list(zip(names[at], n[at], flags[at], strict=True)), weight)
+                found.append(got if isinstance(got, int) else None)
                 reasons.append(cutter.reason)
-                errors.append(None if isinstance(got, int) else f"LimitExceeded: Field '{got}' single-record payload ({len(text.encode())} bytes) exceeds the segment limit")
-            yield pd.DataFrame({"src": f["src"], "record_idx": f["record_idx"], "block_idx": pd.array(blocks, dtype="Int64"), "cut_by": reasons, "error": errors})
+                errors.append(None if isinstance(got, int) else f"LimitExceeded: Field '{got}' of one record alone ({size} bytes) outgrows the segment limit")
+            yield pa.RecordBatch.from_arrays([b.column("src"), b.column("record_idx"), *(pa.array(x, f.type) for x, f in zip((found, reasons, errors), list(schema)[2:], strict=True))], schema=schema)
 
-    return rows.mapInPandas(cut, "src string, record_idx long, block_idx long, cut_by string, error string")
+    return rows.mapInArrow(cut, "src string, record_idx long, block_idx long, cut_by string, error string")
 
 
 def flush_metrics(cut: DataFrame) -> DataFrame:
     """(field, flushes, rejections) of what greedy() gives: how often a field ended a block early, and how many records
     no block could take because of it."""
-    lost = F.regexp_extract("error", "Field '(.*)' single-record", 1)
+    lost = F.regexp_extract("error", "Field '(.*)' of one record", 1)
     rows = cut.select(F.col("cut_by").alias("field"), F.lit(1).alias("f"), F.lit(0).alias("r")).where("field is not null")
     rows = rows.unionByName(cut.where("error is not null").select(lost.alias("field"), F.lit(0).alias("f"), F.lit(1).alias("r")))
     return rows.groupBy("field").agg(F.sum("f").alias("flushes"), F.sum("r").alias("rejections"))

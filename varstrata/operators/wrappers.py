@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varstrata.errors import WrapperError
-from varstrata.functions.scalars import format_size
+from varstrata.functions.scalars import format_size, size_text
 from varstrata.functions.tags import json_type, tag
 from varstrata.limits import WrapperLimits
 from varstrata.model import field_path
@@ -67,7 +67,7 @@ def navigate(v: Column, tokens: list[str], pointer: str, missing: Callable[[Colu
 
     def nowhere(at: Column) -> Column:
         keys = F.when(tag(at) == "object", F.concat(F.lit("; keys: "), F.array_join(F.slice(F.map_keys(at.cast(MAP)), 1, 10), ", "))).otherwise("")
-        return fail("PointerNotFound", pointer, keys)
+        return fail("PointerNotFound", pointer, f" (jq: {as_jq(pointer)})", keys)
 
     for t in tokens:
         on = step(v, t)
@@ -75,10 +75,12 @@ def navigate(v: Column, tokens: list[str], pointer: str, missing: Callable[[Colu
     return v
 
 
-def parsed(docs: DataFrame, limits: WrapperLimits) -> DataFrame:
-    """(src, root). Documents larger than the buffer, and text after a document, are refused."""
-    size = F.octet_length("value")
-    guarded = F.when(size <= limits.buffer_bytes, F.col("value")).otherwise(fail("BufferLimitExceeded", size.cast("string"), f" bytes; the buffer holds {format_size(limits.buffer_bytes)}", of="string"))
+def parsed(docs: DataFrame, limits: WrapperLimits, trailing: bool = False) -> DataFrame:
+    """(src, root). Documents larger than the buffer, and text after a document, are refused; if trailing, white space
+    after a document doesn't count towards its size."""
+    size = F.octet_length(F.regexp_replace("value", r"\s+$", "") if trailing else F.col("value"))
+    remedy = F.concat(F.lit("; a buffer of "), size_text(F.ceil(size * 1.5)), F.lit(" would do"))
+    guarded = F.when(size <= limits.buffer_bytes, F.col("value")).otherwise(fail("BufferLimitExceeded", size.cast("string"), f" bytes; the buffer holds {format_size(limits.buffer_bytes)}", remedy, of="string"))
     return docs.select("src", strict(guarded).alias("root"))
 
 
@@ -100,7 +102,7 @@ def with_field(rec: Column, name: str, value: Column, clash: str | None) -> Colu
 
 def pointer(docs: DataFrame, at: str, limits: WrapperLimits = WrapperLimits()) -> DataFrame:
     """An array yields a record for each element, an object one record."""
-    root = parsed(docs, limits).withColumn("t", navigate(F.col("root"), parse_pointer(at, limits), at))
+    root = parsed(docs, limits, trailing=True).withColumn("t", navigate(F.col("root"), parse_pointer(at, limits), at))
     kind = tag(F.col("t"))
     items = F.when(kind == "array", F.col("t").cast("array<variant>")).when(kind == "object", F.array("t")).otherwise(fail("PointerTargetWrongType", f"{at} is ", json_type(F.col("t")), of="array<variant>"))
     return exploded(root, objects(items, "ElementNotObject", f"an element of {at}"))
@@ -229,3 +231,19 @@ def apply(docs: DataFrame, pointer_at: str | None = None, section_specs: list |
 def metrics(records: DataFrame, label_field: str = "_section") -> DataFrame:
     """(section, records): how many records each section gave; section is null where there is no label."""
     return records.groupBy(F.variant_get("rec", field_path(label_field), "string").alias("section")).agg(F.count("*").alias("records"))
+
+
+def run_metrics(docs: DataFrame, limits: WrapperLimits = WrapperLimits(), **mode) -> DataFrame:
+    """One row of what apply(docs, limits=limits, **mode) does: mode, pointer, documents, peak_buffer (bytes of the largest
+    document), records, sections (records by label) and header_fields (names in the longest header row)."""
+    records = apply(docs, limits=limits, **mode)
+    names = {"pointer_at": "pointer", "section_specs": "sections", "map_at": "map", "headers": "array_headers", "plugin_name": "plugin"}
+    used = next(k for k in names if mode.get(k) not in (None, False, []))
+    whole = docs.agg(F.count("*").alias("documents"), F.max(F.octet_length("value")).cast("long").alias("peak_buffer"))
+    label = mode.get("label_field", "_section")
+    by = metrics(records, label) if used == "section_specs" and label else records.groupBy(F.lit(None).cast("string").alias("section")).agg(F.count("*").alias("records"))
+    found = by.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("records"), F.map_from_entries(F.collect_list(F.when(F.col("section").isNotNull(), F.struct("section", "records")))).alias("sections"))
+    width = F.size(F.coalesce(F.variant_get(F.parse_json("value"), "$[0]", "array<variant>"), F.array().cast("array<variant>"))) if used == "headers" else F.lit(None)
+    header = docs.agg(F.max(width).cast("int").alias("header_fields"))
+    at = mode.get("pointer_at") if used == "pointer_at" else mode.get("map_at") if used == "map_at" else None
+    return whole.join(found).join(header).select(F.lit(names[used]).alias("mode"), F.lit(at).cast("string").alias("pointer"), "documents", "peak_buffer", "records", "sections", "header_fields")

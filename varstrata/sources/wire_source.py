@@ -27,6 +27,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from varstrata import errors
 from varstrata.files import place
 from varstrata.limits import Limits
+from varstrata.operators.blocks import flush_metrics
 from varstrata.session import prepare
 from varstrata.shipping import ship
 from varstrata.sources import wire
@@ -329,6 +330,10 @@ def describe(spark: SparkSession, path: str) -> DataFrame:
     return blocks.mapInArrow(run, "block long, field string, records long, present_count long, flags long, dict_entries long, compressed long, uncompressed long")
 
 
-def writer_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """(field, blocks, records, present, largest_segment, packed_bytes): what a file's writer made, by field."""
-    return describe(spark, path).groupBy("field").agg(F.count("*").alias("blocks"), F.sum("records").alias("records"), F.sum("present_count").alias("present"), F.max("uncompressed").alias("largest_segment"), F.sum("compressed").alias("packed_bytes"))
+def writer_metrics(spark: SparkSession, path: str, cut: DataFrame | None = None) -> DataFrame:
+    """(field, blocks, records, present, largest_segment, packed_bytes): what a file's writer made, by field. With what
+    blocks.greedy() gave for it also flushes and rejections: blocks that the field ended early, records refused for it."""
+    out = describe(spark, path).groupBy("field").agg(F.count("*").alias("blocks"), F.sum("records").alias("records"), F.sum("present_count").alias("present"), F.max("uncompressed").alias("largest_segment"), F.sum("compressed").alias("packed_bytes"))
+    if cut is None:
+        return out
+    return out.join(flush_metrics(cut), "field", "full").fillna(0, ["flushes", "rejections"])
