@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +50,23 @@ def _delete(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextlib.contextmanager
+def made() -> Iterator[list]:
+    """The intermediate tables that are written within the block, for discard()."""
+    before, out = len(_written), []
+    yield out
+    out += _written[before:]
+
+
+def discard(tables: list) -> None:
+    """Deletes what made() listed; frames that still read it can't be used afterwards."""
+    for one in tables:
+        if one in _written:
+            _written.remove(one)
+            _delete(*one)
+    tables.clear()
+
+
 def drop(stashed: DataFrame) -> None:
     """Deletes a table that stash() gave; no frame that reads it can be used afterwards."""
     for path in {f.rpartition("/")[0] for f in stashed.inputFiles()}:
