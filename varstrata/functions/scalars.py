@@ -98,7 +98,7 @@ def size_text(n: Column) -> Column:
     """format_size() of a column."""
     out = F.concat(n.cast("string"), F.lit("B"))
     for unit in ("K", "M", "G"):
-        out = F.when(n >= _UNITS[unit], F.format_string(f"%.1f{unit}", n / _UNITS[unit])).otherwise(out)
+        out = F.when(n >= _UNITS[unit], F.format_string(f"%.1f{unit}", F.bround(n / _UNITS[unit], 1))).otherwise(out)
     return out
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from varstrata.files import place
 from varstrata.functions import scalars, tags
 from varstrata.limits import Limits
 from varstrata.model import cells, field, from_rows
@@ -522,3 +523,79 @@ def wire_cat_blocks(spark, sf_dir):
     rows = wire_source.read(spark, path, ["v"], firstBlock=1, lastBlock=2)
     start = t(spark, sf_dir, "events").agg(F.min("event_id").alias("start"))
     return project.values(rows, "v").join(F.broadcast(start)).select((F.col("record_idx") + F.col("start")).alias("record_idx"), project.value_text(F.col("value")).alias("line"))
+
+
+@query("SELECT n_regionkey::VARCHAR AS region, count(*) AS nations, min(n_name) AS first FROM nation GROUP BY 1")
+def single_object_scan(spark, sf_dir):
+    """Files that hold one object each, over several lines."""
+    path = scratch(spark, "objects")
+    docs = per_region(spark, sf_dir, "[\n", "\n]", sep=",\n")
+    docs.select(F.concat(F.lit('{"region":"'), "src", F.lit('",\n "items":'), "value", F.lit("}\n")).alias("value")).repartition(5, "value").write.option("maxRecordsPerFile", 1).text(path)
+    items = F.variant_get("rec", "$.items", "array<struct<id bigint, name string>>")
+    return text.read_json_array(spark, path).select(string("region"), F.size(items).cast("long").alias("nations"), F.array_min(F.transform(items, lambda x: x["name"])).alias("first"))
+
+
+_WIRED = f"SELECT o_orderkey // {BLOCK} AS block_idx, o_orderkey, o_custkey, o_orderpriority FROM orders"
+
+
+@query(_WIRED)
+def wire_sequential(spark, sf_dir):
+    """Without an index, blocks are walked one after the other."""
+    path = scratch(spark, "wire", ".arc")
+    wire_source.write(orders(spark, sf_dir), path, index=False)
+    return wire_source.read(spark, path).select("block_idx", long("o_orderkey"), long("o_custkey"), string("o_orderpriority"))
+
+
+@query(f"SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey // {BLOCK} <> 1")
+def wire_resync(spark, sf_dir):
+    """The second block's header is broken; a permissive reader goes on at the third."""
+    path = scratch(spark, "wire", ".arc")
+    wire_source.write(orders(spark, sf_dir), path, index=False)
+    at = wire_source.block_table(path)[1][0]
+    fs, name = place(path)
+    with fs.open_input_stream(name) as f:
+        data = bytearray(f.read())
+    data[at : at + 4] = bytes(4)
+    with fs.open_output_stream(name) as f:
+        f.write(bytes(data))
+    return wire_source.read(spark, path, mode="PERMISSIVE").select(long("o_orderkey"), long("o_custkey"))
+
+
+@query("SELECT p_partkey, CASE WHEN cents % 25 = 0 THEN p_retailprice END AS exact FROM (SELECT p_partkey, p_retailprice, (p_retailprice::DECIMAL(18,2) * 100)::BIGINT AS cents FROM part)")
+def exact_doubles(spark, sf_dir):
+    return t(spark, sf_dir, "part").select("p_partkey", scalars.exact_double(F.col("p_retailprice").cast("decimal(18,2)").cast("string")).alias("exact"))
+
+
+@query("SELECT event_id, replace(replace(concat(event_type, '/~', user_id::VARCHAR), '~', '~0'), '/', '~1') AS escaped, concat(event_type, '/~', user_id::VARCHAR) AS back FROM events")
+def escaped_tokens(spark, sf_dir):
+    raw = F.concat("event_type", F.lit("/~"), F.col("user_id").cast("string"))
+    return t(spark, sf_dir, "events").select("event_id", scalars.escape_token(raw).alias("escaped"), scalars.unescape_token(scalars.escape_token(raw)).alias("back"))
+
+
+@query("SELECT o_orderkey, CASE WHEN n >= 1073741824 THEN printf('%.1fG', n / 1073741824) WHEN n >= 1048576 THEN printf('%.1fM', n / 1048576) WHEN n >= 1024 THEN printf('%.1fK', n / 1024) ELSE concat(n::VARCHAR, 'B') END AS size FROM (SELECT o_orderkey, o_custkey * o_custkey * 4 AS n FROM orders)")
+def sizes_as_text(spark, sf_dir):
+    return t(spark, sf_dir, "orders").select("o_orderkey", scalars.size_text(F.col("o_custkey") * F.col("o_custkey") * 4).alias("size"))
+
+
+@query("""SELECT event_id AS record_idx, 15 + length(event_id::VARCHAR) + length(user_id::VARCHAR) + CASE event_id % 8 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 1 + length(event_id::VARCHAR)
+  WHEN 4 THEN 3 + length(event_id::VARCHAR) WHEN 5 THEN 1 + strlen(event_type) WHEN 6 THEN 10 + length(user_id::VARCHAR) ELSE 9 + length(user_id::VARCHAR) END AS bytes FROM events""")
+def record_memory(spark, sf_dir):
+    return drifted(spark, sf_dir).select("record_idx", blocks.memory(F.col("rec")).alias("bytes"))
+
+
+@query("SELECT 'sections' AS mode, 5::BIGINT AS documents, 25::BIGINT AS records, section, n FROM (SELECT section, count(*) AS n FROM (SELECT CASE WHEN row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) <= 2 THEN 'old' ELSE 'new' END AS section FROM nation) GROUP BY 1)")
+def reshaping_metrics(spark, sf_dir):
+    got = wrappers.run_metrics(_two_sections(spark, sf_dir), section_specs=["old", "new=/deep/new"])
+    return got.select("mode", "documents", "records", F.explode("sections").alias("section", "n"))
+
+
+@query("SELECT * FROM (VALUES ('auto', 'json_array', 'json_array'), ('auto', 'ndjson', 'ndjson'), ('auto', 'unknown', 'ndjson'), ('ndjson', 'json_array', 'ndjson'), ('json_array', 'ndjson', 'json_array')) t(asked, hint, style)")
+def auto_format(spark, sf_dir):
+    """The format of output, with the hint that an archive of events was given."""
+    rows = []
+    for asked, hint in (("auto", "json_array"), ("auto", "ndjson"), ("auto", "unknown"), ("ndjson", "json_array"), ("json_array", "ndjson")):
+        path = scratch(spark, "wire", ".arc")
+        wire_source.write(blocks.by_count(customers(spark, sf_dir), BLOCK), path, hint=hint)
+        with wire_source.File(path) as f:
+            rows.append((asked, hint, project.resolve_format(asked, f.header()[0].hint)))
+    return spark.createDataFrame(rows, "asked string, hint string, style string")
