@@ -496,3 +496,16 @@ def test_flushes_of_a_write(spark, tmp_path):
     wire_source.write(rows.join(cut.drop("cut_by", "error"), ["src", "record_idx"]), path, segmentBytes=100)
     got = {r["field"]: r.asDict() for r in wire_source.writer_metrics(spark, path, cut).collect()}
     assert (got["s"]["blocks"], got["s"]["records"], got["s"]["flushes"], got["s"]["rejections"]) == (3, 6, 2, 0) and got["k"]["flushes"] == 0
+
+
+def test_commands_say_what_they_did(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    (tmp_path / "in.ndjson").write_text('{"a":1}\n{"a":2}\n')
+    assert cli.main(["pack", str(tmp_path / "in.ndjson"), "-o", str(tmp_path / "x.arc"), "--verbose"]) == 0
+    said = capsys.readouterr().err
+    assert "as ndjson" in said and "2 records" in said and "MiB/s" in said
+    assert cli.main(["unpack", str(tmp_path / "x.arc"), "-o", str(tmp_path / "back"), "--verbose"]) == 0
+    assert "2 records" in capsys.readouterr().err and (tmp_path / "back").read_text() == '{"a":1}\n{"a":2}\n'
+    assert cli.main(["unpack", str(tmp_path / "x.arc")]) == 0
+    captured = capsys.readouterr()
+    assert captured.out == '{"a":1}\n{"a":2}\n' and captured.err == ""

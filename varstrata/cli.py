@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import resource
 import sys
 import time
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varstrata import errors
 from varstrata.api import WIRE_ENDING, container
+from varstrata.files import place
 from varstrata.functions.scalars import parse_size
 from varstrata.functions.scalars import recommended_block_size as recommended
-from varstrata.limits import Limits, WrapperLimits
+from varstrata.limits import MIB, Limits, WrapperLimits
 from varstrata.operators import blocks, inspect, project, wrappers
 from varstrata.session import setting
 from varstrata.sources import archive, text, wire_source
@@ -30,8 +33,24 @@ def opened(spark: SparkSession, path: str, fields: list[str] | None = None) -> D
     return wire_source.read(spark, path, fields) if path.endswith(WIRE_ENDING) else archive.read(spark, path)
 
 
+class Summary:
+    """What a command did and took, on standard error: records, records and MiB a second, the driver's peak memory."""
+
+    def __init__(self, shown: bool):
+        self.shown, self.began = shown, time.perf_counter()
+
+    def step(self, text: str) -> None:
+        if self.shown:
+            print(f"{time.perf_counter() - self.began:6.1f} s  {text}", file=sys.stderr, flush=True)
+
+    def end(self, records: int, n: int | None = None) -> None:
+        took = max(time.perf_counter() - self.began, 1e-9)
+        rate = "" if n is None else f", {n / took / MIB:.1f} MiB/s"
+        self.step(f"{records} records, {records / took:.0f}/s{rate}; peak {resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10} MiB on the driver")
+
+
 def pack(spark: SparkSession, a: argparse.Namespace) -> None:
-    began = time.perf_counter()
+    told = Summary(a.verbose)
     limits = WrapperLimits(depth=int(setting("wrapper.depth", spark, a.wrapper_depth)), buffer_bytes=parse_size(str(setting("wrapper.buffer", spark, a.wrapper_buffer))))
     wrapped = {"pointer_at": a.wrapper_pointer, "section_specs": a.wrapper_sections, "map_at": a.wrapper_map, "headers": a.wrapper_array_headers}
     if any(v not in (None, False, []) for v in wrapped.values()):
@@ -46,6 +65,7 @@ def pack(spark: SparkSession, a: argparse.Namespace) -> None:
     target = int(setting("block.records", spark, a.block_records))
     Limits(records_per_block=target)
     level = int(setting("zstd.level", spark, a.zstd_level))
+    told.step(f"reading {a.input} as {hint}")
     if a.greedy:
         cut = blocks.greedy(records, target, Limits(segment_bytes=parse_size(a.segment_bytes)) if a.segment_bytes else Limits())
         cut = cut.withColumn("block_idx", F.when(F.col("error").isNull(), F.col("block_idx")).otherwise(F.raise_error("error").cast("long")))
@@ -57,15 +77,26 @@ def pack(spark: SparkSession, a: argparse.Namespace) -> None:
     else:
         archive.write(records, a.output, target, level, hint, canonical_numbers=a.canonicalize_numbers)
     if a.verbose:
-        n = opened(spark, a.output).count()
-        took = time.perf_counter() - began
-        print(f"{n} records in {took:.1f} s ({n / took:.0f}/s), peak {resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10} MiB on the driver", file=sys.stderr)
+        told.step(f"written to {a.output}")
+        told.end(opened(spark, a.output).count(), bytes_at(a.input))
+
+
+def bytes_at(path: str) -> int | None:
+    """Bytes of a file, or of the files of a folder."""
+    fs, at = place(path)
+    info = fs.get_file_info(at)
+    if info.type == pafs.FileType.File:
+        return info.size
+    return sum(x.size for x in fs.get_file_info(pafs.FileSelector(at, recursive=True)) if x.type == pafs.FileType.File) if info.type == pafs.FileType.Directory else None
 
 
 def unpack(spark: SparkSession, a: argparse.Namespace) -> None:
+    told = Summary(a.verbose)
     style = project.resolve_format(a.format, container(spark, a.input))
-    with open(a.output, "w", encoding="utf-8") if a.output else sys.stdout as out:
-        project.write_stream(project.ndjson_lines(opened(spark, a.input)), out, style)
+    told.step(f"writing {style}")
+    with open(a.output, "w", encoding="utf-8") if a.output else contextlib.nullcontext(sys.stdout) as out:
+        n = project.write_stream(project.ndjson_lines(opened(spark, a.input)), out, style)
+    told.end(n, bytes_at(a.output) if a.output else None)
 
 
 def ls(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -141,6 +172,7 @@ def parser() -> argparse.ArgumentParser:
     x.add_argument("input")
     x.add_argument("-o", "--output")
     x.add_argument("--format", choices=["auto", "ndjson", "json_array"], default="auto")
+    x.add_argument("--verbose", action="store_true")
     x.set_defaults(run=unpack)
     x = sub.add_parser("ls")
     x.add_argument("input")
