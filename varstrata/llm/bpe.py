@@ -24,7 +24,7 @@ from varstrata.llm.arrow import mapped, mapper, texts_of
 #: Words of up to this many bytes are encoded together.
 TOGETHER = 64
 #: Stretches of text that a worker remembers with their ids.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 #: Bytes of a key in its table: the stretch, and a last byte for its length and whether a blank stands before it.
 WIDE = 24
 KEEP = np.where(np.arange(WIDE)[None] < np.arange(WIDE)[:, None], 0xFF, 0).astype(np.uint8).view(np.uint64)
