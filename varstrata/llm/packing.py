@@ -1,10 +1,12 @@
 """Best-fit packing of tokenized documents into sequences of fixed length.
 
-Two steps. Documents are tokenized and cut in one pass without a shuffle, and the pieces are stashed with their ids. Pieces are then dealt evenly to partitions of about PIECES_PER_TASK, and each partition packs its stream
-online: at most OPEN bins are open, bins are found through a bitset with a bit for each free space that an open bin has,
-a piece goes to the fullest bin that takes it, and when a new bin is needed and none may be opened, the fullest closes.
-The stream is looked ahead by LOOK_AHEAD pieces, and the longest of these come first.
-The bins left open at the end of a partition are the only loss that partitions cause.
+Three steps. Documents are tokenized and cut in one pass without a shuffle, and the pieces are stashed with their ids.
+Their numbers and lengths alone are then dealt evenly to partitions of about PIECES_PER_TASK, and each partition packs its
+stream online: at most OPEN bins are open, bins are found through a bitset with a bit for each free space that an open bin
+has, a piece goes to the fullest bin that takes it, and when a new bin is needed and none may be opened, the fullest
+closes. The stream is looked ahead by LOOK_AHEAD pieces, and the longest of these come first. The bins left open at the end
+of a partition are the only loss that partitions cause. Places are joined to the pieces last, so that ids are read and
+moved only where a query asks for them.
 """
 
 from __future__ import annotations
@@ -131,37 +133,35 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, open_bins: int = OPEN
 
     Repeated rows are packed as often as they occur. Other columns are ignored; an empty table gives an empty result.
     """
-    cut = stash(pieces(docs, path, length), "pieces")
+    cut = stash(pieces(docs, path, length).withColumn("_row", F.monotonically_increasing_id()), "pieces")
     # Dealt and ordered by hash, so that the lengths come mixed and a task that runs again packs alike.
-    dealt = cut.repartition(max(1, -(-cut.count() // per_task)), F.xxhash64("doc_id", "piece")).sortWithinPartitions(F.xxhash64("piece", "doc_id"), "doc_id", "piece", "ids_crc32")
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+    dealt = cut.select("_row", "doc_id", "piece", "length").repartition(max(1, -(-cut.count() // per_task)), F.xxhash64("doc_id", "piece")).sortWithinPartitions(F.xxhash64("piece", "doc_id"), "doc_id", "piece", "_row")
+    schema = pa.schema([("_row", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, first = BestFit(length, open_bins), TaskContext.get().partitionId() << 40
 
-        def placed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        def placed(rows: pa.Table) -> pa.RecordBatch:
             lengths = rows.column("length").to_numpy()
             at = np.empty((2, len(lengths)), np.int64)
             for k in np.argsort(-lengths, kind="stable").tolist():
                 at[:, k] = bins.place(int(lengths[k]))
-            out = rows.append_column("sequence_id", pa.array(first + at[0])).append_column("offset", pa.array(at[1]))
-            for b in out.combine_chunks().to_batches():
-                yield pa.RecordBatch.from_arrays(b.columns, schema=schema)
+            return pa.RecordBatch.from_arrays([rows.column("_row").combine_chunks(), pa.array(first + at[0]), pa.array(at[1])], schema=schema)
 
         # Windows have LOOK_AHEAD rows whatever the size of Arrow's batches, so that packing doesn't depend on it.
         held: list[pa.RecordBatch] = []
         for b in batches:
-            held.append(b)
+            held.append(b.select(["_row", "length"]))
             if sum(x.num_rows for x in held) >= LOOK_AHEAD:
                 rows = pa.Table.from_batches(held)
                 whole = rows.num_rows - rows.num_rows % LOOK_AHEAD
                 for k in range(0, whole, LOOK_AHEAD):
-                    yield from placed(rows.slice(k, LOOK_AHEAD))
+                    yield placed(rows.slice(k, LOOK_AHEAD))
                 held = rows.slice(whole).to_batches()
         if sum(x.num_rows for x in held):
-            yield from placed(pa.Table.from_batches(held))
+            yield placed(pa.Table.from_batches(held))
 
-    return mapped(dealt, run, "doc_id long, piece int, start long, length long, ids array<int>, ids_crc32 long, sequence_id long, offset long")
+    return cut.join(mapped(dealt, run, "_row long, sequence_id long, offset long"), "_row").drop("_row")
 
 
 def places(packed: DataFrame) -> DataFrame:
