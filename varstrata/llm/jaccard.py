@@ -36,12 +36,14 @@ from varstrata.llm.common import drop, small_join, stash
 from varstrata.llm.components import connected_components
 
 #: The table of counts has a slot for every so many bytes of text, within these powers of two.
-PER_SLOT, LEAST_SLOTS, MOST_SLOTS = 1024, 18, 22
+PER_SLOT, LEAST_SLOTS, MOST_SLOTS = 16384, 18, 22
 #: A slot is frequent above its expected count plus the first number of standard deviations and the second of rows,
 #: very frequent above sixteen times that excess.
 DEVIATIONS, LEAST = 6.0, 32
 #: Representatives whose sizes, parities and labels are broadcast, eight numbers each; more are joined by a shuffle.
 LOOKS = 300_000
+#: Tasks that the rows of one set are dealt to.
+SALTS = 32
 #: Bits of a set's parities: the first that are four times the tokens in which a linked set may differ, else the last.
 #: Unrelated sets then differ in about half of their bits, twice what is allowed.
 BITS = (512, 2048, 8192, 32768)
@@ -374,8 +376,12 @@ def _told(docs: DataFrame, n: int, percent: int) -> DataFrame:
     named = reps.select("q", "rep", "k1", "k2", "copies").join(found, F.col("q") == F.col("node"), "left").withColumn("component", F.coalesce("component", "q"))
     named = stash(named.where("node is not null or copies > 1"), "components")
     least = stash(named.groupBy("component").agg(F.min(F.struct("rep", "k1", "k2")).alias("least")), "least")
-    several = small_join(named, least, "component", "inner", LOOKS).select(F.col("k1").alias("j1"), F.col("k2").alias("j2"), "least")
-    whole = rows.select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2").join(several, (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2")), "left")
+    several = stash(small_join(named, least, "component", "inner", LOOKS).select(F.col("k1").alias("j1"), F.col("k2").alias("j2"), "least"), "classes")
+    # Equal sets share their key: where classes are too many to broadcast, the rows of a key are dealt to several tasks.
+    whole, parts = rows.select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2"), F.lit(1 if several.count() <= LOOKS else SALTS)
+    several = several.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    same = (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2")) & (F.pmod(F.xxhash64("doc_id"), parts) == F.col("salt"))
+    whole = small_join(whole, several, same, "left", LOOKS)
     named_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("least.rep", "doc_id"))
     first = F.coalesce((F.col("doc_id") == F.col("least.rep")) & (F.col("k1") == F.col("least.k1")) & (F.col("k2") == F.col("least.k2")), F.lit(True))
     return whole.select("doc_id", "n_shingles", named_id.alias("component_id"), "k1", "k2", first.alias("first"))
