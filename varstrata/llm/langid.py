@@ -145,30 +145,31 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-#: Parts of a language that are ranked apart before their best are ranked together.
-PARTS = 64
+#: Rows that are taken from each part of a language; parts are ranked apart from each other.
+PER_PART = 5
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG, dim: int = DIM, sample: int = SAMPLE) -> Model:
-    """Learns from text and lang of rows that aren't held out and whose text has a letter: sample rows in all, dealt evenly
-    among the languages, with at most per_lang and at least one row of each, so that no language is left out.
+    """Learns from text and lang of rows that aren't held out and whose text has a letter: about sample rows in all, dealt
+    evenly among the languages, with at most per_lang and at least one row of each, so that no language is left out.
 
-    Rows are taken by the hash of their id, then by that of their text; repeated rows count as often as they occur, and
-    which of equal rows is taken makes no difference. With no such row the model knows no language.
+    A language's rows are dealt to parts by the hash of their id, and of each part those with the smallest hashes are
+    taken, so that no task ranks a whole language. Repeated rows count as often as they occur; which of equal rows is
+    taken makes no difference. With no such row the model knows no language.
     """
-    rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    order = [F.col("h"), F.col("doc_id")]
-    keys = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
-    some = keys.withColumn("r", F.row_number().over(W.partitionBy("lang", F.pmod(F.col("h"), F.lit(PARTS))).orderBy(*order))).where(F.col("r") <= per_lang)
-    best = stash(some.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("r") <= per_lang), "ranked")
-    langs = best.select("lang").distinct().count()
+    rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    langs = rows.select("lang").distinct().count()
     if not langs:
         return Model()
     each = max(1, min(per_lang, sample // langs))
-    top = stash(best.where(F.col("r") <= each).groupBy("lang").agg(F.max("h").alias("top")), "top")
-    near = small_join(rows.select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("h")), top, "lang", "inner").where("h <= top")
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(*order, F.xxhash64("text")))
-    taken = near.withColumn("r", rank).where(F.col("r") <= each).select("doc_id", "lang", "text")
+    parts = max(1, each // PER_PART)
+    h = F.xxhash64("doc_id")
+    rows = rows.where(F.col("text").rlike(r"\p{L}")).withColumns({"h": h, "part": F.pmod(h, F.lit(parts))})
+    by, order, most = W.partitionBy("lang", "part"), [F.col("h"), F.col("doc_id")], -(-each // parts)
+    best = rows.select("lang", "part", "doc_id", "h").withColumn("r", F.row_number().over(by.orderBy(*order))).where(F.col("r") <= most)
+    top = stash(best.groupBy("lang", "part").agg(F.max("h").alias("top")), "top")
+    near = small_join(rows.select("doc_id", "lang", "text", "h", "part"), top, ["lang", "part"], "inner").where("h <= top")
+    taken = near.withColumn("r", F.row_number().over(by.orderBy(*order, F.xxhash64("text")))).where(F.col("r") <= most).select("doc_id", "lang", "text")
 
     def vectors(b: pa.RecordBatch) -> list:
         x = [features(t, dim) for t in b.column("text").to_pylist()]
