@@ -74,6 +74,7 @@ def test_jaccard_against_all_pairs(spark, monkeypatch, n, percent, least):
     """With a low threshold, tokens of a few rows count as frequent: signatures are pairs and triples then."""
     monkeypatch.setattr(jaccard, "LEAST", least)
     monkeypatch.setattr(jaccard, "DEVIATIONS", 0.0)
+    monkeypatch.setattr(jaccard, "MANY", least)
     texts = corpus(n + least, 25)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs, n, percent).collect()}

@@ -42,6 +42,8 @@ PER_SLOT, LEAST_SLOTS, MOST_SLOTS = 16384, 18, 22
 DEVIATIONS, LEAST = 6.0, 32
 #: Representatives whose sizes, parities and labels are broadcast, eight numbers each; more are joined by a shuffle.
 LOOKS = 300_000
+#: Members of a signature beyond which they meet in bands of sizes.
+MANY = 64
 #: Tasks that the rows of one set are dealt to.
 SALTS = 32
 #: Bits of a set's parities: the first that are four times the tokens in which a linked set may differ, else the last.
@@ -74,22 +76,28 @@ def word_hashes(b: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarra
     A word is cut into pieces of PIECE bytes, whose sums are lifted by the power of their place, and pieces are gone
     through AT_ONCE bytes at a time: numbers of eight bytes for every byte are held for these alone.
     """
-    parts = -(-size // PIECE)
-    first = np.cumsum(parts) - parts
-    word = np.repeat(np.arange(len(size)), parts)
-    k = np.arange(len(word)) - first[word]
-    at, n = start[word] + PIECE * k, np.minimum(PIECE, size[word] - PIECE * k)
-    power = np.cumprod(np.full(PIECE, BASE, np.uint64))
-    lift = np.cumprod(np.append(np.uint64(1), np.full(int(k.max()), power[-1], np.uint64)))
-    sums, ends = np.empty(len(word), np.uint64), np.cumsum(n)
+    long = int(size.max()) > PIECE
+    if long:
+        parts = -(-size // PIECE)
+        first = np.cumsum(parts) - parts
+        word = np.repeat(np.arange(len(size)), parts)
+        k = np.arange(len(word)) - first[word]
+        at, n = start[word] + PIECE * k, np.minimum(PIECE, size[word] - PIECE * k)
+    else:
+        at, n = start, size
+    power = np.cumprod(np.full(min(PIECE, int(size.max())), BASE, np.uint64))
+    sums, ends = np.empty(len(n), np.uint64), np.cumsum(n)
     i = 0
-    while i < len(word):
+    while i < len(n):
         j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + AT_ONCE, side="right")))
-        some, begin = n[i:j], np.cumsum(n[i:j]) - n[i:j]
-        within = np.arange(int(some.sum())) - np.repeat(begin, some)
+        some, begin = n[i:j], ends[i:j] - n[i:j] - (ends[i - 1] if i else 0)
+        within = np.arange(int(ends[j - 1] - (ends[i - 1] if i else 0))) - np.repeat(begin, some)
         sums[i:j] = np.add.reduceat((b[np.repeat(at[i:j], some) + within].astype(np.uint64) + np.uint64(1)) * power[within], begin)
         i = j
-    return mixed_bits(np.add.reduceat(sums * lift[k], first) + size.astype(np.uint64))
+    if long:
+        lift = np.cumprod(np.append(np.uint64(1), np.full(int(k.max()), power[-1], np.uint64)))
+        sums = np.add.reduceat(sums * lift[k], first)
+    return mixed_bits(sums + size.astype(np.uint64))
 
 
 def token_lists(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -285,8 +293,8 @@ def similar(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def shared_by(reps: DataFrame) -> DataFrame:
-    """(sig, q, low, several): members of signatures that two sets or more have; low is the smallest, several is whether
-    there are three or more.
+    """(sig, q, low, several, many): members of signatures that two sets or more have; low is the smallest, several is
+    whether there are three or more, many whether there are more than MANY.
 
     No rare token has many members, by how rare is told: those are dealt once by signature, and counted and met within
     one exchange. Combinations may have a hot signature: they are counted with partial sums, and then joined, so that
@@ -296,7 +304,7 @@ def shared_by(reps: DataFrame) -> DataFrame:
     out = None
     for rows in (every.where("k < rare").select("sig", "q").repartition("sig"), every.where("k >= rare").select("sig", "q")):
         low = rows.groupBy("sig").agg(F.min("q").alias("low"), F.max("q").alias("high"), F.count("*").alias("c")).where("low < high")
-        part = rows.join(low.select("sig", "low", (F.col("c") > 2).alias("several")), "sig")
+        part = rows.join(low.select("sig", "low", (F.col("c") > 2).alias("several"), (F.col("c") > MANY).alias("many")), "sig")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -358,9 +366,11 @@ def _told(docs: DataFrame, n: int, percent: int) -> DataFrame:
     parts = stash(known.join(label, "q", "left").select("q", "look", part.alias("part")), "parts")
     told = small_join(members.where("several and q != low").drop("several"), parts, "q", "inner", LOOKS)
     told = small_join(told, parts.select(F.col("q").alias("low"), F.col("part").alias("main")), "low", "inner", LOOKS)
-    told = stash(told.select("sig", "q", "look", "part", (F.col("part") == F.col("main")).alias("inside")), "told")
-    own = band(F.col("look.n"), percent)
-    outside = told.where("not inside").select("sig", F.explode(F.array(own - 1, own, own + 1)).alias("band"), "q", F.col("look").alias("x"), "part")
+    told = stash(told.select("sig", "many", "q", "look", "part", (F.col("part") == F.col("main")).alias("inside")), "told")
+    # Members of a signature that many sets have meet in bands of sizes; for few that would be more rows than it saves.
+    own = F.when(F.col("many"), band(F.col("look.n"), percent)).otherwise(F.lit(0).cast("long"))
+    near_by = F.when(F.col("many"), F.array(own - 1, own, own + 1)).otherwise(F.array(own))
+    outside = told.where("not inside").select("sig", F.explode(near_by).alias("band"), "q", F.col("look").alias("x"), "part")
     others = told.select("sig", own.alias("band"), F.col("q").alias("pivot"), F.col("look").alias("y"), F.col("part").alias("other"), "inside")
     # All conditions belong to the join: what can't link never is a row.
     met = outside.join(others, ["sig", "band"]).where((F.col("part") != F.col("other")) & (F.col("inside") | (F.col("q") < F.col("pivot"))) & near("x", "y", looks, percent))
