@@ -341,7 +341,8 @@ def test_operators_return_their_ids(spark, odd, coding):
     t = Tokenizer.from_file(JSON)
     t.encode_special_tokens = True
     packed = packing.pack(odd.where("doc_id < 15 and doc_id <> 5"), JSON).cache()
-    rows, sequences = packed.collect(), {r["sequence_id"]: r["ids"] for r in packing.sequences(packed).collect()}
+    rows = [r.asDict() | {"ids": packing.numbers(r["ids"])} for r in packed.collect()]
+    sequences = {r["sequence_id"]: packing.numbers(r["ids"]) for r in packing.sequences(packed).collect()}
     whole = {}
     for r in sorted(rows, key=lambda r: (r["doc_id"], r["start"])):
         assert sequences[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]] == r["ids"]

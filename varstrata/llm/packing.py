@@ -11,7 +11,6 @@ moved only where a query asks for them.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +26,7 @@ from varstrata.llm.common import stash
 
 #: LOOK_AHEAD: pieces of a stream that are placed together, the longest first.
 LENGTH, OPEN, PIECES_PER_TASK, LOOK_AHEAD, END = 2048, 1024, 250_000, 2048, 0
+LAST = END.to_bytes(4, "little")
 #: Texts with other characters are tokenized as a whole, so that the library alone decides what is a letter.
 PLAIN = regex.compile("[\\x00-ɏ‐-‧€]*")
 
@@ -106,26 +106,33 @@ def loaded(path: str) -> tuple:
 
 def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     """(doc_id, piece, start, length, ids, ids_crc32): each text's ids and a final END, cut from the end into pieces of
-    length, so that the first may be shorter. Null text counts as empty and has the one id END."""
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_crc32", pa.int64())])
+    length, so that the first may be shorter. ids are bytes, little-endian unsigned numbers of 32 bits, as a file of
+    sequences holds them. Null text counts as empty and has the one id END."""
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole, words = loaded(path)
-        for b in sliced(batches):
+        for b in sliced(batches, 256):
             texts = texts_of(b)
             plain = [PLAIN.fullmatch(t) is not None for t in texts]
             cut = words.batch([t if p else "" for t, p in zip(texts, plain, strict=True)])
             out: list[tuple] = []
             for doc, text, p, (ids, _) in zip(b.column("doc_id").to_pylist(), texts, plain, cut, strict=True):
-                ids = ids if p else whole(text)
-                ids = np.append(ids, END).astype("<u4")
-                first = len(ids) % length or length
-                for k, end in enumerate(range(first, len(ids) + 1, length)):
+                raw = (ids if p else whole(text)).astype("<u4").tobytes() + LAST
+                n = len(raw) // 4
+                first = n % length or length
+                for k, end in enumerate(range(first, n + 1, length)):
                     begin = max(0, end - length) if k else 0
-                    out.append((doc, k, begin, end - begin, ids[begin:end].astype(np.int32), zlib.crc32(ids[begin:end].tobytes())))
+                    out.append((doc, k, begin, end - begin, raw[4 * begin : 4 * end]))
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return mapped(docs.select("doc_id", "text"), run, "doc_id long, piece int, start long, length long, ids array<int>, ids_crc32 long")
+    cut = mapped(docs.select("doc_id", "text"), run, "doc_id long, piece int, start long, length long, ids binary")
+    return cut.withColumn("ids_crc32", F.crc32("ids"))
+
+
+def numbers(ids: bytes) -> list[int]:
+    """The ids of a piece or a sequence."""
+    return np.frombuffer(ids, "<u4").tolist()
 
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH, open_bins: int = OPEN, per_task: int = PIECES_PER_TASK) -> DataFrame:
@@ -172,4 +179,4 @@ def places(packed: DataFrame) -> DataFrame:
 def sequences(packed: DataFrame) -> DataFrame:
     """(sequence_id, ids): the packed sequences of pack()'s rows, with their pieces in order of offset."""
     parts = F.sort_array(F.collect_list(F.struct("offset", "ids")))
-    return packed.groupBy("sequence_id").agg(F.flatten(F.transform(parts, lambda p: p["ids"])).alias("ids"))
+    return packed.groupBy("sequence_id").agg(parts.alias("parts")).select("sequence_id", F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["ids"])).alias("ids"))
