@@ -302,7 +302,7 @@ def test_prefixes_and_positions_prune(spark):
         block = set(rnd.sample(sorted(tokens), rnd.randint(1, len(tokens)))) | set(rnd.sample(vocabulary, rnd.randint(0, 6)))
         want = {(k, len(t & block)) for k, (_, t, need) in enumerate(index.sets) if len(t & block) >= need}
         assert set(index.matched(block)) == want
-        met += sum(any(index.place[w] in index.prefix and any(k == x for x, _ in index.prefix[index.place[w]]) for w in block) for k in range(len(index.sets)))
+        met += len({k for w in block if w in index.place for k, _ in index.prefix.get(index.place[w], ())})
         passed += len(index.candidates(block))
     assert passed < 0.5 * met
 
