@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varstrata.llm.common import BLANKS, UPPER, let, small_join, stash, words_of
+from varstrata.llm.common import let, small_join, stash, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Metrics, and the per cent at which their outer quantiles are read off a blended sketch: (lower or None without a lower
@@ -29,40 +29,46 @@ PRIOR = 100
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def _count(text: Column, chars: str) -> Column:
+    """How many characters of a class of characters text holds: what is left when runs of all others are cut out."""
+    return F.length(F.regexp_replace(text, f"[^{chars}]+", ""))
 
 
 def _repeated(words: Column) -> Column:
-    """Words that lie in a three-word window which occurs twice or more. Windows are sorted by hash, neighbours with
-    equal hashes are compared word by word, and the positions that they cover are counted."""
+    """Words that lie in a three-word window which occurs twice or more. Most texts have windows of distinct hashes alone,
+    and none. In the others windows are sorted by hash, neighbours with equal hashes are compared word by word, and the
+    positions that they cover are counted."""
 
     def same(s: Column, j: Column) -> Column:
         a, b = s[j - 1], s[j]
         return (a["h"] == b["h"]) & (words[a["i"]] == words[b["i"]]) & (words[a["i"] + 1] == words[b["i"] + 1]) & (words[a["i"] + 2] == words[b["i"] + 2])
 
-    windows = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.struct(F.xxhash64(words[i], words[i + 1], words[i + 2]).alias("h"), i.alias("i"))))
-    covered = let(windows, lambda s: F.flatten(F.transform(F.filter(F.sequence(F.lit(1), F.size(s) - 1), lambda j: same(s, j)), lambda j: F.array(*[s[j - k]["i"] + d for k in (0, 1) for d in (0, 1, 2)]))))
-    return F.when(F.size(words) < 4, F.lit(0)).otherwise(F.size(F.array_distinct(covered)))
+    def covered(hashes: Column) -> Column:
+        windows = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return let(windows, lambda s: F.flatten(F.transform(F.filter(F.sequence(F.lit(1), F.size(s) - 1), lambda j: same(s, j)), lambda j: F.array(*[s[j - k]["i"] + d for k in (0, 1) for d in (0, 1, 2)]))))
+
+    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2]))
+    count = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(F.size(F.array_distinct(covered(h)))))
+    return F.when(F.size(words) < 4, F.lit(0)).otherwise(count)
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with a struct column m of counts: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (base) and
     n_upper, n_bangs. Null text counts as empty."""
     t = F.coalesce(docs[text], F.lit(""))
-    lines = F.filter(F.split(t, "\n"), lambda line: F.length(F.translate(line, BLANKS, "")) > 0)
+    lines = F.filter(F.split(t, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     return docs.withColumn(
         "m",
         let(
             words_of(t),
             lambda w: F.struct(
                 F.size(w).cast("long").alias("n_words"),
-                F.length(F.translate(t, BLANKS, "")).cast("long").alias("word_chars"),
-                _without(t, SYMBOLS).cast("long").alias("n_symbols"),
+                F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+                _count(t, SYMBOLS).cast("long").alias("n_symbols"),
                 let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
                 _repeated(w).cast("long").alias("n_repeat_words"),
-                _without(t, UPPER).cast("long").alias("n_upper"),
-                _without(t, "!").cast("long").alias("n_bangs"),
+                _count(t, "A-Z").cast("long").alias("n_upper"),
+                (F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit("")))).cast("long").alias("n_bangs"),
             ),
         ),
     )
