@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from varstrata.llm import jaccard, langid, packing, pii, quality
 from varstrata.llm.common import stash, table
-from varstrata.scratch import discard, made
+from varstrata.scratch import discard, give_back, made
 
 #: A text whose best language has a smaller score is in none of the languages learned.
 LEAST_SCORE = 0.2
@@ -31,6 +31,7 @@ def stage(work):
     @functools.wraps(work)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         discard(_left)
+        give_back(spark)
         with made() as tables:
             out = work(spark, docs, sf_dir)
         _left.extend(tables)
