@@ -399,6 +399,57 @@ def test_array_splits_anywhere():
     assert list(text.values_of(_io.BytesIO(b" [ \n] "), 2)) == []
 
 
+def test_one_array_is_cut_by_many_tasks(spark, tmp_path, monkeypatch):
+    """However a file is cut into stretches, its elements, their numbers and its errors are the same."""
+    import io as _io
+
+    rows = [{"a": 'q"\\ [,]{}'}, {"b": [1, [2, {"c": "\\\\"}]]}, {}, {"é": "漢\\u0022,"}, {"t": "\\" * 9 + '"'}]
+
+    def read(data, size, chunk):
+        f = _io.BytesIO(data)
+        found = [(k, min(k + size, len(data)), text.Part.summary(f, k, min(k + size, len(data)))) for k in range(0, len(data), size)]
+        out = []
+        for _, begin, end, inside, depth, state, first in text.Part.chained("x", len(data), found):
+            got = list(text.Part.values(f, len(data), begin, end, inside, depth, state, chunk))
+            assert not got or first == len(out)
+            out += got
+        return [json.loads(x) for x in out]
+
+    for body in (json.dumps(rows, ensure_ascii=False), json.dumps(rows, indent=2), "\ufeff " + json.dumps(rows) + " " * 50, "[ ]", "[{}]", '{"a":[{},"]"]}'):
+        want = json.loads(body.removeprefix("\ufeff"))
+        for size in (1, 2, 3, 7, 40, 4096)[4 * body.startswith("\ufeff") :]:
+            for chunk in (1, 5, 4096)[body.startswith("\ufeff") :]:
+                assert read(body.encode(), size, chunk) == (want if isinstance(want, list) else [want]), (body, size, chunk)
+    for body in ("[{},]", "[{}] x", "[{}", "[,{}]", "[{}}", "   ", '[{"a":1},{"b":[}', "[{}]" + " " * 20 + "[1,2]"):
+        with pytest.raises((errors.JsonError, errors.UnexpectedEof)) as whole:
+            list(text.values_of(_io.BytesIO(body.encode())))
+        for size in (1, 2, 3, 7):
+            with pytest.raises(whole.type):
+                read(body.encode(), size, 2)
+    many = [{"k": k, "s": '",[' * (k % 5)} for k in range(2000)]
+    (tmp_path / "a.json").write_text(json.dumps(many))
+    got = text.read_json_array(spark, str(tmp_path / "a.json"), chunk=100, part=5000)
+    assert got.rdd.getNumPartitions() > 5 and out(got) == many
+    assert [r[0] for r in got.select("record_idx").orderBy("record_idx").collect()] == list(range(2000))
+
+
+def test_one_file_from_many_tasks(spark, tmp_path):
+    """Lines of equal numbers don't meet in one task, and one file comes of all."""
+    lines = spark.range(4000).select(F.lit("s").alias("src"), F.lit(0).alias("record_idx"), F.concat(F.lit('{"k":'), F.col("id").cast("string"), F.lit("}")).alias("line"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert max(project._ordered(lines).rdd.glom().map(len).collect()) < 3000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    project.write_file(lines, str(tmp_path / "a.json"), array=True)
+    assert sorted(r["k"] for r in json.loads((tmp_path / "a.json").read_text())) == list(range(4000))
+    project.write_file(lines.where("false"), str(tmp_path / "e.json"), array=True)
+    assert json.loads((tmp_path / "e.json").read_text()) == []
+    numbered = lines.withColumn("record_idx", F.get_json_object("line", "$.k").cast("long")).repartition(5)
+    project.write_file(numbered, str(tmp_path / "a.ndjson"))
+    assert [json.loads(x)["k"] for x in (tmp_path / "a.ndjson").read_text().splitlines()] == list(range(4000))
+
+
 def test_lines_in_a_file_called_json(spark, tmp_path):
     rows = [{"k": k, "pad": "x" * 9000} for k in range(3)]
     (tmp_path / "a.json").write_text("\n".join(map(json.dumps, rows)))

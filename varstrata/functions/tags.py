@@ -27,6 +27,11 @@ def tag(v: Column) -> Column:
     )
 
 
+def is_object(v: Column) -> Column:
+    """Whether tag(v) is object, from one look at the value; SQL NULL for an absent one."""
+    return F.schema_of_variant(v).startswith("OBJECT")
+
+
 def tag_code(v: Column) -> Column:
     name = tag(v)
     out = F.lit(None).cast("int")

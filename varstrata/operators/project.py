@@ -5,15 +5,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow.fs import FileSelector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varstrata.errors import InternalError, UnsupportedFeature
+from varstrata.files import place
 from varstrata.functions.scalars import csv_cell
 from varstrata.functions.tags import text
 from varstrata.model import field
+from varstrata.scratch import discard, made, scratch
 
 MAP = "map<string,variant>"
+#: Bytes of a part that are copied at once.
+COPIED = 4 << 20
 
 
 def project(records: DataFrame, fields: list[str]) -> DataFrame:
@@ -66,7 +71,8 @@ def _batch(lines) -> pa.RecordBatch:
 
 
 def _ordered(lines: DataFrame) -> DataFrame:
-    return lines.repartitionByRange("src", "record_idx").sortWithinPartitions("src", "record_idx").select("line")
+    """Lines that are equal in both are dealt by a hash, so that no task gets all of them."""
+    return lines.repartitionByRange("src", "record_idx", F.xxhash64("line")).sortWithinPartitions("src", "record_idx").select("line")
 
 
 def write_lines(lines: DataFrame, path: str, header: str | None = None, mode: str = "overwrite") -> None:
@@ -105,6 +111,31 @@ def write_arrays(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
     _ordered(lines).mapInArrow(bracketed, "line string").write.mode(mode).text(path)
 
 
+def write_file(lines: DataFrame, path: str, array: bool = False) -> None:
+    """Lines as one text file in the order of (src, record_idx), or as one JSON array with an element a line. Tasks sort
+    and write parts side by side; the driver joins their bytes, and deletes each part as soon as it is copied."""
+    with made() as tables:
+        parts = scratch(lines.sparkSession, "parts")
+        rows = _ordered(lines)
+        (rows.select(F.concat("line", F.lit(",")).alias("line")) if array else rows).write.option("compression", "none").option("lineSep", "\n").text(parts)
+        fs, at = place(parts)
+        names = sorted((f.path for f in fs.get_file_info(FileSelector(at)) if f.base_name.startswith("part-")), key=lambda p: (int(p.rpartition("/")[2].split("-")[1]), p))
+        to, target = place(path)
+        # Of an array's last line the comma and the end of the line go.
+        kept, tail = 2 * array, b""
+        with to.open_output_stream(target, compression=None) as out:
+            out.write(b"[" * array)
+            for name in names:
+                with fs.open_input_stream(name, compression=None) as f:
+                    while data := f.read(COPIED):
+                        data = tail + data
+                        tail = data[len(data) - kept :]
+                        out.write(data[: len(data) - kept])
+                fs.delete_file(name)
+            out.write(b"]\n" * array)
+    discard(tables)
+
+
 def json_array_text(lines: DataFrame) -> Iterator[str]:
     """The pieces of one JSON array, in order, one partition at a time on the driver: [a,b]."""
     yield "["

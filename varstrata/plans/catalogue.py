@@ -485,9 +485,9 @@ def ndjson_strict(spark, sf_dir):
 @query("SELECT l_orderkey, l_linenumber, l_returnflag FROM (SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_returnflag FROM lineitem)")
 def json_array_large(spark, sf_dir):
     """One file with one array, split in chunks that cut elements anywhere."""
-    path = scratch(spark, "large")
+    path = scratch(spark, "large", ".json")
     rows = t(spark, sf_dir, "lineitem").select(F.lit("s").alias("src"), F.lit(0).alias("record_idx"), F.to_json(F.struct("l_orderkey", "l_linenumber", "l_returnflag")).alias("line"))
-    project.write_arrays(rows, path)
+    project.write_file(rows, path, array=True)
     return text.read_json_array(spark, path, chunk=1000).select(long("l_orderkey"), long("l_linenumber"), string("l_returnflag"))
 
 
