@@ -10,6 +10,7 @@ from varstrata import api, cli, errors, model
 from varstrata.functions import scalars, tags
 from varstrata.limits import Limits, WrapperLimits
 from varstrata.operators import blocks, encoding, inspect, project, wrappers
+from varstrata.plans import catalogue
 from varstrata.session import setting
 from varstrata.sources import archive, text, wire, wire_source
 from varstrata.streaming import ingest
@@ -433,6 +434,17 @@ def test_one_array_is_cut_by_many_tasks(spark, tmp_path, monkeypatch):
     assert [r[0] for r in got.select("record_idx").orderBy("record_idx").collect()] == list(range(2000))
 
 
+def test_numbering_sorts_nothing(spark, tmp_path, small):
+    """Neither the file's writer nor its reader gathers all lines in one task."""
+    (tmp_path / "a.ndjson").write_text('{"k":1}\n{"k":2}\n')
+    plan = text.read_ndjson(spark, str(tmp_path / "a.ndjson"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    for name in ("ndjson_scan", "ndjson_strict"):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(type(spark.range(1)), "repartition", lambda *_: pytest.fail("one task would get all lines"))
+            assert catalogue.queries()[name](spark, small).count() > 0
+
+
 def test_one_file_from_many_tasks(spark, tmp_path):
     """Lines of equal numbers don't meet in one task, and one file comes of all."""
     lines = spark.range(4000).select(F.lit("s").alias("src"), F.lit(0).alias("record_idx"), F.concat(F.lit('{"k":'), F.col("id").cast("string"), F.lit("}")).alias("line"))

@@ -407,9 +407,8 @@ def container_hint(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS record_idx FROM orders")
 def ndjson_scan(spark, sf_dir):
-    path = scratch(spark, "ndjson")
-    lines = t(spark, sf_dir, "orders").select("o_orderkey", F.to_json(F.struct("o_orderkey", "o_custkey")).alias("value"))
-    lines.repartition(1).sortWithinPartitions("o_orderkey").select("value").write.text(path)
+    path = scratch(spark, "ndjson", ".ndjson")
+    project.write_file(t(spark, sf_dir, "orders").select(F.lit("orders").alias("src"), F.col("o_orderkey").alias("record_idx"), F.to_json(F.struct("o_orderkey", "o_custkey")).alias("line")), path)
     return text.read_ndjson(spark, path).select(long("o_orderkey"), long("o_custkey"), "record_idx")
 
 
@@ -476,9 +475,9 @@ def csv_of_every_kind(spark, sf_dir):
 @query("SELECT record_idx, o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS record_idx FROM orders) WHERE o_orderkey % 7 > 3")
 def ndjson_strict(spark, sf_dir):
     """Of seven lines, one has text after its object, one holds two objects, one no object, one ends early."""
-    path, one, k = scratch(spark, "strict"), F.to_json(F.struct("o_orderkey")), F.col("o_orderkey") % 7
+    path, one, k = scratch(spark, "strict", ".ndjson"), F.to_json(F.struct("o_orderkey")), F.col("o_orderkey") % 7
     bad = F.when(k == 0, F.concat(one, F.lit(" trailing"))).when(k == 1, F.concat(one, one)).when(k == 2, F.concat(F.lit("["), one, F.lit("]"))).when(k == 3, F.expr("left(to_json(struct(o_orderkey)), 9)"))
-    t(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(bad, one).alias("value")).repartition(1).sortWithinPartitions("o_orderkey").select("value").write.text(path)
+    project.write_file(t(spark, sf_dir, "orders").select(F.lit("orders").alias("src"), F.col("o_orderkey").alias("record_idx"), F.coalesce(bad, one).alias("line")), path)
     return text.read_ndjson(spark, path, lenient=True).select("record_idx", long("o_orderkey"))
 
 
