@@ -185,6 +185,49 @@ def test_blocks(spark):
     assert sized('{"q,{":"[1, \\"é\\"\\n]\\u0001","t":true,"o":{"d":-12.5,"e":[]}}') == (3 + 11) + (1 + 1) + (1 + 8) + (1 + 5) + (1 + 8)
 
 
+def test_stretches_are_cut_as_records_are():
+    """Run over stretches of any length does what Cutter does record by record."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(1)
+    for _ in range(300):
+        rows = [([(k, r.choice((0, 1, 5, 9, 40)), r.random() < 0.3) for k in r.sample("abcd", r.randint(0, 4))], r.choice((0, 3, 30))) for _ in range(r.randint(1, 60))]
+        target, limits = r.choice((1, 3, 7, 1000)), Limits(segment_bytes=r.choice((1, 12, 45, 100)), block_bytes=r.choice((1, 50, 10**6)))
+        cutter, want = blocks.Cutter(target, limits), []
+        for fields, weight in rows:
+            got = cutter.add(fields, weight)
+            want.append((got if isinstance(got, int) else -1, cutter.reason, None if isinstance(got, int) else got))
+        run, out, at = blocks.Run(target, limits), [], 0
+        while at < len(rows):
+            some = rows[at : at + r.randint(1, 20)]
+            at += len(some)
+            flat = [f for fields, _ in some for f in fields]
+            found, reasons, refused = run.cut(np.array([w for _, w in some]), np.cumsum([0, *(len(f) for f, _ in some)]), pa.array([f[0] for f in flat], pa.string()), np.array([f[1] for f in flat], np.int64), np.array([f[2] for f in flat], bool))
+            out += [(b, reasons.get(i), refused.get(i)) for i, b in enumerate(found.tolist())]
+        assert out == want
+
+
+def test_sources_are_cut_over_many_ranges(spark):
+    """A source that many ranges hold is cut as one, whatever stands before and after it, and no task sorts it."""
+    rows = spark.range(3000).select(F.when(F.col("id") < 40, "a").when(F.col("id") < 2900, "b").otherwise(F.concat(F.lit("c"), F.col("id").cast("string"))).alias("src"), F.col("id").alias("record_idx"), F.parse_json(F.concat(F.lit('{"s":"'), F.repeat(F.lit("x"), (F.col("id") % 7).cast("int")), F.lit('"}'))).alias("rec"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        cut = blocks.greedy(rows, 50, Limits(segment_bytes=120))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert cut.rdd.getNumPartitions() > 1 and "Sort" not in cut._jdf.queryExecution().executedPlan().toString()
+    got = {(r["src"], r["record_idx"]): (r["block_idx"], r["cut_by"]) for r in cut.collect()}
+    cutters, want = {}, {}
+    for k in range(3000):
+        src = "a" if k < 40 else "b" if k < 2900 else f"c{k}"
+        c = cutters.setdefault(src, blocks.Cutter(50, Limits(segment_bytes=120)))
+        want[src, k] = (c.add([("s", 1 + k % 7, False)], k % 7 + 1), c.reason)
+    assert got == want
+
+
 def test_encoding(spark):
     ints = spark.createDataFrame([("up", k, 1000 + k) for k in range(5)] + [("big", 0, -(2**63)), ("big", 1, 2**63 - 1), ("one", 0, 5)], "f string, record_idx int, v long")
     assert {r["f"]: r["use_delta"] for r in encoding.delta_decision(ints, ["f"]).collect()} == {"up": True, "big": False, "one": False}

@@ -14,9 +14,13 @@ TAGS = ("null", "bool", "int", "decimal", "string", "object", "array")
 
 def tag(v: Column) -> Column:
     """The tag's name; SQL NULL for an absent value."""
-    s = F.schema_of_variant(v)
+    return tag_of(F.schema_of_variant(v))
+
+
+def tag_of(s: Column) -> Column:
+    """The tag's name by what schema_of_variant says."""
     return (
-        F.when(v.isNull(), F.lit(None).cast("string"))
+        F.when(s.isNull(), F.lit(None).cast("string"))
         .when(s == "VOID", "null")
         .when(s == "BOOLEAN", "bool")
         .when(s == "BIGINT", "int")
