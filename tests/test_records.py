@@ -355,6 +355,21 @@ def test_wire_file(spark, orders, tmp_path):
     assert wire_source.read(spark, str(tmp_path / "crc.arc"), verifyChecksums=False).count() == 1500
 
 
+def test_blocks_share_partitions(spark, orders, tmp_path):
+    """A file of many small blocks isn't a task for each of them."""
+    path = str(tmp_path / "x.arc")
+    wire_source.write(blocks.by_count(orders, 10), path)
+    with wire_source.File(path) as f:
+        index = f.index()
+    got = wire_source.read(spark, path)
+    assert len(index) == 150 and got.rdd.getNumPartitions() <= 8 and out(got) == out(orders)
+    some = wire_source.read(spark, path, partitionBytes=3 * max(size for _, size, _ in index), firstBlock=7)
+    assert 40 <= some.rdd.getNumPartitions() <= 50 and out(some) == out(orders)[70:]
+    assert [r[0] for r in some.select("record_idx").orderBy("record_idx").collect()] == list(range(70, 1500))
+    assert wire_source.read(spark, path, partitionBytes=1).rdd.getNumPartitions() == 150
+    assert wire_source.read(spark, f"{path},{path}").count() == 3000
+
+
 def test_whole_jobs(spark, tmp_path):
     (tmp_path / "in.json").write_text('[{"a":1,"b":"x,y"},{"b":null}]')
     for target in (str(tmp_path / "t.arc"), str(tmp_path / "native")):

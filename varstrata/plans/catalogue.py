@@ -551,13 +551,16 @@ def wire_resync(spark, sf_dir):
     path = scratch(spark, "wire", ".arc")
     wire_source.write(orders(spark, sf_dir), path, index=False)
     at = wire_source.block_table(path)[1][0]
-    fs, name = place(path)
-    with fs.open_input_stream(name) as f:
-        data = bytearray(f.read())
-    data[at : at + 4] = bytes(4)
-    with fs.open_output_stream(name) as f:
-        f.write(bytes(data))
-    return wire_source.read(spark, path, mode="PERMISSIVE").select(long("o_orderkey"), long("o_custkey"))
+    broken = scratch(spark, "wire", ".arc")
+    (fs, name), (_, target) = place(path), place(broken)
+    with fs.open_input_file(name) as f, fs.open_output_stream(target) as out:
+        for low, high in ((0, at), (at + 4, f.size())):
+            f.seek(low)
+            while low < high and (data := f.read(min(wire_source.COPIED, high - low))):
+                out.write(data)
+                low += len(data)
+            out.write(bytes(4) * (high == at))
+    return wire_source.read(spark, broken, mode="PERMISSIVE").select(long("o_orderkey"), long("o_custkey"))
 
 
 @query("SELECT p_partkey, CASE WHEN cents % 25 = 0 THEN p_retailprice END AS exact FROM (SELECT p_partkey, p_retailprice, (p_retailprice::DECIMAL(18,2) * 100)::BIGINT AS cents FROM part)")

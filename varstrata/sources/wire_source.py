@@ -2,8 +2,8 @@
 
 Reading: option path (a file, or several joined by commas); fields (a JSON list: only their segments are unpacked);
 firstBlock and lastBlock (a range of block_idx: only its blocks are opened); mode PERMISSIVE (goes on at the next block
-that can be found after a broken header); verifyChecksums. Rows are (src, block_idx, record_idx, json), one partition
-for each block. Filters aren't pushed into the reader: Spark keeps a pushed filter for later queries of the same frame.
+that can be found after a broken header); verifyChecksums; minPartitions; partitionBytes. Rows are (src, block_idx,
+record_idx, json); blocks that follow each other share a partition, up to partitionBytes of packed blocks. Filters aren't pushed into the reader: Spark keeps a pushed filter for later queries of the same frame.
 
 Writing: rows of (block_idx, record_idx, json), each block's rows together and in order within one partition, as
 blocks_of() deals them. Tasks write their blocks to files of their own beside the target; the commit joins them by
@@ -12,6 +12,7 @@ block_idx, adds the index, and puts the file in place.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import struct
 import uuid
@@ -22,7 +23,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from varstrata import errors
 from varstrata.files import place
@@ -36,6 +37,10 @@ NAME = "varstrata"
 SCHEMA = "src string, block_idx long, record_idx long, json string"
 _ARROW = pa.schema([("src", pa.string()), ("block_idx", pa.int64()), ("record_idx", pa.int64()), ("json", pa.string())])
 CHUNK = 1 << 16
+#: Packed bytes of the blocks that a task reads, unless one block has more; bytes that are copied at once.
+PARTITION, COPIED = 1 << 20, 4 << 20
+#: Files that are held open at once.
+OPENED = 256
 
 
 class File:
@@ -129,15 +134,13 @@ class File:
 
 @dataclass
 class BlockPartition(InputPartition):
+    """Blocks of one file: number, place, size, records, and how many records stand before each."""
+
     path: str
-    block: int
-    at: int
-    size: int
-    records: int
-    before: int
+    blocks: list[tuple[int, int, int, int, int]]
 
     def __post_init__(self):
-        super().__init__(self.block)
+        super().__init__(self.path)
 
 
 def limits_of(header: wire.FileHeader) -> Limits:
@@ -156,30 +159,41 @@ class Reader(DataSourceReader):
         self.verify = options.get("verifychecksums", "true").lower() != "false"
         self.low = int(options.get("firstblock", 0))
         self.high = int(options["lastblock"]) if options.get("lastblock") else None
+        self.most = int(options["partitionbytes"]) if options.get("partitionbytes") else None
+        self.least = int(options.get("minpartitions", 1))
 
     def partitions(self):
-        out = []
+        found = []
         for path in self.paths:
             with File(path) as f:
                 before = 0
                 for k, (at, size, records) in enumerate(f.blocks(self.lenient, limits_of(f.header()[0]))):
                     if k >= self.low and (self.high is None or k <= self.high):
-                        out.append(BlockPartition(path, k, at, size, records, before))
+                        found.append((path, (k, at, size, records, before)))
                     before += records
+        most = self.most or min(PARTITION, sum(block[2] for _, block in found) // self.least)
+        out, room = [], 0
+        for path, block in found:
+            if not out or out[-1].path != path or room < block[2]:
+                out.append(BlockPartition(path, []))
+                room = most
+            out[-1].blocks.append(block)
+            room -= block[2]
         return out or [InputPartition(None)]
 
     def read(self, part):
         if not isinstance(part, BlockPartition):
             return
         with File(part.path) as f:
-            data, limits = f.bytes(part.at, part.size), limits_of(f.header()[0])
-        rows = wire.decode_block(data, self.fields, self.verify, limits)
-        if len(rows) != part.records:
-            raise errors.CorruptBlock("the index has another number of records than the block")
-        for at in range(0, len(rows), 10_000):
-            some = rows[at : at + 10_000]
-            n = len(some)
-            yield pa.RecordBatch.from_arrays([pa.array([part.path] * n), pa.array([part.block] * n, pa.int64()), pa.array(range(part.before + at, part.before + at + n), pa.int64()), pa.array(some, pa.string())], schema=_ARROW)
+            limits = limits_of(f.header()[0])
+            for block, at, size, records, before in part.blocks:
+                rows = wire.decode_block(f.bytes(at, size), self.fields, self.verify, limits)
+                if len(rows) != records:
+                    raise errors.CorruptBlock("the index has another number of records than the block")
+                for low in range(0, len(rows), 10_000):
+                    some = rows[low : low + 10_000]
+                    n = len(some)
+                    yield pa.RecordBatch.from_arrays([pa.array([part.path] * n), pa.array([block] * n, pa.int64()), pa.array(range(before + low, before + low + n), pa.int64()), pa.array(some, pa.string())], schema=_ARROW)
 
 
 @dataclass
@@ -188,7 +202,7 @@ class Written(WriterCommitMessage):
     blocks: list[tuple[int, int, int, int]]  # block_idx, offset within the task's file, size, records
 
 
-class Writer(DataSourceWriter):
+class Writer(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.overwrite = options["path"], overwrite
         self.header = wire.FileHeader(level=int(options.get("level", 6)), compressor=wire.NONE if options.get("compression") == "none" else wire.ZSTD)
@@ -214,12 +228,13 @@ class Writer(DataSourceWriter):
                 offset += len(data)
 
             block, rows = None, []
-            for row in iterator:
-                if row["block_idx"] != block and rows:
-                    close(block, rows)
-                    rows = []
-                block = row["block_idx"]
-                rows.append(wire.loads(row["json"]))
+            for batch in iterator:
+                for own, text in zip(batch.column("block_idx").to_pylist(), batch.column("json").to_pylist(), strict=True):
+                    if own != block and rows:
+                        close(block, rows)
+                        rows = []
+                    block = own
+                    rows.append(wire.loads(text))
             if rows:
                 close(block, rows)
         return Written(path, blocks)
@@ -239,11 +254,17 @@ class Writer(DataSourceWriter):
             head = self.header.encode()
             out.write(head)
             at = len(head)
-            for _, offset, size, records, path in order:
-                with File(path) as f:
-                    out.write(f.bytes(offset, size))
-                index.append((at, size, records))
-                at += size
+            with contextlib.ExitStack() as opened:
+                files: dict[str, File] = {}
+                for _, offset, size, records, path in order:
+                    if path not in files:
+                        if len(files) == OPENED:
+                            opened.close()
+                            files.clear()
+                        files[path] = opened.enter_context(File(path))
+                    out.write(files[path].bytes(offset, size))
+                    index.append((at, size, records))
+                    at += size
             if index and self.index:
                 out.write(wire.encode_index(index) + struct.pack("<Q", at))
         fs.move(made, target)
@@ -280,7 +301,7 @@ def enable(spark: SparkSession) -> SparkSession:
 
 def read(spark: SparkSession, path: str, fields: list[str] | None = None, **options) -> DataFrame:
     """(src, block_idx, record_idx, rec)."""
-    r = enable(spark).read.format(NAME).option("path", path)
+    r = enable(spark).read.format(NAME).option("path", path).option("minPartitions", spark.sparkContext.defaultParallelism)
     if fields is not None:
         r = r.option("fields", json.dumps(fields))
     for k, v in options.items():
