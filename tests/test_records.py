@@ -213,12 +213,10 @@ def test_stretches_are_cut_as_records_are():
 def test_sources_are_cut_over_many_ranges(spark):
     """A source that many ranges hold is cut as one, whatever stands before and after it, and no task sorts it."""
     rows = spark.range(3000).select(F.when(F.col("id") < 40, "a").when(F.col("id") < 2900, "b").otherwise(F.concat(F.lit("c"), F.col("id").cast("string"))).alias("src"), F.col("id").alias("record_idx"), F.parse_json(F.concat(F.lit('{"s":"'), F.repeat(F.lit("x"), (F.col("id") % 7).cast("int")), F.lit('"}'))).alias("rec"))
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(blocks, "RANGE", 300)
         cut = blocks.greedy(rows, 50, Limits(segment_bytes=120))
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert cut.rdd.getNumPartitions() > 1 and "Sort" not in cut._jdf.queryExecution().executedPlan().toString()
+    assert cut.rdd.getNumPartitions() >= 8 and "Sort" not in cut._jdf.queryExecution().executedPlan().toString()
     got = {(r["src"], r["record_idx"]): (r["block_idx"], r["cut_by"]) for r in cut.collect()}
     cutters, want = {}, {}
     for k in range(3000):

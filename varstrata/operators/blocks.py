@@ -189,8 +189,8 @@ class Run:
         return found, reasons, refused
 
 
-#: Records whose sizes are looked at together.
-STRETCH = 100_000
+#: Records whose sizes are looked at together; records that a task sorts.
+STRETCH, RANGE = 100_000, 200_000
 
 
 def greedy(records: DataFrame, target: int = TARGET, limits: Limits = Limits()) -> DataFrame:
@@ -209,7 +209,9 @@ def greedy(records: DataFrame, target: int = TARGET, limits: Limits = Limits())
     fields = F.transform(fields, lambda e: F.struct(e["k"].alias("k"), e["v"].alias("v"), tag_of(e["s"]).alias("t")))
     fields = F.transform(fields, lambda e: F.struct(e["k"].alias("k"), payload(e["v"], e["t"]).cast("long").alias("n"), (e["t"] == "bool").alias("flag")))
     # Dealt before sizes are found, because dealing by ranges looks at its rows twice.
-    rows = records.select("src", "record_idx", "rec").repartitionByRange("src", "record_idx")
+    # Their number goes by the records', as small shuffles would else be joined into ranges that grow.
+    n = max(spark.sparkContext.defaultParallelism, -(-records.count() // RANGE))
+    rows = records.select("src", "record_idx", "rec").repartitionByRange(n, "src", "record_idx")
     rows = rows.select("src", "record_idx", memory(F.col("rec")).cast("long").alias("weight"), F.octet_length(F.to_json("rec")).alias("bytes"), fields.alias("fields")).sortWithinPartitions("src", "record_idx")
     path = scratch(spark, "sizes")
     rows.write.option("parquet.block.size", 8 << 20).parquet(path)
@@ -258,7 +260,9 @@ def greedy(records: DataFrame, target: int = TARGET, limits: Limits = Limits())
         sparse = lambda some: pa.array([some.get(i) for i in range(len(found))] if some else pa.nulls(len(found), pa.string()), pa.string())
         return pa.RecordBatch.from_arrays([b.column("src").cast(pa.string()), b.column("record_idx"), pa.array(found, mask=found < 0), sparse(reasons), sparse(errors)], schema=schema)
 
-    return spark.range(0, len(files), 1, max(1, len(files))).mapInArrow(cut, "src string, record_idx long, block_idx long, cut_by string, error string")
+    out = spark.range(0, len(files), 1, max(1, len(files))).mapInArrow(cut, "src string, record_idx long, block_idx long, cut_by string, error string")
+    # Dealt again, as what follows may sort, and a large source comes from one task.
+    return out.repartition(n, "src", F.coalesce("block_idx", "record_idx"))
 
 
 def flush_metrics(cut: DataFrame) -> DataFrame:
